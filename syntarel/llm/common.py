@@ -64,3 +64,13 @@ def id_text(col: str = "doc_id") -> Column:
 def fold(modulus: int, col: str = "doc_id") -> Column:
     """crc32 of the id's text modulo ``modulus``."""
     return F.crc32(id_text(col)) % F.lit(modulus)
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, as the variable of a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """The columns of a single row put beside every row of ``df``."""
+    return df.withColumn("__one", F.lit(0)).join(F.broadcast(one.limit(1).withColumn("__one", F.lit(0))), "__one").drop("__one")

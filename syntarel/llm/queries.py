@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_model, quality_rules
-from .common import fold
+from . import fingerprint, language_id, packing, quality_model, quality_rules, url_filter
+from .common import fold, materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "ratio")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train_language_model(docs.where(fold(3) != 1))
@@ -43,11 +51,31 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # The texts are shuffled once; what is read twice below is read from the shared folder.
+    signed = materialize(fingerprint.fingerprint(docs.withColumn("n_chars", F.length("text").cast("long"))), "signed")
+    pairs = fingerprint.with_next(signed, ["text", "signature"])
+    after = pairs.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text"))).drop("text", "next_text")
+    both = fingerprint.fingerprint(after, "edited", "edited_signature").withColumn("edited_sha256", F.sha2("edited", 256))
+    return both.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint.as_text(F.col("signature")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_signature")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        fingerprint.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
