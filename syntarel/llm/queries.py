@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language_id, near_dedup, packing, quality_model, quality_rules, repeats, url_filter
-from .common import fold, materialize
+from . import fingerprint, language_id, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, url_filter
+from .common import fold, materialize, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "ratio")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("rate", 6).alias("rate"), "taken")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_classes(_table(spark, sf_dir, "documents"), width=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -33,6 +39,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.shard(_table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    version = store.version()
+    return store.read(version).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), "shard", F.lit(version).alias("version"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train_language_model(docs.where(fold(3) != 1))
@@ -81,8 +93,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_sharding": op5_sharding,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -90,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.mixing_sql()}
