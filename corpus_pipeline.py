@@ -1,16 +1,103 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline: language ID, near-dedup, repeated passages, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
+kept and returns the columns of ``documents``; the last returns packed pieces.
+Each is written as Parquet and read again before the next.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from syntarel.llm import language_id, mixing, near_dedup, packing, repeats
+from syntarel.llm.common import materialize
+
+#: A document stays if its main language makes up this much of it.
+LEAST_LANGUAGE = 0.35
+#: Part of the tokens that mixing keeps.
+KEEP = 0.8
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those in which no language stands out.
+
+    The model learns from all rows with a language. Where there are none, every
+    document with a letter stays. Null texts go.
+    """
+    model = language_id.train_language_model(docs)
+    if not model.names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.detect_language(docs, model, into="__language")
+    return found.where((F.col("__language.lang_pred") != language_id.UNKNOWN) & (F.col("__language.score") >= LEAST_LANGUAGE)).drop("__language")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group (five words, 0.8).
+
+    Rows of one id are one document and one of them stays. Rows without an id
+    stay unless their text is like that of a row with one, or is repeated.
+    """
+    found = materialize(near_dedup.near_classes(docs), "groups")
+    heads = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    if found.where("doc_id is null").limit(1).count():
+        # Without an id a row is known by its text.
+        lone = docs.where("doc_id is null").dropDuplicates(["text"])
+        named = docs.where("doc_id is not null").select("text").distinct()
+        kept = kept.unionByName(lone.join(named, "text", "left_anti").select(*docs.columns))
+    return kept
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes every byte of a 400-byte string found twice; characters cut in two go, and so do documents left blank.
+
+    ``n_chars`` becomes the new length. Documents without repeats stay as they are.
+    """
+    cut = repeats.cut_repeats(docs, into="__repeats")
+    as_text = F.pandas_udf(_decoded, "string")("__repeats.kept")
+    changed = F.col("__repeats.n_removed") > 0
+    out = cut.withColumn("__new", F.when(changed, as_text).otherwise(F.col("text")))
+    out = out.withColumns({"text": F.col("__new"), "n_chars": F.when(changed, F.length("__new").cast("long")).otherwise(F.col("n_chars"))})
+    return out.where(~changed | F.col("text").rlike(r"\S")).select(*docs.columns)
+
+
+def _decoded(kept: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else bytes(x).decode("utf-8", "ignore") for x in kept])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents to the tempered shares of sources, languages and topics."""
+    mixed = mixing.mix(docs, keep=KEEP, into="__mixing")
+    return mixed.where("__mixing.taken").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of 2048 tokens: a row per piece."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", cut_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Trained models, clustering and packing are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs

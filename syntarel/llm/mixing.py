@@ -109,23 +109,24 @@ def chance(col: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(id_text(col)), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, topics: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Adds ``topic``, ``tokens``, ``rate`` and ``taken`` to every row.
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, topics: list[tuple[str, str]] | None = None, into: str = "mixing") -> DataFrame:
+    """Adds struct ``into`` (topic, tokens, rate, taken) to every row.
 
     A row is taken if its id's number is below its cell's rate, so rows of one
     id in one cell share their fate and a rerun takes the same. Rows without
     words have rate 1 and are taken: they weigh nothing. Null sources and
     languages are cells of their own. An empty table gives an empty result.
-    Columns of these names are replaced.
+    A column named ``into`` is replaced.
     """
     own = with_cells(docs, topics)
     sums = own.select("__source", "__lang", "__topic", tokens_of(F.col("text")).alias("tokens")).groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("tokens").alias("tokens"))
     rates = calibrate(rake(materialize(sums, "sums"), targets), keep)
     known = rates.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("rate").alias("__rate"))
     joined = own.join(known, [f"__{m}" for m in MARGINS], "left")
-    tokens = tokens_of(F.col("text"))
-    rate = F.when(F.col("tokens") > 0, F.coalesce("__rate", F.lit(1.0))).otherwise(1.0)
-    return joined.withColumns({"topic": F.col("__topic"), "tokens": tokens}).withColumn("rate", rate).withColumn("taken", chance() < F.col("rate")).drop("__source", "__lang", "__topic", "__rate")
+    joined = joined.withColumn("__tokens", tokens_of(F.col("text")))
+    joined = joined.withColumn("__rate", F.when(F.col("__tokens") > 0, F.coalesce("__rate", F.lit(1.0))).otherwise(1.0))
+    fields = F.struct(F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__rate").alias("rate"), (chance() < F.col("__rate")).alias("taken"))
+    return joined.withColumn(into, fields).drop("__source", "__lang", "__topic", "__rate", "__tokens")
 
 
 def mixing_sql(table: str = "documents", sweeps: int = SWEEPS, temper: float = TEMPER, keep: float = KEEP, steps: int = 12) -> str:
