@@ -1 +1 @@
-"""functions."""
+"""Scalar functions as Columns."""

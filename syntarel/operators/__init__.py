@@ -1 +1 @@
-"""operators."""
+"""Relational operators of the engine."""

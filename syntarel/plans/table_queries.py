@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash32_long, mock_embedding, signed_hex
+from ..operators import dataflow, graph, ordering, search, tree
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -27,12 +30,179 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_QUERY_VECTOR = "(select embedding::double[] from embeddings where vec_id = 0)"
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.nearest(vectors, vectors.where("vec_id = 0").select("embedding"), 10)
+
+
+@query(f"select vec_id, label, round(list_distance(embedding::double[], {_QUERY_VECTOR}), 6) as distance from embeddings order by list_distance(embedding::double[], {_QUERY_VECTOR}), vec_id limit 10")
+def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir).select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query(f"select vec_id, round(1 - list_distance(embedding::double[], {_QUERY_VECTOR}), 6) as score from embeddings order by list_distance(embedding::double[], {_QUERY_VECTOR}), vec_id limit 10")
+def knn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir).select("vec_id", F.round(1 - F.col("distance"), 6).alias("score"))
+
+
+_HASH = "list_reduce(list_prepend(0::bigint, list_transform(string_split({0}, ''), lambda c: unicode(c)::bigint)), lambda a, b: (a * 31 + b) % 4294967296)"
+
+
+@query(f"select doc_id, case when h >= 2147483648 then '-' || lower(format('{{:x}}', 4294967296 - h)) else lower(format('{{:x}}', h)) end as content_hash from (select doc_id, ({_HASH.format('text')})::bigint as h from documents)")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", hash32_long("text").alias("h")).select("doc_id", signed_hex(F.col("h")).alias("content_hash"))
+
+
+_DIMS = 8
+
+
+def _mock_sql() -> str:
+    states = ["s0 as (select p_partkey, abs(case when h >= 2147483648 then h - 4294967296 else h end)::bigint as s0 from (select p_partkey, (" + _HASH.format("p_name || p_partkey::varchar") + ")::bigint as h from part))"]
+    for k in range(1, _DIMS + 1):
+        states.append(f"s{k} as (select *, (s{k - 1}::double * 1103515245.0::double + 12345.0::double)::bigint & 2147483647 as s{k} from s{k - 1})")
+    values = ", ".join(f"s{k} / 2147483647.0::double * 2 - 1" for k in range(1, _DIMS + 1))
+    return f"with {', '.join(states)}, v as (select p_partkey, [{values}]::double[] as v from s{_DIMS}) select p_partkey, (g - 1)::int as dim, round(v[g] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as value from v, range(1, {_DIMS + 1}) as r(g)"
+
+
+@query(_mock_sql())
+def mock_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", mock_embedding(F.concat("p_name", F.col("p_partkey").cast("string")), _DIMS).alias("v"))
+    return part.select("p_partkey", F.posexplode("v").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("select doc_id, row_number() over (partition by text order by doc_id) > 1 as hit from documents")
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.repeat_hits(table(spark, sf_dir, "documents"), F.md5("text"), "doc_id").select("doc_id", "hit")
+
+
+@query("select min(doc_id) as first_position, max(doc_id) as doc_id, arg_max(source, doc_id) as source from documents group by text")
+def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("key", F.md5("text"))
+    return ordering.dedup_last_wins(docs.withColumn("id", F.col("doc_id")), ["key"], "id", ["doc_id", "source"]).drop("key")
+
+
+@query("select doc_id, len(l) as n_lines, array_to_string(list_slice(l, 1, 8), chr(10)) as content from (select doc_id, string_split(text, chr(10)) as l from documents) where len(l) >= 3")
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five lines before and after line 3."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l")).where("size(l) >= 3")
+    first = F.greatest(F.lit(1), F.lit(3 - 5))
+    return lines.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.array_join(F.slice("l", first, F.lit(3 + 5) - first + 1), "\n").alias("content"))
+
+
+@query("select doc_id, ((row_number() over (order by doc_id) - 1) // 64)::bigint as batch from documents")
+def index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 64)
+
+
+@query("select p_partkey, p_name, p_type from part where not contains(lower(p_name), lower('Part 1')) and p_type in (select p_type from (select distinct p_type from part order by p_type limit 2))")
+def impact_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that don't contain the target, of two types."""
+    part = table(spark, sf_dir, "part")
+    types = part.select("p_type").distinct().orderBy("p_type").limit(2)
+    return part.join(F.broadcast(types), "p_type", "left_semi").where(~F.contains(F.lower("p_name"), F.lower(F.lit("Part 1")))).select("p_partkey", "p_name", "p_type")
+
+
 @query(
-    """select vec_id, label, round(list_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as distance
-    from embeddings order by list_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), vec_id limit 10"""
+    """select event_id, user_id, def_id from (select *, last_value(case when event_type in ('signup', 'purchase') then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as def_id
+    from events where event_type in ('signup', 'purchase', 'view', 'click')) where event_type in ('view', 'click') and def_id is not null"""
 )
-def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    one = vectors.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    distance = F.sqrt(F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    return vectors.crossJoin(F.broadcast(one)).select("vec_id", "label", distance.alias("d")).orderBy("d", "vec_id").limit(10).select("vec_id", "label", F.round("d", 6).alias("distance"))
+def reaching_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups and purchases define, views and clicks use; the latest definition of the user reaches."""
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase", "view", "click")).withColumn("name", F.lit("session"))
+    found = dataflow.reaching_definitions(events, ["user_id"], "name", F.col("event_type").isin("view", "click"), ["ts", "event_id"], F.col("event_id"))
+    return found.select("event_id", "user_id", F.col("reaching").alias("def_id"))
+
+
+_SAME_KIND = "e as (select user_id, event_type, event_id, ts, lag(event_id) over (partition by user_id, event_type order by ts, event_id) as src from events)"
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    return events, graph.last_of_kind_edges(events, ["user_id"], "event_type", ["ts", "event_id"], "event_id")
+
+
+@query(f"with {_SAME_KIND}, l as (select user_id, arg_max(event_type, (ts, event_id)) as kind from events group by user_id) select e.user_id, event_id as node from e join l using (user_id) where event_type = kind")
+def backward_slice_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What leads to each user's last event along events of its kind."""
+    events, steps = _steps(spark, sf_dir)
+    seeds = events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("node"))
+    return graph.reachable(steps, seeds, "user_id", backward=True)
+
+
+@query(f"with {_SAME_KIND}, l as (select user_id, arg_min(event_type, (ts, event_id)) as kind from events group by user_id) select e.user_id, event_id as node from e join l using (user_id) where event_type = kind")
+def forward_slice_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's first event leads to along events of its kind."""
+    events, steps = _steps(spark, sf_dir)
+    seeds = events.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node"))
+    return graph.reachable(steps, seeds, "user_id")
+
+
+@query("select * from (select user_id, event_id as src, lead(event_id) over (partition by user_id order by ts, event_id) as dst from events) where dst is not null")
+def cfg_sequence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.chain_edges(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_id")
+
+
+@query(
+    f"""with {_SAME_KIND}, c as (select event_id as src, lead(event_id) over (partition by user_id order by ts, event_id) as dst from events),
+    g as (select src, event_id as dst, 'data' as dep from e where src is not null union all select src, dst, 'control' from c where dst is not null),
+    t as (select event_id as node from events where value > 95)
+    select bucket, count(*) as edges from (select dep || '_in' as bucket from g where dst in (select node from t) union all select dep || '_out' from g where src in (select node from t)) group by bucket"""
+)
+def dependencies_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, steps = _steps(spark, sf_dir)
+    data = steps.select("src", "dst", F.lit("data").alias("dep"))
+    control = graph.chain_edges(events, ["user_id"], ["ts", "event_id"], "event_id").select("src", "dst", F.lit("control").alias("dep"))
+    targets = table(spark, sf_dir, "events").where("value > 95").select(F.col("event_id").alias("node"))
+    return graph.dependencies(data.unionByName(control), targets).groupBy("bucket").agg(F.count("*").alias("edges"))
+
+
+@query("select doc_id, g::int as line, l[g] as code from (select doc_id, string_split(text, chr(10)) as l from documents), range(2, 5) as r(g) where g <= len(l)")
+def slice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 2 to 4 of every document."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "code"))
+    return lines.where("p between 1 and 3").select("doc_id", (F.col("p") + 1).alias("line"), "code")
+
+
+@query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as module from pages")
+def import_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link targets of every page."""
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("module"))
+
+
+@query(
+    """with u as (select distinct list_filter(string_split(regexp_replace(url, '^[^:]*://', ''), '/'), lambda x: x <> '') as parts from pages), d as (select unnest(range(1, len(parts) + 1)) as k, parts from u),
+    n as (select array_to_string(list_slice(parts, 1, k), '/') as path, array_to_string(list_slice(parts, 1, k - 1), '/') as parent_path, parts[k] as name, (k - 1)::int as depth, bool_or(k < len(parts)) as is_directory from d group by all)
+    select path, parent_path, name, depth, is_directory, row_number() over (partition by parent_path order by is_directory desc, name)::int as position,
+    row_number() over (partition by parent_path order by is_directory desc, name) = count(*) over (partition by parent_path) as is_last from n"""
+)
+def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.file_tree(table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[^:]*://", "").alias("path")))
+
+
+@query(
+    """select callee, s[1] as conv_id, s[2] as turn, s[3] as position from (select callee, min([conv_id, turn, pos]) as s from
+    (select conv_id, turn, unnest(w) as callee, unnest(range(1, len(w) + 1)) - 1 as pos from (select conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') as w from conversations)) group by callee)"""
+)
+def call_graph_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of all conversations with the place where each is seen first."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("pos", "callee"))
+    return ordering.distinct_first_seen(words, "callee", ["conv_id", "turn", "pos"]).select("callee", "first_seen.conv_id", "first_seen.turn", F.col("first_seen.pos").cast("long").alias("position"))
+
+
+@query("select distinct p_name as name from part where p_name not in ('constructor', 'toString', 'valueOf')")
+def define_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).where(~F.col("name").isin("constructor", "toString", "valueOf")).distinct()
+
+
+@query("select user_id, event_type, min(event_id) as first, array_to_string(list_sort(list(event_id)), ',') as refs from events group by user_id, event_type")
+def variables_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dataflow.group_references(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id")
+    return found.select("user_id", "event_type", "first", F.array_join(F.col("all").cast("array<string>"), ",").alias("refs"))
+
+
+@query("select event_id, (props->>'k')::int as k from events")
+def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
