@@ -49,7 +49,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, scope: str, backward: bool = F
                     seen.add(x)
                     stack.append(x)
         name = (starts if len(starts) else steps)[scope].iloc[0]
-        return pd.DataFrame({scope: [name] * len(seen), "node": sorted(seen)})
+        return pd.DataFrame({scope: pd.Series([name] * len(seen), dtype=object), "node": sorted(seen)})
 
     one = edges.select(scope, "src", "dst").groupBy(scope)
     return one.cogroup(seeds.select(scope, "node").groupBy(scope)).applyInPandas(walk, f"{scope} {kind}, node {node_type}")
