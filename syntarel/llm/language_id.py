@@ -60,7 +60,7 @@ def count_trigrams(train: DataFrame, text: str = "text", lang: str = "lang") ->
                     np.add.at(sums[name], grams, 1)
         for name, total in sums.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"lang": [name] * len(at), "bucket": at.astype(np.int32), "n": total[at]})
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "bucket", "n"])
 
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     parts = rows.mapInArrow(count, "lang string, bucket int, n long")
