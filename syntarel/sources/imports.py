@@ -71,7 +71,7 @@ def _python(text: str) -> list[Import]:
 def _php(text: str) -> list[Import]:
     out: list[Import] = []
     bare = blank(text, "php")
-    for m in re.finditer(r"^\s*use\s+(?:function\s+|const\s+)?([\w\\]+)(?:\s+as\s+(\w+))?\s*(?:\{([^}]*)\})?\s*;", bare, re.M):
+    for m in re.finditer(r"(?:^|[{};])\s*use\s+(?:function\s+|const\s+)?([\w\\]+)(?:\s+as\s+(\w+))?\s*(?:\{([^}]*)\})?\s*;", bare, re.M):
         if m[3] is not None:
             names = [x.split(" as ")[0].strip() for x in m[3].split(",") if x.strip()]
             aliases = {x.split(" as ")[1].strip(): x.split(" as ")[0].strip() for x in m[3].split(",") if " as " in x}

@@ -13,7 +13,8 @@ import re
 from .script import Node
 
 _STRINGS = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
-_NOT_CALLS = set("if for while switch return catch when match fn func fun function def sizeof new throw else do elif with class struct enum union impl mod use echo print isset unset array list foreach elseif synchronized super this in is as not and or defer go select range assert using namespace template typename import package".split())
+_NOT_CALLS = set("if for while switch return catch when match fn func fun function def sizeof new throw else do elif with class struct enum union impl mod use echo print isset unset array list foreach elseif synchronized super this in is as not and or defer select range assert using namespace template typename import package".split())
+_CONTROL = set("if for while switch return catch else do".split())
 _CALL = re.compile(r"(?<![\w.:>])([A-Za-z_$][\w]*(?:(?:::|\.|->)[A-Za-z_]\w*)*)\s*!?\(")
 
 #: By language: (pattern with a group ``name``, kind).
@@ -63,7 +64,7 @@ def _scanned(text: str, language: str) -> list[Node]:
     bare, out, names = blank(text, language), [], set()
     for pattern, kind in _DEFINITIONS.get(language, ()):
         for m in re.finditer(pattern, bare, re.M):
-            if m["name"] in _NOT_CALLS:
+            if m["name"] in _CONTROL:
                 continue
             names.add(m.start("name"))
             opening, stop = bare.find("{", m.end() - 1), bare.find(";", m.end() - 1)

@@ -1 +1 @@
-"""streaming."""
+"""Incremental runs over file streams."""
