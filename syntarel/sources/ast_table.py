@@ -47,6 +47,12 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
     return kept.withColumn("language", language_of(F.col("path"), sensitive=True)).where("language is not null").select("path", "language", "text")
 
 
+def changed_files(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
+    """path, modified of files below ``root`` that ``known`` (path, modified) lacks in this state; nothing is read but names and times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"))
+    return files.join(known.select("path", "modified"), ["path", "modified"], "left_anti")
+
+
 def tree_of(text: str, language: str) -> Node:
     """The syntax tree or outline of one source."""
     return parse_script(text, language == "typescript") if language in FLOW_LANGUAGES else outline(text, language)
