@@ -77,6 +77,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "slice" and args.line < 1:
         print("the line must be 1 or more", file=sys.stderr)
         return 1
+    if args.command == "warm" and not args.provider and not os.path.exists(os.path.join(args.path, PROJECT_FOLDER, "config.json")):
+        print("No settings yet: give --provider (mock, ollama, huggingface) or write " + os.path.join(PROJECT_FOLDER, "config.json"))
+        return 0
     spark = session()
     if args.command == "tree":
         print(tree.render_tree([r.asDict() for r in tree.file_tree(_files(spark, args.path)).collect()]))

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from syntarel import config
+from syntarel import cli, config
 from syntarel.functions import embeddings
 from syntarel.functions.hashing import hash32, hash32_of, mock_embedding, signed_hex
 from syntarel.operators import code, graph, ordering, search, tree
@@ -254,3 +254,24 @@ def test_graph_and_order_operators(spark):
     assert [r.ordinal for r in ordering.with_ordinal(ids, "k").orderBy("k").collect()] == list(range(300))
     vectors = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in search.nearest(vectors, [7.4, 0.0], 3).collect()] == [7, 8, 6]
+
+
+def test_commands(spark, tmp_path, capsys):
+    (tmp_path / "a.ts").write_text("import x from 'y';\nfunction one(a: number) {\n  return a;\n}\n")
+    here, file = str(tmp_path), str(tmp_path / "a.ts")
+
+    def said(*argv):
+        assert cli.main(list(argv)) == 0
+        return capsys.readouterr().out
+
+    assert said("tree", here).strip() == "└── a.ts"
+    assert "function one (a.ts:2)" in said("structure", here)
+    assert "one (a.ts:2)" in said("impact", "zzz", here) and "Nothing" in said("impact", "ONE", here)
+    assert "one: complexity 1, blocks 2" in said("complexity", file)
+    assert json.loads(said("slice", file, "one", "3"))["sliceLines"] == [2, 3, 4]
+    assert json.loads(said("imports", file))["imports"][0]["module"] == "y"
+    assert json.loads(said("config", here))["embeddings"]["provider"] == "mock"
+    assert "--provider" in said("warm", here)
+    assert json.loads(said("warm", here, "--provider", "mock"))["entries"] == 1
+    assert "1. one (a.ts:2)" in said("semantic", "anything", here)
+    assert cli.main(["slice", file, "one", "0"]) == 1
