@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, release
@@ -17,8 +18,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     shared folder and dropped after the next. Loops and repeated edges do no
     harm; rows with a null are left out.
     """
-    some = edges.where("a is not null and b is not null and a <> b")
-    both = materialize(some.select("a", "b").union(some.select("b", "a")).distinct(), "edges")
+    some = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # A vertex's smaller neighbours are tied to the least of them, which leaves hardly more edges than vertices.
+    least = some.withColumn("m", F.min("b").over(W.partitionBy("a")))
+    few = least.select("a", F.col("m").alias("b")).union(least.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+    both = materialize(few.union(few.select("b", "a")), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))

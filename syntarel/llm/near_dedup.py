@@ -197,6 +197,7 @@ def _verified(spark, ids: DataFrame, families: DataFrame, width: int, percent: i
     pairs = sets.select("doc_id", "component", "block", "items", F.explode(meets).alias("at")).select("doc_id", "component", "block", "items", "at.i", "at.j")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")  # so that each is reached from the least
         ids_, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
         items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
         linked = _links(items, percent)
@@ -204,7 +205,6 @@ def _verified(spark, ids: DataFrame, families: DataFrame, width: int, percent: i
             linked &= block[:, None] != block[None]
         return pd.DataFrame(_spanning(linked, ids_), columns=["a", "b"])
 
-    # Pieces of equal size, so that the largest family doesn't set the pace.
     return pairs.groupBy("component", "i", "j").applyInPandas(compare, "a long, b long")
 
 
