@@ -219,8 +219,9 @@ def _links(items: list[np.ndarray], percent: int) -> np.ndarray:
     both = np.zeros((n, n), np.float32)
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    width = max(256, (1 << 23) // n)
-    for low in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+    codes = int(code[-1]) + 1 if len(code) else 0
+    width = max(1, min(codes, (1 << 23) // n))
+    for low in range(0, codes, width):
         a, b = np.searchsorted(code, [low, low + width])
         table = np.zeros((n, width), np.float32)
         table[owner[a:b], code[a:b] - low] = 1
