@@ -191,7 +191,7 @@ def _verified(spark, ids: DataFrame, families: DataFrame, width: int, percent: i
     sizes = families.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / F.least(F.greatest(F.col("size") / 16, F.lit(SMALL_BLOCK)), F.lit(LARGE_BLOCK)))).cast("int")
     placed = families.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    sets = materialize(placed.join(ids, "doc_id").select("doc_id", "component", "blocks", "block", F.pandas_udf(as_sets, "binary").asNondeterministic()("text").alias("items")), "sets")
+    sets = materialize(placed.join(ids.hint("merge"), "doc_id").select("doc_id", "component", "blocks", "block", F.pandas_udf(as_sets, "binary").asNondeterministic()("text").alias("items")), "sets")
     # A block meets itself and every other block of its family once.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
     pairs = sets.select("doc_id", "component", "block", "items", F.explode(meets).alias("at")).select("doc_id", "component", "block", "items", "at.i", "at.j")
