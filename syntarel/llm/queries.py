@@ -104,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.mixing_sql(), "op3_near_dedup": near_dedup.classes_sql(4, 80)}
