@@ -115,45 +115,54 @@ class RunLengthIndex:
         self.above = np.where(rows > 0, order[rows - 1], -1)
         ends = np.append(rows[1:], self.n) - 1
         self.below = np.where(ends + 1 < self.n, order[np.minimum(ends + 1, self.n - 1)], -1)
-        self._text = symbols
+        self._text = symbols.astype(np.uint16 if len(texts) + 256 < 1 << 16 else np.int64)
 
     @staticmethod
     def _sorted(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-        """Suffix array by prefix doubling, begun with as many symbols as fit a word."""
+        """Suffix array by prefix doubling, begun with as many symbols as fit a word.
+
+        A rank is the first row of its group; only groups of two and more are
+        sorted again.
+        """
         n, bits = len(symbols), max(1, int(alphabet).bit_length())
         k = max(1, 62 // bits)
         padded = np.concatenate([symbols + 1, np.zeros(k, np.int64)])
         code = np.zeros(n, np.int64)
         for j in range(k):
             code = (code << bits) | padded[j : j + n]
+        order, rank, rows = np.argsort(code), np.empty(n, np.int64), np.arange(n)
+        code = code[order]
         while True:
-            order = np.argsort(code)
-            ranked = code[order]
-            new = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
-            if new[-1] == n - 1:
+            head = np.concatenate([[True], code[1:] != code[:-1]])
+            rank[order[rows]] = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
+            rows = rows[~(head & np.append(head[1:], True))]
+            if not len(rows):
                 return order
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            code = rank * (n + 1)
-            code[: n - k] += rank[k:] + 1
+            at = order[rows]
+            following = at + k
+            code = rank[at] * (n + 1) + np.where(following < n, rank[np.minimum(following, n - 1)] + 1, 0)
+            again = np.argsort(code)
+            order[rows], code = at[again], code[again]
             k *= 2
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of the suffixes at ``a`` and ``b`` (0 where b is -1)."""
-        out, text, n = np.zeros(len(a), np.int64), self._text, self.n
-        left = np.flatnonzero(b >= 0)
-        for step in (64, 8, 1):
-            going, stopped, span = left, [], np.arange(step)
-            while len(going):
-                x, y = a[going] + out[going], b[going] + out[going]
-                same = np.maximum(x, y) + step <= n
-                for at in range(0, len(going), 4096):
-                    some = at + np.flatnonzero(same[at : at + 4096])
-                    same[some] = (text[x[some, None] + span] == text[y[some, None] + span]).all(1)
-                out[going[same]] += step
-                stopped.append(going[~same])
-                going = going[same]
-            left = np.concatenate([*stopped, np.zeros(0, np.int64)])
+        """Length of the longest common prefix of the suffixes at ``a`` and ``b`` (0 where b is -1).
+
+        Separators differ, so that no prefix goes past the end of a text.
+        """
+        width, out = 32, np.zeros(len(a), np.int64)
+        spans = np.lib.stride_tricks.sliding_window_view(np.concatenate([self._text, np.zeros(width, self._text.dtype)]), width)
+        going = np.flatnonzero(b >= 0)
+        while len(going):
+            longer = []
+            for at in range(0, len(going), 8192):
+                some = going[at : at + 8192]
+                differ = spans[a[some] + out[some]] != spans[b[some] + out[some]]
+                first = differ.argmax(1)
+                same = ~differ[np.arange(len(some)), first]
+                out[some] += np.where(same, width, first)
+                longer.append(some[same])
+            going = np.concatenate(longer)
         return out
 
     def matching_statistics(self) -> np.ndarray:
@@ -187,7 +196,6 @@ def text_key(text: str = "text"):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """(text_key, spans): for each text with repeats, its covered byte ranges (from, to), not yet merged."""
-    spark = docs.sparkSession
     rows = docs.select(text_key(text).alias("text_key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
     k = min(K, length)
 
