@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from .common import materialize
 
 CAPACITY = 2048
+#: Characters whose words are put together in one call.
+TOGETHER = 4 << 20
 #: The byte-level pre-tokenizer that byte-pair files of this kind share (a fixed value).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -91,10 +93,16 @@ class BatchTokenizer:
                 plain.append(i)
             elif text:
                 out[i] = array("I", self.one(text)).tobytes()
-        for at in range(0, len(plain), 1 << 14):
-            some = plain[at : at + (1 << 14)]
-            for i, ids in zip(some, self._together([texts[i] for i in some]), strict=True):
-                out[i] = ids
+        some: list[int] = []
+        size = 0
+        for i in [*plain, -1]:
+            if some and (i < 0 or size > TOGETHER):
+                for k, ids in zip(some, self._together([texts[k] for k in some]), strict=True):
+                    out[k] = ids
+                some, size = [], 0
+            if i >= 0:
+                some.append(i)
+                size += len(texts[i])
         return out
 
     def _together(self, texts: list[str]) -> list[bytes]:
@@ -258,6 +266,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(bins), pa.array(offsets)], names=[*keep, "sequence_id", "offset"])
 
     keep = [c for c in pieces.columns if c not in ("task", "rank")]
-    joined = pieces.join(per_task.select("task", "length", "before"), ["task", "length"]).select(*keep, "rank", "before")
+    # Tasks times lengths: it grows with the corpus, so it isn't broadcast.
+    joined = pieces.join(per_task.select("task", "length", "before").hint("merge"), ["task", "length"]).select(*keep, "rank", "before")
     schema = T.StructType([*(pieces.schema[c] for c in keep), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return joined.mapInArrow(place, schema)
