@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let
 
 UNIT = r"\s*+\S{1,16}+|\s++"
 #: Orders, k-mers selected by each, and units in a k-mer.
@@ -88,27 +88,33 @@ def as_text(signature_: Column) -> Column:
     return F.array_join(F.transform(signature_, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """Adds ``next_<c>`` of each column: its value in the next row by descending doc_id; after the last comes the first.
 
     Ids fall into at most RANGES equal ranges, each sorted by itself; where a
     range ends, the next one's first row follows. Rows of one id follow each
     other by their columns' values, and those without an id come last.
+    ``derived`` names further columns that are made of ``columns`` alone: they
+    are added before the shuffle, and anew for the few rows that follow a range.
     """
-    low, high = F.min("doc_id"), F.max("doc_id")
-    span = docs.agg(low.alias("low"), high.alias("high")).first()
-    width = max(1, -(-(int(span["high"]) - int(span["low"]) + 1) // RANGES)) if span["low"] is not None else 1
-    ranged = docs.withColumn("__range", F.coalesce(-((F.col("doc_id") - F.lit(int(span["low"] or 0))) / width).cast("long"), F.lit(1)))
-    order = [F.desc_nulls_last("doc_id"), *columns]
-    inside = W.partitionBy("__range").orderBy(*order)
-    out = ranged.withColumns({f"__next_{c}": F.lead(c).over(inside) for c in columns} | {"__n": F.row_number().over(inside), "__last": F.lead(F.lit(False), 1, True).over(inside)})
+    derived = derived or {}
+    every = [*columns, *derived]
+    span = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low = int(span[0] or 0)
+    width = max(1, -(-(int(span[1] or 0) - low + 1) // RANGES))
+    ranged = docs.withColumn("__range", F.coalesce(-((F.col("doc_id") - F.lit(low)) / width).cast("long"), F.lit(1)))
+    inside = W.partitionBy("__range").orderBy(F.desc_nulls_last("doc_id"), *columns)
+    full = ranged.withColumns(derived)
+    out = full.withColumns({f"__next_{c}": F.lead(c).over(inside) for c in every} | {"__last": F.lead(F.lit(False), 1, True).over(inside)})
     heads = ranged.groupBy("__range").agg(F.min_by(F.struct(*columns), F.struct(-F.col("doc_id"), *columns)).alias("__head"))
     # One small row a range: which range comes next.
     ids = ranged.select("__range").distinct()
     along = ids.select("__range", F.coalesce(F.lead("__range").over(W.orderBy("__range")), F.min("__range").over(W.partitionBy())).alias("__to"))
-    follow = along.join(heads.withColumnRenamed("__range", "__to"), "__to").select(F.col("__range").alias("__from"), "__head")
-    ends = out.where("__last").join(follow, F.col("__range") == F.col("__from")).select(*docs.columns, *[F.col("__head")[c].alias(f"next_{c}") for c in columns])
-    return out.where("not __last").select(*docs.columns, *[F.col(f"__next_{c}").alias(f"next_{c}") for c in columns]).unionByName(ends)
+    follow = along.join(heads.withColumnRenamed("__range", "__to"), "__to").select(F.col("__range").alias("__from"), *[F.col("__head")[c].alias(c) for c in columns]).withColumns(derived)
+    follow = follow.select("__from", *[F.col(c).alias(f"__head_{c}") for c in every])
+    own = [c for c in full.columns if c != "__range"]
+    ends = out.where("__last").join(follow, F.col("__range") == F.col("__from")).select(*own, *[F.col(f"__head_{c}").alias(f"next_{c}") for c in every])
+    return out.where("not __last").select(*own, *[F.col(f"__next_{c}").alias(f"next_{c}") for c in every]).unionByName(ends)
 
 
 def fingerprint(docs: DataFrame, text: str = "text", into: str = "signature") -> DataFrame:

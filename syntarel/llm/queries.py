@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprint, language_id, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, url_filter
-from .common import fold, materialize, new_path
+from .common import fold, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,9 +75,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # The texts are shuffled once; what is read twice below is read from the shared folder.
-    signed = materialize(fingerprint.fingerprint(docs.withColumn("n_chars", F.length("text").cast("long"))), "signed")
-    pairs = fingerprint.with_next(signed, ["text", "signature"])
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    # The texts are shuffled once, with their signatures.
+    pairs = fingerprint.with_next(docs, ["text"], {"signature": fingerprint.signature(F.col("text"))})
     after = pairs.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text"))).drop("text", "next_text")
     both = fingerprint.fingerprint(after, "edited", "edited_signature").withColumn("edited_sha256", F.sha2("edited", 256))
     return both.select(
