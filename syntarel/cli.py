@@ -84,7 +84,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "tree":
         print(tree.render_tree([r.asDict() for r in tree.file_tree(_files(spark, args.path)).collect()]))
     elif args.command in ("structure", "calls", "impact"):
-        nodes = ast_table.ast_nodes(ast_table.read_sources(spark, os.path.abspath(args.path)))
+        nodes = ast_table.ast_nodes(ast_table.read_sources(spark, os.path.abspath(args.path))).persist()
         if args.command == "structure":
             rows = render.structure_lines(code.code_units(nodes))
         elif args.command == "calls":
@@ -98,7 +98,7 @@ def main(argv: list[str] | None = None) -> int:
         print(render.imports_json(args.file, ast_table.imports(_one(spark, args.file, args.lang))))
     elif args.command in ("complexity", "dfg", "slice"):
         sources = _one(spark, args.file)
-        nodes = ast_table.ast_nodes(sources)
+        nodes = ast_table.ast_nodes(sources).persist()
         if args.command == "complexity":
             found = code.unit_complexity(nodes) if not args.function else code.complexity(nodes).withColumnRenamed("function", "name").where(f"name = '{args.function}'")
             for r in render.complexity_lines(found).toLocalIterator():

@@ -72,7 +72,8 @@ def fixture_sources(spark: SparkSession) -> DataFrame:
 
 
 def _nodes(spark: SparkSession) -> DataFrame:
-    return ast_table.ast_nodes(fixture_sources(spark))
+    # Analyses read the nodes several times; sources are parsed once.
+    return ast_table.ast_nodes(fixture_sources(spark).coalesce(1)).persist()
 
 
 def _refs(spark: SparkSession) -> DataFrame:
