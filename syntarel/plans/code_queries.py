@@ -72,8 +72,7 @@ def fixture_sources(spark: SparkSession) -> DataFrame:
 
 
 def _nodes(spark: SparkSession) -> DataFrame:
-    # Analyses read the nodes several times; sources are parsed once.
-    return ast_table.ast_nodes(fixture_sources(spark).coalesce(1)).persist()
+    return ast_table.ast_nodes(fixture_sources(spark).coalesce(1))
 
 
 def _refs(spark: SparkSession) -> DataFrame:
