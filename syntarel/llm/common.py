@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows and bytes that a Python worker gets at once; a batch of whole texts then takes some tens of MB at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches within BATCH, so that workers' memory doesn't follow the texts."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/syntarel/{name}-{uuid.uuid4().hex}"

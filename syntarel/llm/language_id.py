@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 BUCKETS = 1 << 16
 #: Most languages a model holds: 256 KB each, so the broadcast stays below 64 MB.
 MAX_LANGUAGES = 256
@@ -63,6 +65,7 @@ def count_trigrams(train: DataFrame, text: str = "text", lang: str = "lang") ->
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "bucket", "n"])
 
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    bound_batches(train.sparkSession)
     parts = rows.mapInArrow(count, "lang string, bucket int, n long")
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -140,6 +143,7 @@ def detect_language(docs: DataFrame, model: LanguageModel, text: str = "text", i
     languages go to the first by name. A column named ``into`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.probabilities))
+    bound_batches(docs.sparkSession)
 
     def infer(texts: pd.Series) -> pd.DataFrame:
         known = LanguageModel(*shared.value)

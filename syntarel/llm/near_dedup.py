@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .components import connected_components
 
 #: Registers; base; registers in a band. At a similarity of 0.8 all 32 bands miss once in 2 * 10^7 pairs.
@@ -139,6 +139,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     with the component of their text, or null. Other columns aren't read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def measure(batches):
         import pyarrow as pa

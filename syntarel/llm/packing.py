@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 CAPACITY = 2048
 #: Characters whose words are put together in one call.
@@ -243,6 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     gives no rows. Columns other than doc_id and text aren't read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     pieces = materialize(tokenize(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 PASSAGE = 512
 SINGLES, PAIRS = 129, 384
 WIDTH = SINGLES + PAIRS + 2
@@ -108,6 +110,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, label: str = "qualit
     one = labels.select("doc_id", F.col(label).cast("int").alias("__label")).where("doc_id is not null and __label in (0, 1)").groupBy("doc_id").agg(F.max("__label").alias("__label"))
     chosen = one.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     bags_of = F.pandas_udf(_encoded, "binary")
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "__label", bags_of("text").alias("bag"), (F.length("text") / PASSAGE).alias("__size"))
     total = F.sum("__size").over(_by_id())
     got = rows.withColumn("__total", total).where(F.coalesce("__total", F.lit(0)) <= SAMPLE_PASSAGES).orderBy("doc_id").select("__label", "bag").collect()
@@ -136,6 +139,7 @@ def score_documents(docs: DataFrame, model: AttentionModel | float, text: str =
     if isinstance(model, float):
         return docs.withColumn(into, F.lit(model))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bound_batches(docs.sparkSession)
 
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(x) for x in texts], dtype="float64")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -120,6 +120,7 @@ def score_quality(docs: DataFrame, text: str = "text", into: str = "rules", keep
         return pd.DataFrame([measure(x) for x in texts], columns=[*_COUNTS, "pattern"])
 
     udf = F.pandas_udf(run, FEATURES).asNondeterministic()
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != into] if keep is None else keep
     kept = materialize(docs.withColumn(into, udf(F.col(text).cast("string"))).select(*names, into), "rules")
     counts = {r[0]: r[1] for r in kept.groupBy(F.col(f"{into}.pattern")).count().collect()}

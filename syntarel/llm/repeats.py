@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 LENGTH = 400
 #: Bytes of the strings that windows are known by.
@@ -196,6 +196,7 @@ def text_key(text: str = "text"):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """(text_key, spans): for each text with repeats, its covered byte ranges (from, to), not yet merged."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(text_key(text).alias("text_key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
     k = min(K, length)
 
