@@ -17,6 +17,8 @@ from syntarel.llm.common import materialize
 
 #: A document stays if its main language makes up this much of it.
 LEAST_LANGUAGE = 0.35
+#: Words of a passage that must not be found twice, however few bytes they take.
+PASSAGE_WORDS = 51
 #: Part of the tokens that mixing keeps.
 KEEP = 0.8
 
@@ -54,11 +56,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes every byte of a 400-byte string found twice; characters cut in two go, and so do documents left blank.
+    """Removes every byte of a 400-byte string, and of a sequence of 51 words, found twice; characters cut in two go, and so do documents left blank.
 
     ``n_chars`` becomes the new length. Documents without repeats stay as they are.
     """
-    cut = repeats.cut_repeats(docs, into="__repeats")
+    cut = repeats.cut_repeats(docs, into="__repeats", words=PASSAGE_WORDS)
     as_text = F.pandas_udf(_decoded, "string")("__repeats.kept")
     changed = F.col("__repeats.n_removed") > 0
     out = cut.withColumn("__new", F.when(changed, as_text).otherwise(F.col("text")))

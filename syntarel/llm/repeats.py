@@ -6,8 +6,8 @@ number of documents, and each in tasks of bounded size:
 1. A window of LENGTH bytes is known by the least hash among its K-byte strings.
    Successive windows with the same one form a fragment. Equal windows have equal
    hashes, so they lie in fragments of the same key.
-2. Fragments are counted by key and content. A key met once holds no repeat. Of the
-   others, one copy of each different fragment is kept, with its multiplicity.
+2. A key met once holds no repeat. The other keys' fragments are counted by content,
+   and one copy of each different fragment is kept, with its multiplicity.
 3. Keys are dealt to small shards. A shard's fragments are indexed together by the
    run-compressed Burrows-Wheeler transform of their text, with the suffix array
    sampled where runs start and end. Streaming in text order, a position's longest
@@ -16,6 +16,9 @@ number of documents, and each in tasks of bounded size:
    occurs twice.
 4. Marks go back to the documents.
 
+Sequences of a number of words are found in the same way, if asked for: a word takes
+the place of a byte, and white space between words doesn't count.
+
 A key with more different fragments than a shard should hold (one passage in
 very many contexts) has its windows hashed one by one and counted, which splits it
 among any number of tasks; the result is the same.
@@ -23,16 +26,18 @@ among any number of tasks; the result is the same.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, release
 
 LENGTH = 400
-#: Bytes of the strings that windows are known by.
-K = 64
+#: Bytes of the strings that windows are known by, and words of those that windows of words are known by.
+K, WORDS_K = 64, 8
 #: Bytes that a shard's index should hold, and different fragments of a key from which its windows are counted instead.
 SHARD_BYTES, HOT_KEY = 512 << 10, 1024
 #: Windows looked at together; positions within fit 20 bits.
@@ -40,6 +45,8 @@ _CHUNK = 1 << 19
 
 _RNG = np.random.default_rng(77003)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
+#: The six ASCII white spaces, between words.
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _UP: np.ndarray = np.ones(1, np.uint64)
 _DOWN: np.ndarray = np.ones(1, np.uint64)
@@ -63,9 +70,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def string_hashes(raw: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all strings of ``k`` bytes."""
+    """64-bit hashes of all strings of ``k`` bytes, or of ``k`` words given by their hashes (uint64)."""
     up, down = _powers(len(raw))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up, dtype=np.uint64)])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_BYTE[raw] if raw.dtype == np.uint8 else raw) * up, dtype=np.uint64)])
     return _mix((total[k:] - total[:-k]) * down[: len(raw) - k + 1])
 
 
@@ -92,10 +99,21 @@ def fragments(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.nda
     return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts)
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A number (uint64) of each word; fragments() takes them in place of bytes."""
+    return _mix(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(_STEP))
+
+
+def word_ends(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) in bytes of each word, as bytes.split() has them."""
+    inside = np.concatenate([[False], ~_WHITE[raw], [False]])
+    return np.flatnonzero(~inside[:-1] & inside[1:]), np.flatnonzero(inside[:-1] & ~inside[1:])
+
+
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of some texts, sampled at the ends of its runs."""
+    """Run-compressed Burrows-Wheeler transform of some texts (bytes, or arrays of numbers from 0), sampled at the ends of its runs."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes] | list[np.ndarray]):
         size = np.array([len(x) for x in texts], np.int64)
         self.ends = np.cumsum(size + 1) - 1  # of each text; there stands a separator of its own
         self.starts = self.ends - size
@@ -104,8 +122,10 @@ class RunLengthIndex:
         symbols[self.ends] = np.arange(len(texts))
         inside = np.ones(self.n, bool)
         inside[self.ends] = False
-        symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + len(texts)
-        order = self._sorted(symbols, len(texts) + 256)
+        flat = np.frombuffer(b"".join(texts), np.uint8) if isinstance(texts[0], bytes) else np.concatenate(texts)
+        symbols[inside] = flat.astype(np.int64) + len(texts)
+        alphabet = len(texts) + (256 if flat.dtype == np.uint8 else int(flat.max(initial=0)) + 1)
+        order = self._sorted(symbols, alphabet)
         last = symbols[order - 1]  # of the first suffix it is the last separator
         head = np.concatenate([[True], last[1:] != last[:-1]])
         #: The transform's runs and the text positions sampled at their first and last rows.
@@ -115,7 +135,7 @@ class RunLengthIndex:
         self.above = np.where(rows > 0, order[rows - 1], -1)
         ends = np.append(rows[1:], self.n) - 1
         self.below = np.where(ends + 1 < self.n, order[np.minimum(ends + 1, self.n - 1)], -1)
-        self._text = symbols.astype(np.uint16 if len(texts) + 256 < 1 << 16 else np.int64)
+        self._text = symbols.astype(np.uint16 if alphabet < 1 << 16 else np.int64)
 
     @staticmethod
     def _sorted(symbols: np.ndarray, alphabet: int) -> np.ndarray:
@@ -194,10 +214,11 @@ def text_key(text: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """(text_key, spans): for each text with repeats, its covered byte ranges (from, to), not yet merged."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", words: int | None = None) -> DataFrame:
+    """(text_key, spans): for each text with repeats, its covered ranges (from, to, of words or else bytes), not yet merged."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(text_key(text).alias("text_key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
+    least = length if words is None else min(length, 2 * words - 1)
+    rows = docs.select(text_key(text).alias("text_key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= least)
     k = min(K, length)
 
     def cut(batches):
@@ -205,7 +226,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
         import xxhash
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = body.encode("utf-8", "surrogatepass")
                 keys, first, last = fragments(np.frombuffer(raw, np.uint8), length, k)
@@ -214,14 +235,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
                 out[2] += [name] * len(first)
                 out[3].append(first)
                 out[4].append(last + length)
+                out[5].append(np.zeros(len(first), bool))
+                if words is not None and len(split := raw.split()) >= words:
+                    keys, first, last = fragments(word_hashes(split), words, min(WORDS_K, words))
+                    out[0].append(keys.view(np.int64))
+                    out[1] += [xxhash.xxh3_128_digest(b" ".join(split[a : b + words])) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                    out[2] += [name] * len(first)
+                    out[3].append(first)
+                    out[4].append(last + words)
+                    out[5].append(np.ones(len(first), bool))
             if out[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(np.concatenate(out[3])), pa.array(np.concatenate(out[4]))], names=["key", "content", "text_key", "a", "b"])
-
-    found = materialize(rows.mapInArrow(cut, "key long, content binary, text_key binary, a long, b long"), "fragments")
-    kinds = found.groupBy("key", "content").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "a", "b")).alias("at"))
-    kinds = materialize(kinds, "kinds")
-    keys = kinds.groupBy("key").agg(F.sum("times").alias("all"), F.count("*").alias("kinds")).where("all > 1").select("key", "kinds")
-    wanted = kinds.join(keys, "key").select("at.text_key", F.struct("key", "content", "times", "kinds", "at.a", "at.b").alias("at"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(np.concatenate(out[3])), pa.array(np.concatenate(out[4])), pa.array(np.concatenate(out[5]))], names=["key", "content", "text_key", "a", "b", "words"])
+
+    every = materialize(rows.mapInArrow(cut, "key long, content binary, text_key binary, a long, b long, words boolean"), "fragments")
+    again = every.groupBy("key", "words").agg(F.count("*").alias("all")).where("all > 1").select("key", "words")
+    found = materialize(every.join(again, ["key", "words"]), "repeated")
+    release(every)
+    kinds = materialize(found.groupBy("key", "content", "words").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "a", "b")).alias("at")), "kinds")
+    keys = kinds.groupBy("key", "words").agg(F.count("*").alias("kinds"))
+    wanted = kinds.join(keys, ["key", "words"]).select("at.text_key", F.struct("key", "content", "times", "kinds", "at.a", "at.b", "words").alias("at"))
     # One text of each key that holds a wanted fragment: its pieces come from one row.
     lists = wanted.groupBy("text_key").agg(F.collect_list("at").alias("ats"))
     texts = rows.join(lists, "text_key")
@@ -233,34 +265,41 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
             out: list[tuple] = []
             for body, ats in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = body.encode("utf-8", "surrogatepass")
-                out += [(x["key"], x["content"], x["times"], x["kinds"], raw[x["a"] : x["b"]]) for x in ats]
+                split = raw.split() if any(x["words"] for x in ats) else []
+                out += [(x["key"], x["content"], x["times"], x["kinds"], b" ".join(split[x["a"] : x["b"]]) if x["words"] else raw[x["a"] : x["b"]], x["words"]) for x in ats]
             if out:
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "content", "times", "kinds", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["key", "content", "times", "kinds", "body", "words"])
 
     # Copies of a text give their fragments again; one of each is kept.
-    taken = texts.select("text", "ats").mapInArrow(take, "key long, content binary, times long, kinds long, body binary")
-    bodies = materialize(taken.groupBy("key", "content").agg(F.first("times").alias("times"), F.first("kinds").alias("kinds"), F.first("body").alias("body")), "bodies")
+    taken = texts.select("text", "ats").mapInArrow(take, "key long, content binary, times long, kinds long, body binary, words boolean")
+    bodies = materialize(taken.groupBy("key", "content", "words").agg(F.first("times").alias("times"), F.first("kinds").alias("kinds"), F.first("body").alias("body")), "bodies")
     few = bodies.where(F.col("kinds") <= HOT_KEY)
     total = few.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
-        marks = RunLengthIndex(list(rows["body"])).repeats(length)
+        of_words, bodies = bool(rows["words"].iloc[0]), list(rows["body"])
+        if of_words:
+            numbers: dict[bytes, int] = {}
+            bodies = [np.array([numbers.setdefault(w, len(numbers)) for w in x.split()], np.int64) for x in bodies]
+        marks = RunLengthIndex(bodies).repeats(words if of_words else length)
         out = []
-        for key, content, times, body, starts in zip(rows["key"], rows["content"], rows["times"], rows["body"], marks, strict=True):
-            spans = [(0, len(body))] if times > 1 else _covered(starts, length)
-            out += [(key, content, a, b) for a, b in spans]
-        return pd.DataFrame(out, columns=["key", "content", "from", "to"])
-
-    schema = "key long, content binary, from long, to long"
-    marked = few.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(index, schema)
-    marks = materialize(marked.unionByName(_windows(bodies.where(F.col("kinds") > HOT_KEY), length)), "marks")
-    spans = found.join(marks, ["key", "content"]).select("text_key", F.struct((F.col("a") + F.col("from")).alias("from"), (F.col("a") + F.col("to")).alias("to")).alias("span"))
+        for key, content, times, body, starts in zip(rows["key"], rows["content"], rows["times"], bodies, marks, strict=True):
+            spans = [(0, len(body))] if times > 1 else _covered(starts, words if of_words else length)
+            out += [(key, content, of_words, a, b) for a, b in spans]
+        return pd.DataFrame(out, columns=["key", "content", "words", "from", "to"])
+
+    marked = few.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard", "words").applyInPandas(index, _MARKS)
+    marks = materialize(marked.unionByName(_windows(bodies.where(F.col("kinds") > HOT_KEY), length, words)), "marks")
+    spans = found.join(marks, ["key", "content", "words"]).select("text_key", F.struct((F.col("a") + F.col("from")).alias("from"), (F.col("a") + F.col("to")).alias("to"), "words").alias("span"))
     return spans.groupBy("text_key").agg(F.collect_set("span").alias("spans"))
 
 
-def _windows(bodies: DataFrame, length: int) -> DataFrame:
+_MARKS = "key long, content binary, words boolean, from long, to long"
+
+
+def _windows(bodies: DataFrame, length: int, words: int | None = None) -> DataFrame:
     """The marks of fragments of hot keys, their windows counted one by one."""
 
     def windows(batches):
@@ -268,24 +307,28 @@ def _windows(bodies: DataFrame, length: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            for key, content, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                n = len(body) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(body[i : i + length]) for i in range(n)], pa.binary()), pa.array([key] * n, pa.int64()), pa.array([content] * n, pa.binary()), pa.array(range(n), pa.int64())], names=["window", "key", "content", "at"])
-
-    whole = bodies.where("times > 1").select("key", "content", F.lit(0).cast("long").alias("from"), F.octet_length("body").cast("long").alias("to"))
-    each = bodies.select("key", "content", "body").mapInArrow(windows, "window binary, key long, content binary, at long")
-    single = bodies.where("times = 1").select("key", "content")
-    twice = each.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hits = each.join(twice, "window").join(single, ["key", "content"], "left_semi")
+            for key, content, body, of_words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                units, size = (body.split(), words) if of_words else (body, length)
+                n = len(units) - size + 1
+                each = (b" ".join(units[i : i + size]) if of_words else units[i : i + size] for i in range(n))
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(xxhash.xxh3_128_digest, each)), pa.binary()), pa.array([key] * n, pa.int64()), pa.array([content] * n, pa.binary()), pa.array([of_words] * n, pa.bool_()), pa.array(range(n), pa.int64())], names=["window", "key", "content", "words", "at"])
+
+    units = F.when(F.col("words"), F.regexp_count(F.col("body").cast("string"), F.lit(" ")) + 1).otherwise(F.octet_length("body"))
+    whole = bodies.where("times > 1").select("key", "content", "words", F.lit(0).cast("long").alias("from"), units.cast("long").alias("to"))
+    each = bodies.select("key", "content", "body", "words").mapInArrow(windows, "window binary, key long, content binary, words boolean, at long")
+    single = bodies.where("times = 1").select("key", "content", "words")
+    twice = each.groupBy("window", "words").agg(F.count("*").alias("n")).where("n > 1").select("window", "words")
+    hits = each.join(twice, ["window", "words"]).join(single, ["key", "content", "words"], "left_semi")
 
     def spans(rows: pd.DataFrame) -> pd.DataFrame:
-        out = _covered(np.sort(rows["at"].to_numpy()), length)
-        return pd.DataFrame([(rows["key"].iloc[0], rows["content"].iloc[0], a, b) for a, b in out], columns=["key", "content", "from", "to"])
+        of_words = bool(rows["words"].iloc[0])
+        out = _covered(np.sort(rows["at"].to_numpy()), words if of_words else length)
+        return pd.DataFrame([(rows["key"].iloc[0], rows["content"].iloc[0], of_words, a, b) for a, b in out], columns=["key", "content", "words", "from", "to"])
 
-    return whole.unionByName(hits.groupBy("key", "content").applyInPandas(spans, "key long, content binary, from long, to long"))
+    return whole.unionByName(hits.groupBy("key", "content", "words").applyInPandas(spans, _MARKS))
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", into: str = "repeats") -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", into: str = "repeats", words: int | None = None) -> DataFrame:
     """Adds struct ``into``: n_bytes, n_removed, n_spans, spans (from, to) and kept (the bytes left).
 
     Texts are UTF-8 bytes, a null one is empty; matches never cross documents.
@@ -294,6 +337,10 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", into:
     the input. Repeated rows are documents of their own, so each is removed
     where it is long enough. Texts shorter than ``length`` stay whole, and so
     does an empty table. All rows and other columns stay.
+
+    With ``words``, every sequence of so many words (runs of anything but the six
+    ASCII white spaces) that starts in another place too is removed as well, from
+    its first to its last byte, however short and whatever stands between its words.
     """
 
     def apply(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -301,7 +348,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", into:
         for body, ranges in zip(texts, spans, strict=True):
             raw = (body or "").encode("utf-8", "surrogatepass")
             merged: list[list[int]] = []
-            for x in sorted((int(x["from"]), int(x["to"])) for x in ranges) if ranges is not None else ():
+            found = [] if ranges is None else [(int(x["from"]), int(x["to"]), x["words"]) for x in ranges]
+            if any(x[2] for x in found):
+                starts, ends = word_ends(np.frombuffer(raw, np.uint8))
+                found = [(int(starts[a]), int(ends[b - 1])) if of_words else (a, b) for a, b, of_words in found]
+            for x in sorted(x[:2] for x in found):
                 if merged and x[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], x[1])
                 else:
@@ -313,5 +364,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", into:
 
     kind = "n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>, kept binary"
     keyed = docs.withColumn("__text_key", text_key(text))
-    joined = keyed.join(repeated_spans(docs, length, text).select(F.col("text_key").alias("__text_key"), F.col("spans").alias("__spans")), "__text_key", "left")
+    joined = keyed.join(repeated_spans(docs, length, text, words).select(F.col("text_key").alias("__text_key"), F.col("spans").alias("__spans")), "__text_key", "left")
     return joined.withColumn(into, F.pandas_udf(apply, kind).asNondeterministic()(F.col(text).cast("string"), "__spans")).drop("__text_key", "__spans")

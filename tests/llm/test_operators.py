@@ -265,6 +265,38 @@ def test_cut_repeats_against_every_string(spark, monkeypatch, hot):
     assert sum(r.n_removed > 0 for r in got.values()) > 20
 
 
+def plain_cut_words(texts, length, size):
+    """What plain_cut removes, and all sequences of ``size`` words found twice."""
+    raw = [(t or "").encode() for t in texts]
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raw]
+    grams = [[tuple(b[x:y] for x, y in w[i : i + size]) for i in range(len(w) - size + 1)] for b, w in zip(raw, at, strict=True)]
+    count = Counter(g for x in grams for g in x)
+    strings = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b, w, g in zip(raw, at, grams, strict=True):
+        on = bytearray(len(b))
+        for x, y in [(i, i + length) for i in range(len(b) - length + 1) if strings[b[i : i + length]] > 1] + [(w[i][0], w[i + size - 1][1]) for i in range(len(g)) if count[g[i]] > 1]:
+            on[x:y] = b"\1" * (y - x)
+        out.append(bytes(x for x, y in zip(b, on, strict=True) if not y))
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_cut_repeats_of_short_words(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(repeats, "HOT_KEY", 0)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 4096)
+    rng = random.Random(4)
+    passage = [rng.choice("abcdefghijklmnop") for _ in range(80)]
+    texts = corpus_with_passages(3, 400)
+    for n in (50, 51, 52, 80, 51, 50):
+        texts.append(words(rng, 40, 10**6) + " " + rng.choice([" ", "\n\n", "\t"]).join(passage[:n]) + " " + words(rng, 40, 10**6))
+    got = {r.doc_id: r.repeats for r in repeats.cut_repeats(frame(spark, list(enumerate(texts))), words=51).collect()}
+    for i, want in enumerate(plain_cut_words(texts, 400, 51)):
+        assert bytes(got[i].kept) == want
+    assert [got[len(texts) - 6 + k].n_removed >= 101 for k in range(6)] == [False, True, True, True, True, False]
+
+
 def test_index_statistics_against_all_pairs():
     rng = random.Random(8)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 60))).encode() for _ in range(12)] + [b"aaaaaaaaaa", b"", b"abab" * 10]

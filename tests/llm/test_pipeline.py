@@ -50,6 +50,15 @@ def test_planted_cases(spark, rows):
     assert packed.where("n > 2048").count() == 0
 
 
+def test_passages_of_51_short_words_go(spark):
+    rng = random.Random(12)
+    passage = " ".join(rng.choice("abcdefghijklmnop") for _ in range(51))
+    rows = [(i, f"{prose(rng, 60)} {passage if i < 3 else passage[:-2]} {prose(rng, 60)}", "aa", "s0", 0) for i in range(5)]
+    got = {r.doc_id: r.text for r in STAGES["suffix_dedup"](spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert all(passage not in got[i] and got[i] == rows[i][1].replace(passage, "") for i in range(3))
+    assert all(got[i] == rows[i][1] for i in (3, 4))  # 50 words stay
+
+
 def test_odd_rows_and_columns(spark):
     long = " ".join(f"word{i}" for i in range(20_000))
     odd = [(None, None, None, None, None), (1, "", "en", None, 0), (2, " \n", None, "a", 2), (3, long, "en", "a", len(long)), (4, "Tiny text.", "en", "b", 10), (4, "Tiny text.", "en", "b", 10), (None, "no id at all here", "en", "b", 17), (None, "no id at all here", "en", "b", 17), (None, "Tiny text.", "en", "b", 10)]
