@@ -2,7 +2,8 @@
 
 Documents fall into cells of source, language and topic. Raking scales the cells'
 token weights to the target share of each source, each language and each topic in
-turn until all margins hold. A cell's sampling probability is its raked weight over
+turn until all margins hold to TOLERANCE; where targets contradict each other, so
+that they can't hold, a warning gives the error that is left. A cell's sampling probability is its raked weight over
 its tokens, times a factor that is calibrated so that the expected tokens make up
 the wanted part of the corpus, none being taken more than once.
 
@@ -12,6 +13,8 @@ only single numbers reach the driver.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +27,11 @@ TOPICS = [("legal", "(?i)licen[sc]e|copyright|all rights reserved"), ("credentia
 OTHER = "general"
 #: Without targets, a margin's shares are its token shares to this power, normed.
 TEMPER = 0.7
-#: Sweeps over the three margins, and part of the tokens that is kept.
+#: Sweeps over the three margins at least, and part of the tokens that is kept.
 SWEEPS, KEEP = 10, 0.6
+#: Largest relative error of a margin at which raking stops. It gives up, with a warning, where STEP sweeps
+#: take off less than a thousandth of the error, or after MOST_SWEEPS.
+TOLERANCE, STEP, MOST_SWEEPS = 1e-6, 5, 5000
 
 
 def topic_of(text: Column, topics: list[tuple[str, str]] | None = None) -> Column:
@@ -50,7 +56,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
     """Adds ``weight`` to the cells (``source, lang, topic, tokens``): shares that meet the margins' targets.
 
     ``targets`` maps a margin to its values' shares; a value it doesn't name
-    shares the rest by its tokens. A margin without targets is tempered.
+    shares the rest by its tokens. A margin without targets is tempered. After
+    ``sweeps`` sweeps, more follow until all margins hold to TOLERANCE.
     """
     total = F.sum("tokens").over(W.partitionBy())
     df = cells.where("tokens > 0").withColumn("weight", F.col("tokens") / total)
@@ -75,15 +82,34 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
     df = df.drop(*[f"t_{m}" for m in MARGINS])
     for margin, values in zip(MARGINS, wanted, strict=True):
         df = df.join(values, margin)
-    df = materialize(df, "cells")
-    for sweep in range(sweeps):
-        for margin in MARGINS:
-            df = df.withColumn("weight", F.col("weight") * F.col(f"want_{margin}") / F.sum("weight").over(W.partitionBy(margin)))
-        if sweep % 5 == 4:
-            df = materialize(df, "raked")
+    # In one partition a sweep takes no shuffle.
+    df, done, before = materialize(df, "cells").coalesce(1), 0, float("inf")
+    while True:
+        step = min(STEP, sweeps - done) if done < sweeps else STEP
+        for _ in range(step):
+            for margin in MARGINS:
+                # A cell that got no weight keeps none.
+                df = df.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * F.col(f"want_{margin}") / F.sum("weight").over(W.partitionBy(margin))).otherwise(0.0))
+        df, done = materialize(df, "raked").coalesce(1), done + step
+        if done < sweeps:
+            continue
+        error = margin_error(df)
+        if error <= TOLERANCE:
+            break
+        if error > before * 0.999 or done >= MOST_SWEEPS:
+            warnings.warn(f"after {done} sweeps a margin is off its target by a factor of 1 +- {error:.3g}", stacklevel=2)
+            break
+        before = error
     return df.select(*MARGINS, "tokens", "weight")
 
 
+def margin_error(df: DataFrame) -> float:
+    """Largest error of a margin's sums of ``weight`` in relation to its targets ``want_...``; 0 without cells."""
+    off = [F.abs(F.sum("weight").over(W.partitionBy(m)) / F.col(f"want_{m}") - 1) for m in MARGINS]
+    worst = df.select(F.greatest(*[F.when(F.col(f"want_{m}") > 0, x).otherwise(0.0) for m, x in zip(MARGINS, off, strict=True)]).alias("off"))
+    return float(worst.agg(F.max("off")).first()[0] or 0.0)
+
+
 def calibrate(raked: DataFrame, keep: float = KEEP, most_steps: int = 60) -> DataFrame:
     """Adds ``rate`` (0 to 1): min(1, factor * weight / token share), the factor such that ``keep`` of all tokens is expected.
 

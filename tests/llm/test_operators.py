@@ -129,6 +129,41 @@ def test_rake_meets_margins_and_calibrates(spark):
     assert rates.agg(F.sum(F.col("tokens") * F.col("rate"))).first()[0] == pytest.approx(0.6 * sum(c[3] for c in cells), rel=1e-6)
 
 
+def nearly_one_language(seed, main=0.98):
+    """Cells of sources that are nearly of one language, one of them with a third of all tokens."""
+    rng = np.random.default_rng(seed)
+    cells = []
+    for i in range(12):
+        lang = rng.dirichlet(np.ones(5)) * (1 - main)
+        lang[i % 5] += main
+        size = 1e8 if i == 0 else 2e8 / 11
+        cells += [(f"s{i}", f"l{j}", f"t{k}", float(int(size * a * b) + 1)) for j, a in enumerate(lang) for k, b in enumerate(rng.dirichlet(np.ones(5)))]
+    return cells
+
+
+def test_rake_meets_margins_of_sources_of_nearly_one_language(spark):
+    cells = nearly_one_language(1)
+    got = mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")).collect()
+    total = sum(c[3] for c in cells)
+    for at, margin in enumerate(mixing.MARGINS):
+        sums, have = Counter(), Counter()
+        for c in cells:
+            sums[c[at]] += (c[3]) / total
+        for r in got:
+            have[r[margin]] += r.weight
+        raw = {v: x**mixing.TEMPER for v, x in sums.items()}
+        for v, x in raw.items():
+            assert have[v] == pytest.approx(x / sum(raw.values()), rel=2e-6)
+
+
+def test_rake_reports_targets_that_cannot_hold(spark):
+    cells = [("a", "en", "x", 80.0), ("b", "de", "x", 20.0)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+    with pytest.warns(UserWarning, match="off its target"):
+        got = mixing.rake(df, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}})
+    assert got.where("weight > 0 and weight < 1").count() == 2
+
+
 def test_mix_on_odd_rows(spark, odd):
     got = mixing.mix(odd)
     assert got.count() == odd.count() and got.columns == [*odd.columns, "mixing"]
