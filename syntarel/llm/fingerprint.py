@@ -1,7 +1,8 @@
 """Document fingerprints by order MinHash.
 
 A text is cut into units (a run of at most 16 characters with the white space
-before it), and every three successive units form a k-mer, numbered by its
+before it; of a longer run each character is a unit, so that an edit doesn't move
+the others), and every three successive units form a k-mer, numbered by its
 occurrence. Each of M orders of the k-mers selects the L minimal ones; these
 are put back in the order of the text and hashed as a tuple, so a fingerprint
 depends on content and on order and follows the edit distance.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-UNIT = r"\s*+\S{1,16}+|\s++"
+UNIT = r"\s*+(?<!\S)\S{1,16}+(?!\S)|\s*+\S|\s++"
 #: Orders, k-mers selected by each, and units in a k-mer.
 M, L, K = 64, 2, 3
 #: A selected k-mer is one long: 36 bits of hash above 27 bits of position (the top bit is 0).

@@ -573,6 +573,15 @@ def test_fingerprints_follow_edits(spark, odd):
     assert strange.count() == odd.count() and strange.where("size(signature) <> 64 or signature is null").count() == 0
 
 
+def test_fingerprints_follow_edits_without_spaces(spark):
+    rng = random.Random(6)
+    base = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2000))
+    texts = [base, "一" + base, base[:900] + "一" + base[900:], base[::-1]]
+    got = {r.doc_id: r.signature for r in fingerprint.fingerprint(frame(spark, list(enumerate(texts)))).collect()}
+    like = lambda a, b: sum(x == y for x, y in zip(got[a], got[b], strict=True)) / fingerprint.M
+    assert like(0, 1) > 0.9 and like(0, 2) > 0.9 and like(0, 3) < 0.1
+
+
 def test_occurrences_are_numbered(spark):
     texts = ["a b c " * 5, "a b c " * 6, "a b c " * 5]
     got = [r.s for r in frame(spark, list(enumerate(texts)), parts=1).select("doc_id", fingerprint.signature(F.col("text")).alias("s")).orderBy("doc_id").collect()]
