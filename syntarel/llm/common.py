@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,17 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    A private one is chosen (and recorded in the session) only where the
-    setting is missing, as in local tests.
+    Without the setting, a private one is chosen (and recorded in the session)
+    where everything runs in one process, as in local tests. On a cluster that is
+    an error: executors would write to disks of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("spark.syntarel.local.dir", None)
         if not path:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="syntarel-")
             spark.conf.set("spark.syntarel.local.dir", path)
     return path.rstrip("/")
@@ -28,6 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings with ``values`` for a while."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep the session's Arrow batches within BATCH, so that workers' memory doesn't follow the texts."""
     for key, most in BATCH.items():
@@ -45,21 +66,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     Parquet is used rather than ``checkpoint()`` since it is compressed and
-    keeps column pruning; a lost executor loses none of it.
+    keeps column pruning; a lost executor loses none of it. The write's shuffle
+    files go as soon as it is done, since nothing else reads them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._syntarel_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote for ``df``; it must not be read again."""
-    path = getattr(df, "_syntarel_path", None)
-    if path:
-        delete_path(df.sparkSession, path)
+def release(*frames: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for each; they must not be read again."""
+    for df in frames:
+        path = getattr(df, "_syntarel_path", None)
+        if path:
+            delete_path(df.sparkSession, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

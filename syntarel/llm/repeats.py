@@ -6,22 +6,22 @@ number of documents, and each in tasks of bounded size:
 1. A window of LENGTH bytes is known by the least hash among its K-byte strings.
    Successive windows with the same one form a fragment. Equal windows have equal
    hashes, so they lie in fragments of the same key.
-2. A key met once holds no repeat. The other keys' fragments are counted by content,
-   and one copy of each different fragment is kept, with its multiplicity.
+2. A key met once holds no repeat. Equal fragments of the other keys become one with a
+   number of copies: hot passages are summed up before their bytes are shuffled.
 3. Keys are dealt to small shards. A shard's fragments are indexed together by the
-   run-compressed Burrows-Wheeler transform of their text, with the suffix array
-   sampled where runs start and end. Streaming in text order, a position's longest
-   match with another one follows from the last sample by subtraction; positions
-   whose matching statistic reaches LENGTH are marked, and so is every fragment that
-   occurs twice.
+   run-compressed Burrows-Wheeler transform of their text, sampled where runs start
+   and end. All fragments are streamed backwards through the runs: from row to row the
+   match with the neighbour grows by one, and at a run's end it is the sample.
+   Positions whose matching statistic reaches LENGTH are marked.
 4. Marks go back to the documents.
 
 Sequences of a number of words are found in the same way, if asked for: a word takes
 the place of a byte, and white space between words doesn't count.
 
-A key with more different fragments than a shard should hold (one passage in
+A key with more different fragments than a shard should hold (one short passage in
 very many contexts) has its windows hashed one by one and counted, which splits it
-among any number of tasks; the result is the same.
+among any number of tasks. This exact way beside the index is there for such keys
+alone, and the result is the same.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ LENGTH = 400
 #: Bytes of the strings that windows are known by, and words of those that windows of words are known by.
 K, WORDS_K = 64, 8
 #: Bytes that a shard's index should hold, and different fragments of a key from which its windows are counted instead.
-SHARD_BYTES, HOT_KEY = 512 << 10, 1024
+SHARD_BYTES, HOT_KEY = 256 << 10, 1024
 #: Windows looked at together; positions within fit 20 bits.
 _CHUNK = 1 << 19
 
@@ -111,13 +111,19 @@ def word_ends(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of some texts (bytes, or arrays of numbers from 0), sampled at the ends of its runs."""
+    """Run-compressed Burrows-Wheeler transform of some texts (bytes, or arrays of numbers from 0), sampled at the ends of its runs.
 
-    def __init__(self, texts: list[bytes] | list[np.ndarray]):
+    Once built, it holds five numbers a run and nothing of the texts. ``times``
+    says how many copies each text stands for (one by default): rows of
+    copies are neighbours with equal symbols, so copies lengthen runs and add none.
+    """
+
+    def __init__(self, texts: list[bytes] | list[np.ndarray], times: list[int] | None = None):
         size = np.array([len(x) for x in texts], np.int64)
         self.ends = np.cumsum(size + 1) - 1  # of each text; there stands a separator of its own
         self.starts = self.ends - size
         self.n = int(self.ends[-1]) + 1
+        self.times = np.ones(len(texts), np.int64) if times is None else np.asarray(times, np.int64)
         symbols = np.empty(self.n, np.int64)
         symbols[self.ends] = np.arange(len(texts))
         inside = np.ones(self.n, bool)
@@ -128,14 +134,17 @@ class RunLengthIndex:
         order = self._sorted(symbols, alphabet)
         last = symbols[order - 1]  # of the first suffix it is the last separator
         head = np.concatenate([[True], last[1:] != last[:-1]])
-        #: The transform's runs and the text positions sampled at their first and last rows.
-        self.symbols, self.lengths = last[head], np.diff(np.append(np.flatnonzero(head), self.n))
-        rows = np.flatnonzero(head)
-        self.first, self.last = order[rows], order[np.append(rows[1:], self.n) - 1]
-        self.above = np.where(rows > 0, order[rows - 1], -1)
-        ends = np.append(rows[1:], self.n) - 1
-        self.below = np.where(ends + 1 < self.n, order[np.minimum(ends + 1, self.n - 1)], -1)
-        self._text = symbols.astype(np.uint16 if alphabet < 1 << 16 else np.int64)
+        #: Of each run: its symbol, first row, length, and the row that stepping back leads to from its first one.
+        self.rows = np.flatnonzero(head)
+        self.symbols, self.lengths = last[self.rows], np.diff(np.append(self.rows, self.n))
+        by_symbol = np.argsort(self.symbols, kind="stable")
+        self.back = np.empty(len(self.rows), np.int64)
+        self.back[by_symbol] = np.cumsum(self.lengths[by_symbol]) - self.lengths[by_symbol]
+        #: Samples at a run's ends: after stepping back from its first (last) row, what is shared with the row above (below).
+        ends = self.back + self.lengths - 1
+        text = symbols.astype(np.uint16 if alphabet < 1 << 16 else np.int64)
+        self.above = self._common(text, order[self.back], np.where(self.back > 0, order[self.back - 1], -1))
+        self.below = self._common(text, order[ends], np.where(ends + 1 < self.n, order[np.minimum(ends + 1, self.n - 1)], -1))
 
     @staticmethod
     def _sorted(symbols: np.ndarray, alphabet: int) -> np.ndarray:
@@ -165,13 +174,14 @@ class RunLengthIndex:
             order[rows], code = at[again], code[again]
             k *= 2
 
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of the suffixes at ``a`` and ``b`` (0 where b is -1).
 
         Separators differ, so that no prefix goes past the end of a text.
         """
         width, out = 32, np.zeros(len(a), np.int64)
-        spans = np.lib.stride_tricks.sliding_window_view(np.concatenate([self._text, np.zeros(width, self._text.dtype)]), width)
+        spans = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(width, text.dtype)]), width)
         going = np.flatnonzero(b >= 0)
         while len(going):
             longer = []
@@ -186,13 +196,28 @@ class RunLengthIndex:
         return out
 
     def matching_statistics(self) -> np.ndarray:
-        """Of every position, the length of its longest match that starts at another one."""
+        """Of every position, the length of its longest match that starts at another one.
+
+        All texts are streamed backwards through the runs at once, from their
+        separators (row k is that of text k). Stepping back from inside a run, the
+        match with the row above or below grows by one; at a run's end it is the
+        sample. A text that stands for copies matches another copy to its end.
+        """
         best = np.zeros(self.n, np.int64)
-        for at, other in ((self.first, self.above), (self.last, self.below)):
-            value = np.full(self.n, -1, np.int64)
-            value[at] = self._common(at, other)
-            sampled = np.maximum.accumulate(np.where(value >= 0, np.arange(self.n), -1))
-            best = np.maximum(best, value[sampled] - (np.arange(self.n) - sampled))
+        text = np.flatnonzero(self.ends > self.starts)
+        row, at = text.copy(), self.ends[text]
+        above, below = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        while len(text):
+            run = np.searchsorted(self.rows, row, "right") - 1
+            inner = row - self.rows[run]
+            row, at = self.back[run] + inner, at - 1
+            above = np.where(inner == 0, self.above[run], above + 1)
+            below = np.where(inner == self.lengths[run] - 1, self.below[run], below + 1)
+            best[at] = np.maximum(above, below)
+            if (done := at == self.starts[text]).any():
+                text, row, at, above, below = (x[~done] for x in (text, row, at, above, below))
+        for k in np.flatnonzero(self.times > 1):
+            best[self.starts[k] : self.ends[k]] = np.arange(self.ends[k] - self.starts[k], 0, -1)
         return best
 
     def repeats(self, length: int) -> list[np.ndarray]:
@@ -215,7 +240,10 @@ def text_key(text: str = "text"):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", words: int | None = None) -> DataFrame:
-    """(text_key, spans): for each text with repeats, its covered ranges (from, to, of words or else bytes), not yet merged."""
+    """(text_key, spans): for each text with repeats, its covered ranges (from, to, of words or else bytes), not yet merged.
+
+    The result is a written table; all others made on the way are deleted.
+    """
     bound_batches(docs.sparkSession)
     least = length if words is None else min(length, 2 * words - 1)
     rows = docs.select(text_key(text).alias("text_key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= least)
@@ -229,51 +257,54 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", wo
             out: list[list] = [[], [], [], [], [], []]
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = body.encode("utf-8", "surrogatepass")
-                keys, first, last = fragments(np.frombuffer(raw, np.uint8), length, k)
-                out[0].append(keys.view(np.int64))
-                out[1] += [xxhash.xxh3_128_digest(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                out[2] += [name] * len(first)
-                out[3].append(first)
-                out[4].append(last + length)
-                out[5].append(np.zeros(len(first), bool))
+                kinds = [(np.frombuffer(raw, np.uint8), raw, length, k, False)]
                 if words is not None and len(split := raw.split()) >= words:
-                    keys, first, last = fragments(word_hashes(split), words, min(WORDS_K, words))
+                    kinds.append((word_hashes(split), split, words, min(WORDS_K, words), True))
+                for numbers, units, size, part, of_words in kinds:
+                    keys, first, last = fragments(numbers, size, part)
+                    spans = zip(first.tolist(), (last + size).tolist(), strict=True)
                     out[0].append(keys.view(np.int64))
-                    out[1] += [xxhash.xxh3_128_digest(b" ".join(split[a : b + words])) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                    out[1] += [xxhash.xxh3_128_digest(b" ".join(units[a:b]) if of_words else units[a:b]) for a, b in spans]
                     out[2] += [name] * len(first)
-                    out[3].append(first)
-                    out[4].append(last + words)
-                    out[5].append(np.ones(len(first), bool))
+                    out[3].append(first.astype(np.int32))
+                    out[4].append((last + size).astype(np.int32))
+                    out[5].append(np.full(len(first), of_words))
             if out[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(np.concatenate(out[3])), pa.array(np.concatenate(out[4])), pa.array(np.concatenate(out[5]))], names=["key", "content", "text_key", "a", "b", "words"])
 
-    every = materialize(rows.mapInArrow(cut, "key long, content binary, text_key binary, a long, b long, words boolean"), "fragments")
-    again = every.groupBy("key", "words").agg(F.count("*").alias("all")).where("all > 1").select("key", "words")
+    every = materialize(rows.mapInArrow(cut, "key long, content binary, text_key binary, a int, b int, words boolean"), "fragments")
+    # What is joined with many rows of a key is written first, so that Spark can split those rows.
+    again = materialize(every.groupBy("key", "words").agg(F.count("*").alias("all")).where("all > 1").select("key", "words"), "keys")
     found = materialize(every.join(again, ["key", "words"]), "repeated")
-    release(every)
+    release(every, again)
     kinds = materialize(found.groupBy("key", "content", "words").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "a", "b")).alias("at")), "kinds")
     keys = kinds.groupBy("key", "words").agg(F.count("*").alias("kinds"))
     wanted = kinds.join(keys, ["key", "words"]).select("at.text_key", F.struct("key", "content", "times", "kinds", "at.a", "at.b", "words").alias("at"))
     # One text of each key that holds a wanted fragment: its pieces come from one row.
-    lists = wanted.groupBy("text_key").agg(F.collect_list("at").alias("ats"))
-    texts = rows.join(lists, "text_key")
+    lists = materialize(wanted.groupBy("text_key").agg(F.collect_list("at").alias("ats")), "wanted")
+    release(kinds)
 
     def take(batches):
         import pyarrow as pa
 
+        before = None
         for batch in batches:
             out: list[tuple] = []
-            for body, ats in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = body.encode("utf-8", "surrogatepass")
+            for name, body, ats in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if name == before:  # the join puts copies of a text side by side
+                    continue
+                before, raw = name, body.encode("utf-8", "surrogatepass")
                 split = raw.split() if any(x["words"] for x in ats) else []
                 out += [(x["key"], x["content"], x["times"], x["kinds"], b" ".join(split[x["a"] : x["b"]]) if x["words"] else raw[x["a"] : x["b"]], x["words"]) for x in ats]
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["key", "content", "times", "kinds", "body", "words"])
 
-    # Copies of a text give their fragments again; one of each is kept.
-    taken = texts.select("text", "ats").mapInArrow(take, "key long, content binary, times long, kinds long, body binary, words boolean")
+    # Copies that Spark has dealt to several tasks give their fragments again; one of each is kept.
+    texts = rows.join(lists.hint("merge"), "text_key").select("text_key", "text", "ats")
+    taken = texts.mapInArrow(take, "key long, content binary, times long, kinds long, body binary, words boolean")
     bodies = materialize(taken.groupBy("key", "content", "words").agg(F.first("times").alias("times"), F.first("kinds").alias("kinds"), F.first("body").alias("body")), "bodies")
+    release(lists)
     few = bodies.where(F.col("kinds") <= HOT_KEY)
     total = few.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
@@ -283,17 +314,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", wo
         if of_words:
             numbers: dict[bytes, int] = {}
             bodies = [np.array([numbers.setdefault(w, len(numbers)) for w in x.split()], np.int64) for x in bodies]
-        marks = RunLengthIndex(bodies).repeats(words if of_words else length)
-        out = []
-        for key, content, times, body, starts in zip(rows["key"], rows["content"], rows["times"], bodies, marks, strict=True):
-            spans = [(0, len(body))] if times > 1 else _covered(starts, words if of_words else length)
-            out += [(key, content, of_words, a, b) for a, b in spans]
+        size = words if of_words else length
+        marks = RunLengthIndex(bodies, rows["times"].tolist()).repeats(size)
+        out = [(key, content, of_words, a, b) for key, content, starts in zip(rows["key"], rows["content"], marks, strict=True) for a, b in _covered(starts, size)]
         return pd.DataFrame(out, columns=["key", "content", "words", "from", "to"])
 
     marked = few.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard", "words").applyInPandas(index, _MARKS)
     marks = materialize(marked.unionByName(_windows(bodies.where(F.col("kinds") > HOT_KEY), length, words)), "marks")
+    release(bodies)
     spans = found.join(marks, ["key", "content", "words"]).select("text_key", F.struct((F.col("a") + F.col("from")).alias("from"), (F.col("a") + F.col("to")).alias("to"), "words").alias("span"))
-    return spans.groupBy("text_key").agg(F.collect_set("span").alias("spans"))
+    out = materialize(spans.groupBy("text_key").agg(F.collect_set("span").alias("spans")), "spans")
+    release(found, marks)
+    return out
 
 
 _MARKS = "key long, content binary, words boolean, from long, to long"
@@ -328,6 +360,21 @@ def _windows(bodies: DataFrame, length: int, words: int | None = None) -> DataFr
     return whole.unionByName(hits.groupBy("key", "content", "words").applyInPandas(spans, _MARKS))
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(e for x in spans for e in x), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", into: str = "repeats", words: int | None = None) -> DataFrame:
     """Adds struct ``into``: n_bytes, n_removed, n_spans, spans (from, to) and kept (the bytes left).
 
@@ -336,33 +383,38 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", into:
     place too, in this document or any other, is removed; strings are judged on
     the input. Repeated rows are documents of their own, so each is removed
     where it is long enough. Texts shorter than ``length`` stay whole, and so
-    does an empty table. All rows and other columns stay.
-
-    With ``words``, every sequence of so many words (runs of anything but the six
-    ASCII white spaces) that starts in another place too is removed as well, from
-    its first to its last byte, however short and whatever stands between its words.
+    does an empty table. All rows and other columns stay; a column named ``into``
+    is replaced.
+
+    With ``words`` the struct also has passage_spans and text: sequences of so many
+    words (runs of anything but the six ASCII white spaces) that start in another
+    place too, from their first to their last byte, however short and whatever stands
+    between the words; and the text left when these and the strings of ``length``
+    bytes are removed, without characters that a cut has split.
     """
 
     def apply(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for body, ranges in zip(texts, spans, strict=True):
             raw = (body or "").encode("utf-8", "surrogatepass")
-            merged: list[list[int]] = []
             found = [] if ranges is None else [(int(x["from"]), int(x["to"]), x["words"]) for x in ranges]
-            if any(x[2] for x in found):
-                starts, ends = word_ends(np.frombuffer(raw, np.uint8))
-                found = [(int(starts[a]), int(ends[b - 1])) if of_words else (a, b) for a, b, of_words in found]
-            for x in sorted(x[:2] for x in found):
-                if merged and x[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], x[1])
-                else:
-                    merged.append(list(x))
-            edges = [0, *(e for x in merged for e in x), len(raw)]
-            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(raw), len(raw) - len(kept), len(merged), [{"from": a, "to": b} for a, b in merged], kept))
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
-
-    kind = "n_bytes long, n_removed long, n_spans long, spans array<struct<from:long,to:long>>, kept binary"
+            strings = _merged([x[:2] for x in found if not x[2]])
+            kept = _without(raw, strings)
+            row: list = [len(raw), len(raw) - len(kept), len(strings), [{"from": a, "to": b} for a, b in strings], kept]
+            if words is not None:
+                passages: list[tuple[int, int]] = []
+                if any(x[2] for x in found):
+                    starts, ends = word_ends(np.frombuffer(raw, np.uint8))
+                    passages = _merged([(int(starts[a]), int(ends[b - 1])) for a, b, of_words in found if of_words])
+                left = body if not found else _without(raw, _merged(strings + passages)).decode("utf-8", "ignore")
+                row += [[{"from": a, "to": b} for a, b in passages], left]
+            out.append(row)
+        return pd.DataFrame(out, columns=names)
+
+    names = ["n_bytes", "n_removed", "n_spans", "spans", "kept", "passage_spans", "text"][: 5 if words is None else 7]
+    ranges = "array<struct<from:long,to:long>>"
+    kind = f"n_bytes long, n_removed long, n_spans long, spans {ranges}, kept binary" + f", passage_spans {ranges}, text string" * (words is not None)
     keyed = docs.withColumn("__text_key", text_key(text))
-    joined = keyed.join(repeated_spans(docs, length, text, words).select(F.col("text_key").alias("__text_key"), F.col("spans").alias("__spans")), "__text_key", "left")
+    spans = repeated_spans(docs, length, text, words)
+    joined = keyed.join(spans.select(F.col("text_key").alias("__text_key"), F.col("spans").alias("__spans")).hint("merge"), "__text_key", "left")
     return joined.withColumn(into, F.pandas_udf(apply, kind).asNondeterministic()(F.col(text).cast("string"), "__spans")).drop("__text_key", "__spans")
