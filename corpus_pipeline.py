@@ -7,7 +7,6 @@ Each is written as Parquet and read again before the next.
 
 from __future__ import annotations
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,15 +60,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     ``n_chars`` becomes the new length. Documents without repeats stay as they are.
     """
     cut = repeats.cut_repeats(docs, into="__repeats", words=PASSAGE_WORDS)
-    as_text = F.pandas_udf(_decoded, "string")("__repeats.kept")
-    changed = F.col("__repeats.n_removed") > 0
-    out = cut.withColumn("__new", F.when(changed, as_text).otherwise(F.col("text")))
-    out = out.withColumns({"text": F.col("__new"), "n_chars": F.when(changed, F.length("__new").cast("long")).otherwise(F.col("n_chars"))})
-    return out.where(~changed | F.col("text").rlike(r"\S")).select(*docs.columns)
-
-
-def _decoded(kept: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else bytes(x).decode("utf-8", "ignore") for x in kept])
+    changed = (F.col("__repeats.n_removed") > 0) | (F.size("__repeats.passage_spans") > 0)
+    out = cut.withColumn("__changed", changed)
+    out = out.withColumns({"text": F.col("__repeats.text"), "n_chars": F.when(F.col("__changed"), F.length("__repeats.text").cast("long")).otherwise(F.col("n_chars"))})
+    return out.where(~F.col("__changed") | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
