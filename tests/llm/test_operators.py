@@ -446,6 +446,45 @@ def test_quality_counts_against_plain():
         assert quality_rules.measure(t)[:5] == plain_measure(t), repr(t)
 
 
+def plain_em(patterns, rules, steps):
+    """Expectation-maximisation document by document, votes as lists."""
+    right = {"good": [0.95] * rules, "bad": [0.4] * rules}
+    share, posterior = 0.8, []
+    for _ in range(steps):
+        posterior = []
+        for votes in patterns:
+            good, bad = share, 1 - share
+            for j, v in enumerate(votes):
+                if v:
+                    good *= right["good"][j] if v > 0 else 1 - right["good"][j]
+                    bad *= right["bad"][j] if v < 0 else 1 - right["bad"][j]
+            posterior.append(good / (good + bad))
+        for j in range(rules):
+            voted = [(v[j], p) for v, p in zip(patterns, posterior, strict=True) if v[j]]
+            right["good"][j] = (sum(p for v, p in voted if v > 0) + 9) / (sum(p for _, p in voted) + 10)
+            right["bad"][j] = (sum(1 - p for v, p in voted if v < 0) + 5) / (sum(1 - p for _, p in voted) + 10)
+        share = (sum(posterior) + 8) / (len(posterior) + 10)
+    return right, share, posterior
+
+
+def test_quality_estimates_against_plain_and_outvoted_rule():
+    rng = random.Random(12)
+    rules, patterns = 5, []
+    for _ in range(800):
+        good = rng.random() < 0.85
+        accuracy = [0.97, 0.9, 0.99, 0.95, 0.98] if good else [0.8, 0.7, 0.6, 0.9, 0.5]
+        patterns.append([0 if rng.random() < 0.1 else (1 if good else -1) * (1 if rng.random() < a else -1) for a in accuracy])
+    code = lambda v: sum((x + 1) * 3 ** (rules - 1 - j) for j, x in enumerate(v))
+    right, share, posterior = plain_em(patterns, rules, 30)
+    accuracies, got_share, good = quality_rules.estimate(Counter(map(code, patterns)), rules, iterations=30)
+    assert got_share == pytest.approx(share, abs=1e-6)
+    assert accuracies[0].tolist() == pytest.approx(right["good"], abs=1e-6) and accuracies[1].tolist() == pytest.approx(right["bad"], abs=1e-6)
+    # The posterior belongs to the accuracies before the last step of either.
+    assert [good[code(v)] for v in patterns] == pytest.approx(posterior, abs=1e-6)
+    assert good[code([1, -1, 1, 1, 1])] > 0.5 > good[code([-1, -1, -1, 1, -1])]  # one bad vote is outweighed
+    assert quality_rules.estimate({}) [2] == {}
+
+
 def test_quality_posteriors_find_the_bad(spark, odd):
     rng = random.Random(4)
     prose = lambda n: words(rng, n).translate({48 + i: c for i, c in enumerate("abcdefghij")})
