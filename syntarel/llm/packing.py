@@ -46,7 +46,10 @@ def _byte_ranks(spec: dict) -> dict[bytes, int] | None:
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in visible]
     value = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    special = {x["content"] for x in spec.get("added_tokens", ())}
+    added = spec.get("added_tokens") or ()
+    if any(x.get("single_word") or x.get("lstrip") or x.get("rstrip") for x in added):
+        return None
+    special = {x["content"] for x in added}
     vocab = {t: i for t, i in model["vocab"].items() if t not in special}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     ids = [vocab.get("".join(m), -1) for m in merges]
@@ -71,25 +74,27 @@ class BatchTokenizer:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.ranks = _byte_ranks(spec)
+        added = sorted(((x["content"], x["id"]) for x in spec.get("added_tokens") or ()), key=lambda x: -len(x[0]))
+        self.added = [x for x, _ in added]
         if self.ranks:
             import tiktoken
 
-            self.one = tiktoken.Encoding("words", pat_str=BYTE_PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+            model = tiktoken.Encoding("words", pat_str=BYTE_PATTERN, mergeable_ranks=self.ranks, special_tokens=dict(added))
+            self.one = lambda x: model.encode(x, allowed_special="all")
             self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
             for token, i in self.ranks.items():
                 self.size[i] = len(token)
         else:
             from tokenizers import Tokenizer
 
-            model = Tokenizer.from_file(path)
-            model.encode_special_tokens = True
-            self.one = lambda x: model.encode(x, add_special_tokens=False).ids
+            whole = Tokenizer.from_file(path)
+            self.one = lambda x: whole.encode(x, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain: list[int] = []
         for i, text in enumerate(texts):
-            if self.ranks and not _edgy(text):
+            if self.ranks and not _edgy(text) and not any(x in text for x in self.added):
                 plain.append(i)
             elif text:
                 out[i] = array("I", self.one(text)).tobytes()

@@ -506,13 +506,12 @@ def encode(texts):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(TOKENIZER)
-    model.encode_special_tokens = True
     return [model.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_tokenizer_equals_the_library():
     rng = random.Random(1)
-    texts = ["", " ", "  a", "a  b", "it's <|endoftext|> a", "a\n b \nc", "é ü 12 3!", "one", "x\x1cy z\x1f q", "\u2003a b\u2003", "a\u00a0b c", "漢字 𝄞 x"] + ["".join(rng.choice("ab 1.'\n\té<|") for _ in range(rng.randrange(80))) for _ in range(500)]
+    texts = ["", " ", "  a", "a  b", "it's <|endoftext|> a", "<|endoftext|>", "<|endoftext|> a b c", "a b <|endoftext|>", "a <|endoftext|><|endoftext|>b", "x<|endoftext|>  y", "a <|endoftext| > b", "\n<|endoftext|>\n", "a\n b \nc", "é ü 12 3!", "one", "x\x1cy z\x1f q", "\u2003a b\u2003", "a\u00a0b c", "漢字 𝄞 x"] + ["".join(rng.choice("ab 1.'\n\té<|") for _ in range(rng.randrange(80))) for _ in range(500)]
     got = packing.BatchTokenizer(TOKENIZER).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == encode(texts)
     other = packing.BatchTokenizer(public_tokenizers.path("word_bpe_49k.json"))
@@ -521,7 +520,7 @@ def test_tokenizer_equals_the_library():
 
 def test_pack_round_trip(spark, odd):
     rng = random.Random(3)
-    rows = [(i, words(rng, rng.choice([1, 20, 200, 900]))) for i in range(150)] + [(900, None), (901, ""), (902, words(rng, 9000))]
+    rows = [(i, words(rng, rng.choice([1, 20, 200, 900]))) for i in range(150)] + [(900, None), (901, ""), (902, words(rng, 9000)), (903, "a <|endoftext|> b")]
     got = packing.pack(frame(spark, rows), TOKENIZER, capacity=512).collect()
     want = dict(zip([r[0] for r in rows], encode([r[1] for r in rows]), strict=True))
     by = {}
@@ -533,6 +532,7 @@ def test_pack_round_trip(spark, odd):
         assert [x for r in pieces for x in r.ids] == [*want[i], 0]
         assert [r.piece for r in pieces] == list(range(len(pieces))) and all(r.length == 512 for r in pieces[1:])
         assert [r.start for r in pieces] == [sum(q.length for q in pieces[:k]) for k in range(len(pieces))]
+    assert 50256 in want[903]
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
