@@ -2,27 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges of keys at most; each is sorted by itself.
-RANGES = 4096
+#: Ranges at least, and rows of a range on average beyond that.
+LEAST_RANGES, RANGE_ROWS = 4096, 1 << 16
+
+
+def splitters(df: DataFrame, key: str, rows: int, seed: int = 17) -> list[int]:
+    """Sampled keys, ascending, repeated if the sample holds a key repeatedly: about LEAST_RANGES, or one in RANGE_ROWS rows if that is more."""
+    wanted = max(LEAST_RANGES, rows / RANGE_ROWS)
+    sample = df.select(F.col(key).cast("long").alias("k")).where("k is not null").sample(min(1.0, wanted / max(1, rows)), seed)
+    return sorted(r[0] for r in sample.collect())
+
+
+def range_of(key: Column, cuts: list[int], spread: Column | None = None) -> Column:
+    """Number of the range, from 0, that a key falls into: how many of the ascending ``cuts`` are below it.
+
+    A key that several cuts share has as many ranges; its rows are dealt to them
+    by ``spread``, a long, in its order. Found by halving a constant array.
+    """
+    if not cuts:
+        return F.when(key.isNotNull(), F.lit(0))
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+
+    def count(before: Callable[[Column, Column], Column]) -> Column:
+        def halve(s: Column, _: Column) -> Column:
+            middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+            goes_on = s["low"] < s["high"]
+            right = goes_on & before(F.get(table, middle), key)
+            return F.struct(F.when(right, middle + 1).otherwise(s["low"]).alias("low"), F.when(right | ~goes_on, s["high"]).otherwise(middle).alias("high"))
+
+        start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halve)["low"]
+
+    first = count(lambda cut, k: cut < k)
+    if spread is None or len(set(cuts)) == len(cuts):
+        return F.when(key.isNotNull(), first)
+    ranges = count(lambda cut, k: cut <= k) - first + 1
+    # ``first`` lies before the cuts that equal the key, so that its rows take the ranges between those.
+    return F.when(key.isNotNull(), F.when(ranges <= 2, first).otherwise(first + _part(spread, ranges)))
+
+
+def _part(spread: Column, parts: Column) -> Column:
+    """Which of so many equal parts of the longs a value is in, in order."""
+    share = spread.cast("double") / F.lit(float(1 << 64)) + 0.5
+    return F.least(F.floor(share * parts).cast("int"), parts - 1)
 
 
 def with_ordinal(df: DataFrame, key: str, into: str = "ordinal") -> DataFrame:
-    """Adds the row's number (from 0) by a unique integer ``key``.
+    """Adds the row's number (from 0) by a unique integer ``key``; null keys come last.
 
-    Keys fall into at most RANGES equal ranges. Only the ranges' row counts are
-    summed up in one place.
+    Keys are dealt to ranges between sampled keys, so that ranges are even
+    whatever the keys' distribution. Only the ranges' row counts are summed up in
+    one place. Columns named ``__range`` and ``__before`` aren't kept.
     """
-    span = df.agg(F.min(key), F.max(key)).first()
-    low, width = int(span[0] or 0), max(1, -(-(int(span[1] or 0) - int(span[0] or 0) + 1) // RANGES))
-    ranged = df.withColumn("__range", ((F.col(key) - F.lit(low)) / width).cast("long"))
+    cuts = splitters(df, key, df.count())
+    ranged = df.withColumn("__range", F.coalesce(range_of(F.col(key).cast("long"), cuts), F.lit(len(cuts) + 1)))
     before = F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
     offsets = ranged.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__range").orderBy(key)) - 1
-    return ranged.join(F.broadcast(offsets), "__range").withColumn(into, F.col("__before") + inside).drop("__range", "__before")
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(F.asc_nulls_last(key))) - 1
+    return ranged.join(offsets, "__range").withColumn(into, F.col("__before") + inside).drop("__range", "__before")
 
 
 def batches(df: DataFrame, key: str, size: int, into: str = "batch") -> DataFrame:
