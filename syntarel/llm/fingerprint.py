@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordering import RANGE_ROWS, range_of, splitters
 from .common import let
 
 UNIT = r"\s*+(?<!\S)\S{1,16}+(?!\S)|\s*+\S|\s++"
@@ -27,8 +28,6 @@ M, L, K = 64, 2, 3
 #: A selected k-mer is one long: 36 bits of hash above 27 bits of position (the top bit is 0).
 _AT = 27
 _HASH = 63 - _AT
-#: Ranges of ids at most, for the order of documents.
-RANGES = 4096
 
 
 def signature(text: Column) -> Column:
@@ -92,28 +91,33 @@ def as_text(signature_: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """Adds ``next_<c>`` of each column: its value in the next row by descending doc_id; after the last comes the first.
 
-    Ids fall into at most RANGES equal ranges, each sorted by itself; where a
-    range ends, the next one's first row follows. Rows of one id follow each
-    other by their columns' values, and those without an id come last.
+    Ids are dealt to ranges between sampled ids, each sorted by itself; where a
+    range ends, the next one's first row follows. Ids may be any longs. Rows of one id
+    follow each other by a hash of ``columns`` and by their values, and those without
+    an id come last; an id with many rows, or null, gets several ranges.
     ``derived`` names further columns that are made of ``columns`` alone: they
     are added before the shuffle, and anew for the few rows that follow a range.
     """
     derived = derived or {}
     every = [*columns, *derived]
-    span = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low = int(span[0] or 0)
-    width = max(1, -(-(int(span[1] or 0) - low + 1) // RANGES))
-    ranged = docs.withColumn("__range", F.coalesce(-((F.col("doc_id") - F.lit(low)) / width).cast("long"), F.lit(1)))
-    inside = W.partitionBy("__range").orderBy(F.desc_nulls_last("doc_id"), *columns)
+    rows, named = docs.agg(F.count("*"), F.count("doc_id")).first()
+    # Descending order is the ascending one of the ids' complements, which no id overflows.
+    upside_down = F.bitwise_not(F.col("doc_id").cast("long"))
+    keyed = docs.withColumns({"__key": upside_down, "__hash": F.xxhash64(*columns)})
+    cuts = splitters(keyed, "__key", rows)
+    unnamed = max(1, -(-(rows - named) // min(RANGE_ROWS, max(1, rows // 4096))))
+    after = F.lit(len(cuts) + 1) + F.least(F.floor((F.col("__hash").cast("double") / F.lit(float(1 << 64)) + 0.5) * unnamed).cast("int"), F.lit(unnamed - 1))
+    ranged = keyed.withColumn("__range", F.coalesce(range_of(F.col("__key"), cuts, F.col("__hash")), after)).drop("__key")
+    inside = W.partitionBy("__range").orderBy(F.desc_nulls_last("doc_id"), "__hash", *columns)
     full = ranged.withColumns(derived)
     out = full.withColumns({f"__next_{c}": F.lead(c).over(inside) for c in every} | {"__last": F.lead(F.lit(False), 1, True).over(inside)})
-    heads = ranged.groupBy("__range").agg(F.min_by(F.struct(*columns), F.struct(-F.col("doc_id"), *columns)).alias("__head"))
+    heads = ranged.groupBy("__range").agg(F.min_by(F.struct(*columns), F.struct(F.bitwise_not("doc_id"), "__hash", *columns)).alias("__head"))
     # One small row a range: which range comes next.
     ids = ranged.select("__range").distinct()
     along = ids.select("__range", F.coalesce(F.lead("__range").over(W.orderBy("__range")), F.min("__range").over(W.partitionBy())).alias("__to"))
     follow = along.join(heads.withColumnRenamed("__range", "__to"), "__to").select(F.col("__range").alias("__from"), *[F.col("__head")[c].alias(c) for c in columns]).withColumns(derived)
     follow = follow.select("__from", *[F.col(c).alias(f"__head_{c}") for c in every])
-    own = [c for c in full.columns if c != "__range"]
+    own = [c for c in full.columns if c not in ("__range", "__hash")]
     ends = out.where("__last").join(follow, F.col("__range") == F.col("__from")).select(*own, *[F.col(f"__head_{c}").alias(f"next_{c}") for c in every])
     return out.where("not __last").select(*own, *[F.col(f"__next_{c}").alias(f"next_{c}") for c in every]).unionByName(ends)
 

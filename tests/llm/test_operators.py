@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from syntarel.llm import common, components, fingerprint, language_id, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, url_filter
+from syntarel.operators import ordering
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -648,3 +649,31 @@ def test_next_document_and_edit(spark):
     assert fingerprint.with_next(frame(spark, rows).limit(0), ["text"]).count() == 0
     odd = [(None, "n"), (3, "b"), (3, "a"), (1, None), (1, "c")]
     assert fingerprint.with_next(frame(spark, odd), ["text"]).count() == 5
+
+
+def test_next_document_of_wide_skewed_and_missing_ids(spark):
+    rng = random.Random(13)
+    ids = [-(1 << 63), (1 << 63) - 1, 0, *rng.sample(range(10**6), 300)]
+    rows = [(i, words(rng, 5)) for i in ids]
+    order = [t for _, t in sorted(rows, reverse=True)]
+    got = {r.text: r.next_text for r in fingerprint.with_next(frame(spark, rows), ["text"]).collect()}
+    assert [got[t] for t in order] == [*order[1:], order[0]]
+    # One id with most rows, and rows without one: they make one ring that holds each row once, ids descending.
+    many = rows[:60] + [(77_777_777, words(rng, 6)) for _ in range(400)] + [(None, words(rng, 7)) for _ in range(300)]
+    ring = {r.text: (r.doc_id, r.next_text) for r in fingerprint.with_next(frame(spark, many), ["text"]).collect()}
+    assert len(ring) == len(many)
+    at, seen = max(many, key=lambda r: r[0] if r[0] is not None else -(1 << 64))[1], []
+    for _ in many:
+        seen.append(ring[at][0])
+        at = ring[at][1]
+    assert seen == sorted((i for i, _ in many if i is not None), reverse=True) + [None] * 300 and len({v[1] for v in ring.values()}) == len(many)
+    lone = [(None, words(rng, 7)) for _ in range(50)]
+    assert len({r.next_text for r in fingerprint.with_next(frame(spark, lone), ["text"]).collect()}) == 50
+
+
+def test_ranges_of_repeated_keys_are_even(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "LEAST_RANGES", 64)
+    keys = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") * F.col("id")).alias("k"), F.xxhash64("id").alias("h"))
+    cuts = ordering.splitters(keys, "k", 20_000)
+    counts = keys.groupBy(ordering.range_of(F.col("k"), cuts, F.col("h")).alias("r")).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("r").collect()
+    assert max(r.n for r in counts) < 12 * 20_000 / len(counts) and all(a.high <= b.low for a, b in zip(counts, counts[1:]))
