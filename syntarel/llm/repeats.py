@@ -7,7 +7,8 @@ number of documents, and each in tasks of bounded size:
    Successive windows with the same one form a fragment. Equal windows have equal
    hashes, so they lie in fragments of the same key.
 2. A key met once holds no repeat. Equal fragments of the other keys become one with a
-   number of copies: hot passages are summed up before their bytes are shuffled.
+   number of copies: hot passages are summed up before their bytes are shuffled. Copies
+   match each other to their ends, so that a key of one fragment is done.
 3. Keys are dealt to small shards. A shard's fragments are indexed together by the
    run-compressed Burrows-Wheeler transform of their text, sampled where runs start
    and end. All fragments are streamed backwards through the runs: from row to row the
@@ -19,9 +20,10 @@ Sequences of a number of words are found in the same way, if asked for: a word t
 the place of a byte, and white space between words doesn't count.
 
 A key with more different fragments than a shard should hold (one short passage in
-very many contexts) has its windows hashed one by one and counted, which splits it
-among any number of tasks. This exact way beside the index is there for such keys
-alone, and the result is the same.
+very many contexts) is split: its fragments are cut again by the least hash among
+longer strings, of FINER bytes step by step, so that windows are told apart by their
+contexts, and what then has a small key is indexed in the same way. At the last step
+the string is the window itself, and a key has one fragment.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ from .common import bound_batches, materialize, release
 LENGTH = 400
 #: Bytes of the strings that windows are known by, and words of those that windows of words are known by.
 K, WORDS_K = 64, 8
-#: Bytes that a shard's index should hold, and different fragments of a key from which its windows are counted instead.
-SHARD_BYTES, HOT_KEY = 256 << 10, 1024
+#: Bytes that a shard's index should hold, and different fragments of a key from which it is split by longer strings:
+#: of these parts of the way from K to LENGTH.
+SHARD_BYTES, HOT_KEY = 512 << 10, 512
+FINER = (0.4, 0.75, 0.95, 1.0)
 #: Windows looked at together; positions within fit 20 bits.
 _CHUNK = 1 << 19
 
@@ -110,6 +114,15 @@ def word_ends(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(~inside[:-1] & inside[1:]), np.flatnonzero(inside[:-1] & ~inside[1:])
 
 
+def _arranged(code: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the order that sorts the codes, the sorted codes); positions, of ``low`` bits, are sorted along with the codes where they fit."""
+    if int(code.max(initial=0)) >> (63 - low):
+        order = np.argsort(code, kind="stable")
+        return order, code[order]
+    both = np.sort((code << low) | np.arange(len(code)))
+    return both & ((1 << low) - 1), both >> low
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of some texts (bytes, or arrays of numbers from 0), sampled at the ends of its runs.
 
@@ -131,7 +144,7 @@ class RunLengthIndex:
         flat = np.frombuffer(b"".join(texts), np.uint8) if isinstance(texts[0], bytes) else np.concatenate(texts)
         symbols[inside] = flat.astype(np.int64) + len(texts)
         alphabet = len(texts) + (256 if flat.dtype == np.uint8 else int(flat.max(initial=0)) + 1)
-        order = self._sorted(symbols, alphabet)
+        order = self._sorted(symbols, len(texts))
         last = symbols[order - 1]  # of the first suffix it is the last separator
         head = np.concatenate([[True], last[1:] != last[:-1]])
         #: Of each run: its symbol, first row, length, and the row that stepping back leads to from its first one.
@@ -147,31 +160,41 @@ class RunLengthIndex:
         self.below = self._common(text, order[ends], np.where(ends + 1 < self.n, order[np.minimum(ends + 1, self.n - 1)], -1))
 
     @staticmethod
-    def _sorted(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-        """Suffix array by prefix doubling, begun with as many symbols as fit a word.
+    def _sorted(symbols: np.ndarray, texts: int) -> np.ndarray:
+        """Suffix array by prefix doubling, begun with as many symbols as fit a word; the first ``texts`` symbols are separators.
 
-        A rank is the first row of its group; only groups of two and more are
-        sorted again.
+        Separators count as one symbol at first; suffixes that reach one within the
+        first step end there, equal ones in the order of their texts. A rank is the first row
+        of its group; only groups of two and more are sorted again.
         """
-        n, bits = len(symbols), max(1, int(alphabet).bit_length())
-        k = max(1, 62 // bits)
-        padded = np.concatenate([symbols + 1, np.zeros(k, np.int64)])
-        code = np.zeros(n, np.int64)
+        n = len(symbols)
+        dense = np.zeros(int(symbols.max()) + 1, np.int64)
+        dense[symbols] = 1
+        dense[:texts] = 0
+        dense = np.cumsum(dense) * (dense > 0)
+        bits, low = max(1, int(dense.max()).bit_length()), n.bit_length()
+        k = max(1, (62 - low) // bits)
+        plain = np.concatenate([dense[symbols], np.zeros(k, np.int64)])
+        code, open_ = np.zeros(n, np.int64), np.ones(n, bool)
         for j in range(k):
-            code = (code << bits) | padded[j : j + n]
-        order, rank, rows = np.argsort(code), np.empty(n, np.int64), np.arange(n)
-        code = code[order]
+            code <<= bits
+            code += plain[j : j + n] * open_
+            open_ &= plain[j : j + n] > 0
+        rank, rows = np.empty(n, np.int64), np.arange(n)
+        order, code = _arranged(code, low)
+        # Equal codes are in the order of their positions, and so of their texts.
+        head = np.concatenate([[True], code[1:] != code[:-1]]) | ~open_[order]
         while True:
-            head = np.concatenate([[True], code[1:] != code[:-1]])
             rank[order[rows]] = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
             rows = rows[~(head & np.append(head[1:], True))]
             if not len(rows):
                 return order
             at = order[rows]
             following = at + k
-            code = rank[at] * (n + 1) + np.where(following < n, rank[np.minimum(following, n - 1)] + 1, 0)
-            again = np.argsort(code)
-            order[rows], code = at[again], code[again]
+            code = (rank[at] << low) + np.where(following < n, rank[np.minimum(following, n - 1)] + 1, 0)
+            again, code = _arranged(code, low)
+            order[rows] = at[again]
+            head = np.concatenate([[True], code[1:] != code[:-1]])
             k *= 2
 
     @staticmethod
@@ -204,11 +227,12 @@ class RunLengthIndex:
         sample. A text that stands for copies matches another copy to its end.
         """
         best = np.zeros(self.n, np.int64)
+        run_of = np.repeat(np.arange(len(self.rows), dtype=np.int32), self.lengths)  # while streaming
         text = np.flatnonzero(self.ends > self.starts)
         row, at = text.copy(), self.ends[text]
         above, below = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
         while len(text):
-            run = np.searchsorted(self.rows, row, "right") - 1
+            run = run_of[row]
             inner = row - self.rows[run]
             row, at = self.back[run] + inner, at - 1
             above = np.where(inner == 0, self.above[run], above + 1)
@@ -279,10 +303,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", wo
     release(every, again)
     kinds = materialize(found.groupBy("key", "content", "words").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "a", "b")).alias("at")), "kinds")
     keys = kinds.groupBy("key", "words").agg(F.count("*").alias("kinds"))
-    wanted = kinds.join(keys, ["key", "words"]).select("at.text_key", F.struct("key", "content", "times", "kinds", "at.a", "at.b", "words").alias("at"))
+    counted = kinds.join(keys, ["key", "words"])
+    wanted = counted.where("kinds > 1").select("at.text_key", F.struct("key", "content", "times", "kinds", "at.a", "at.b", "words").alias("at"))
     # One text of each key that holds a wanted fragment: its pieces come from one row.
     lists = materialize(wanted.groupBy("text_key").agg(F.collect_list("at").alias("ats")), "wanted")
-    release(kinds)
+    copies = counted.where("kinds = 1 and times > 1").select("key", "content", "words", F.lit(0).cast("long").alias("from"), (F.col("at.b") - F.col("at.a")).cast("long").alias("to"))
 
     def take(batches):
         import pyarrow as pa
@@ -305,59 +330,71 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", wo
     taken = texts.mapInArrow(take, "key long, content binary, times long, kinds long, body binary, words boolean")
     bodies = materialize(taken.groupBy("key", "content", "words").agg(F.first("times").alias("times"), F.first("kinds").alias("kinds"), F.first("body").alias("body")), "bodies")
     release(lists)
-    few = bodies.where(F.col("kinds") <= HOT_KEY)
+    marks, used = _marks(bodies, length, words, 0)
+    marks = materialize(marks.unionByName(copies), "marks")
+    release(kinds, bodies, *used)
+    spans = found.join(marks, ["key", "content", "words"]).select("text_key", F.struct((F.col("a") + F.col("from")).alias("from"), (F.col("a") + F.col("to")).alias("to"), "words").alias("span"))
+    out = materialize(spans.groupBy("text_key").agg(F.collect_set("span").alias("spans")), "spans")
+    release(found, marks)
+    return out
+
+
+_MARKS = "key long, content binary, words boolean, from long, to long"
+
+
+def _marks(bodies: DataFrame, length: int, words: int | None, step: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(the marks of fragments with their bodies, the tables they are read from)."""
+    few = bodies.where(F.col("kinds") <= HOT_KEY) if step < len(FINER) else bodies
     total = few.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
-        of_words, bodies = bool(rows["words"].iloc[0]), list(rows["body"])
+        of_words, texts = bool(rows["words"].iloc[0]), list(rows["body"])
         if of_words:
             numbers: dict[bytes, int] = {}
-            bodies = [np.array([numbers.setdefault(w, len(numbers)) for w in x.split()], np.int64) for x in bodies]
+            texts = [np.array([numbers.setdefault(w, len(numbers)) for w in x.split()], np.int64) for x in texts]
         size = words if of_words else length
-        marks = RunLengthIndex(bodies, rows["times"].tolist()).repeats(size)
-        out = [(key, content, of_words, a, b) for key, content, starts in zip(rows["key"], rows["content"], marks, strict=True) for a, b in _covered(starts, size)]
+        found = RunLengthIndex(texts, rows["times"].tolist()).repeats(size)
+        out = [(key, content, of_words, a, b) for key, content, starts in zip(rows["key"], rows["content"], found, strict=True) for a, b in _covered(starts, size)]
         return pd.DataFrame(out, columns=["key", "content", "words", "from", "to"])
 
     marked = few.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard", "words").applyInPandas(index, _MARKS)
-    marks = materialize(marked.unionByName(_windows(bodies.where(F.col("kinds") > HOT_KEY), length, words)), "marks")
-    release(bodies)
-    spans = found.join(marks, ["key", "content", "words"]).select("text_key", F.struct((F.col("a") + F.col("from")).alias("from"), (F.col("a") + F.col("to")).alias("to"), "words").alias("span"))
-    out = materialize(spans.groupBy("text_key").agg(F.collect_set("span").alias("spans")), "spans")
-    release(found, marks)
-    return out
-
-
-_MARKS = "key long, content binary, words boolean, from long, to long"
+    hot = bodies.where(F.col("kinds") > HOT_KEY)
+    if step == len(FINER) or not hot.limit(1).count():
+        return marked, []
+    parts = materialize(_finer(hot, length, words, FINER[step]), "finer")
+    kinds = parts.groupBy("key", "content", "words").agg(F.sum("times").alias("times"), F.first("body").alias("body"))
+    keys = parts.groupBy("key", "words").agg(F.count_distinct("content").alias("kinds"), F.sum("times").alias("all")).where("all > 1").drop("all")
+    # A key of one fragment is in the index, too: here copies of it come from different fragments.
+    finer = materialize(kinds.join(keys, ["key", "words"]).select("key", "content", "words", "times", "kinds", "body"), "finer-bodies")
+    below, used = _marks(finer, length, words, step + 1)
+    back = parts.drop("body", "times").join(materialize(below, "finer-marks"), ["key", "content", "words"])
+    back = back.select(F.col("owner_key").alias("key"), F.col("owner").alias("content"), "words", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
+    return marked.unionByName(back), [*used, finer, parts]
+
+
+def _finer(bodies: DataFrame, length: int, words: int | None, way: float) -> DataFrame:
+    """Fragments of fragments, by strings that are longer by ``way`` of what is between K and the window: key, content, words, times, body, owner_key, owner, at."""
 
-
-def _windows(bodies: DataFrame, length: int, words: int | None = None) -> DataFrame:
-    """The marks of fragments of hot keys, their windows counted one by one."""
-
-    def windows(batches):
+    def cut(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            for key, content, body, of_words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                units, size = (body.split(), words) if of_words else (body, length)
-                n = len(units) - size + 1
-                each = (b" ".join(units[i : i + size]) if of_words else units[i : i + size] for i in range(n))
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(xxhash.xxh3_128_digest, each)), pa.binary()), pa.array([key] * n, pa.int64()), pa.array([content] * n, pa.binary()), pa.array([of_words] * n, pa.bool_()), pa.array(range(n), pa.int64())], names=["window", "key", "content", "words", "at"])
-
-    units = F.when(F.col("words"), F.regexp_count(F.col("body").cast("string"), F.lit(" ")) + 1).otherwise(F.octet_length("body"))
-    whole = bodies.where("times > 1").select("key", "content", "words", F.lit(0).cast("long").alias("from"), units.cast("long").alias("to"))
-    each = bodies.select("key", "content", "body", "words").mapInArrow(windows, "window binary, key long, content binary, words boolean, at long")
-    single = bodies.where("times = 1").select("key", "content", "words")
-    twice = each.groupBy("window", "words").agg(F.count("*").alias("n")).where("n > 1").select("window", "words")
-    hits = each.join(twice, ["window", "words"]).join(single, ["key", "content", "words"], "left_semi")
-
-    def spans(rows: pd.DataFrame) -> pd.DataFrame:
-        of_words = bool(rows["words"].iloc[0])
-        out = _covered(np.sort(rows["at"].to_numpy()), words if of_words else length)
-        return pd.DataFrame([(rows["key"].iloc[0], rows["content"].iloc[0], of_words, a, b) for a, b in out], columns=["key", "content", "words", "from", "to"])
-
-    return whole.unionByName(hits.groupBy("key", "content", "words").applyInPandas(spans, _MARKS))
+            out: list[tuple] = []
+            for key, content, times, body, of_words in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                units = body.split() if of_words else body
+                size, k = (words, min(WORDS_K, words)) if of_words else (length, min(K, length))
+                numbers = word_hashes(units) if of_words else np.frombuffer(body, np.uint8)
+                for finer, first, last in zip(*(x.tolist() for x in fragments(numbers, size, k + round(way * (size - k)))), strict=True):
+                    part = b" ".join(units[first : last + size]) if of_words else body[first : last + size]
+                    # A finer key counts within its own one.
+                    digest = xxhash.xxh3_128_digest(part)
+                    out.append((xxhash.xxh3_64_intdigest(b"%d %d" % (key, finer)) - (1 << 63), digest, of_words, times, part, key, content, first))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["key", "content", "words", "times", "body", "owner_key", "owner", "at"])
+
+    return bodies.select("key", "content", "times", "body", "words").mapInArrow(cut, "key long, content binary, words boolean, times long, body binary, owner_key long, owner binary, at long")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
