@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, release
@@ -20,9 +19,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     some = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # A vertex's smaller neighbours are tied to the least of them, which leaves hardly more edges than vertices.
-    least = some.withColumn("m", F.min("b").over(W.partitionBy("a")))
+    some = materialize(some.distinct(), "pairs")
+    lowest = materialize(some.groupBy("a").agg(F.min("b").alias("m")), "lowest")
+    least = some.join(lowest.hint("merge"), "a")
     few = least.select("a", F.col("m").alias("b")).union(least.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+    few = materialize(few, "few")
     both = materialize(few.union(few.select("b", "a")), "edges")
+    release(some, lowest, few)
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
@@ -38,4 +41,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     release(both)
-    return labels.select("id", "component")
+    out = labels.select("id", "component")
+    out._syntarel_path = labels._syntarel_path
+    return out

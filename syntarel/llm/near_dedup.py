@@ -9,9 +9,11 @@ both sketches and both set sizes drops clear misses, and the candidates' familie
 are then verified on full sets.
 
 Equal sets are one class from the start, so copies cost one row. Within a
-family every pair is compared exactly, block against block, in tasks of bounded
-size; only a spanning set of links leaves a task, so links don't grow with the
-square of a group.
+family every document is compared exactly with the family's first one, which
+links a tight group at once. Those that aren't linked to it are compared exactly with
+every other document of the family, block against block, in tasks of bounded rows and
+bytes; pairs of documents that are both linked to the first need no look. Only a
+spanning set of links leaves a task, so links don't grow with the square of a group.
 
 What can be missed: two similar documents that share no band, or whose common
 bands (13 of 32 on average at 0.8) all have a first member so unlike them that the
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, release
 from .components import connected_components
 
 #: Registers; base; registers in a band. At a similarity of 0.8 all 32 bands miss once in 2 * 10^7 pairs.
@@ -35,8 +37,8 @@ _Q = (1 << 16) - 2
 _RATE = 20.0
 #: Candidates with a lower joint estimate are dropped (0.8 is over ten standard errors away).
 LEAST_ESTIMATE = 0.3
-#: Documents in a block: a sixteenth of the family, within these bounds.
-SMALL_BLOCK, LARGE_BLOCK = 128, 2048
+#: Documents and bytes of shingles that a block should hold.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
@@ -167,8 +169,10 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     # A class is known by its smallest doc_id; one id with two texts joins both.
     banded = classes.select("rep", F.explode(F.pandas_udf(bands, "array<long>").asNondeterministic()("sketch")).alias("band"))
     banded = materialize(banded, "bands")
-    centers = banded.groupBy("band").agg(F.min("rep").alias("center"), F.max("rep").alias("__most")).where("center < __most").select("band", "center")
+    # What is joined with many rows of a key is written first, so that Spark can split those rows.
+    centers = materialize(banded.groupBy("band").agg(F.min("rep").alias("center"), F.max("rep").alias("__most")).where("center < __most").select("band", "center"), "centers")
     stars = materialize(banded.join(centers, "band").where("rep <> center").select("rep", "center").distinct(), "stars")
+    release(banded, centers)
 
     def estimates(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         if not len(a):
@@ -176,42 +180,76 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
         table = [np.frombuffer(b"".join(x), np.uint16).reshape(-1, REGISTERS) for x in (a, b)]
         return pd.Series(joint_estimate(*table, na.to_numpy(float), nb.to_numpy(float)))
 
-    one = classes.groupBy("rep").agg(F.max_by("sketch", "n").alias("sketch"), F.max("n").alias("n"))
+    # Of a doc_id with several texts, the largest class gives the estimate.
+    one = materialize(classes.groupBy("rep").agg(F.max_by("sketch", "n").alias("sketch"), F.max("n").alias("n")), "one")
     likely = stars.join(one.toDF("rep", "sa", "na"), "rep").join(one.toDF("center", "sb", "nb"), "center").withColumn("estimate", F.pandas_udf(estimates, "double")("sa", "sb", "na", "nb"))
     families = connected_components(likely.where(F.col("estimate") >= LEAST_ESTIMATE).select(F.col("rep").alias("a"), F.col("center").alias("b")))
-    links = _verified(spark, ids, families, width, percent)
+    release(stars)
+    links = _verified(ids, families, one.select("rep", "n"), width, percent)
     found = connected_components(links)
-    # Every row by its class; hot classes are split by the join, not gathered.
-    own = measured.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left")
-    joined = own.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    rows = joined.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return rows
+    release(one, links, families)
+    # The component of every class, and then one join to the rows.
+    of_class = materialize(classes.select("class", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component")), "class-components")
+    release(classes, found)
+    rows = measured.select("doc_id", "n_shingles", "class").join(of_class.hint("merge"), "class", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _verified(spark, ids: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) of a spanning set of the links within each family."""
+def _verified(ids: DataFrame, families: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of a spanning set of the links within each family, written; ``sizes`` has rep and n, its shingles."""
 
     def as_sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(x, width).tobytes() for x in texts])
 
-    sizes = families.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / F.least(F.greatest(F.col("size") / 16, F.lit(SMALL_BLOCK)), F.lit(LARGE_BLOCK)))).cast("int")
-    placed = families.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    sets = materialize(placed.join(ids.hint("merge"), "doc_id").select("doc_id", "component", "blocks", "block", F.pandas_udf(as_sets, "binary").asNondeterministic()("text").alias("items")), "sets")
-    # A block meets itself and every other block of its family once.
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
-    pairs = sets.select("doc_id", "component", "block", "items", F.explode(meets).alias("at")).select("doc_id", "component", "block", "items", "at.i", "at.j")
+    members = families.select(F.col("id").alias("doc_id"), "component")
+    sets = materialize(members.join(ids.hint("merge"), "doc_id").select("doc_id", "component", F.pandas_udf(as_sets, "binary").asNondeterministic()("text").alias("items")), "sets")
+
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    # A family is known by its first document.
+    first = sets.where("doc_id = component").select("component", F.col("items").alias("first_items"))
+    likened = sets.where("doc_id <> component").join(first.hint("merge"), "component").select("doc_id", "component", F.pandas_udf(alike, "boolean").asNondeterministic()("items", "first_items").alias("linked"))
+    # A doc_id with several texts is linked if one of them is.
+    likened = materialize(likened.groupBy("doc_id", "component").agg(F.max("linked").alias("linked")), "likened")
+    direct = likened.where("linked").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+    lone = likened.where("not linked").select("doc_id", "component")
+    if not lone.limit(1).count():
+        out = materialize(direct, "links")
+        release(sets, likened)
+        return out
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        counted = rows.join(sizes.toDF("doc_id", "n"), "doc_id", "left").groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+        number = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(8 * F.col("n") / BLOCK_BYTES), F.lit(1)).cast("int")
+        return counted.select("component", number.alias(name))
+
+    # Every block of lone documents meets every block of its family.
+    numbers = materialize(blocks(lone, "lone_blocks").join(blocks(members, "blocks"), "component"), "blocks")
+    marked = sets.join(lone.withColumn("lone", F.lit(True)).hint("merge"), ["doc_id", "component"], "left").join(numbers.hint("merge"), "component")
+    at = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = marked.select("doc_id", "component", "items", F.lit(False).alias("lone"), F.explode(F.sequence(F.lit(0), F.col("lone_blocks") - 1)).alias("i"), at("blocks").alias("j"))
+    own = marked.where("lone").select("doc_id", "component", "items", F.lit(True).alias("lone"), at("lone_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")  # so that each is reached from the least
-        ids_, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
-        items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
-        linked = _links(items, percent)
-        if rows["i"].iloc[0] != rows["j"].iloc[0]:
-            linked &= block[:, None] != block[None]
+        rows = rows.sort_values(["doc_id", "lone"])  # so that each is reached from the least
+        linked = _links([np.frombuffer(x, np.uint64) for x in rows["items"]], percent)
+        lone, ids_ = rows["lone"].to_numpy(), rows["doc_id"].to_numpy()
+        linked &= (lone[:, None] != lone[None]) | (ids_[:, None] == ids_[None])
         return pd.DataFrame(_spanning(linked, ids_), columns=["a", "b"])
 
-    return pairs.groupBy("component", "i", "j").applyInPandas(compare, "a long, b long")
+    rest = own.unionByName(every).groupBy("component", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b")
+    out = materialize(direct.unionByName(rest), "links")
+    release(sets, likened, numbers)
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Exactly: 100 * intersection >= percent * union, of sorted sets."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(a) - len(np.setdiff1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _links(items: list[np.ndarray], percent: int) -> np.ndarray:

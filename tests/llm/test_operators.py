@@ -220,7 +220,7 @@ def test_near_classes_against_all_pairs(spark):
 
 
 def test_near_classes_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL_BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
     rng = random.Random(1)
     base = words(rng, 150)
     rows = []
