@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, materialize, release
 
 BUCKETS = 1 << 16
 #: Most languages a model holds: 256 KB each, so the broadcast stays below 64 MB.
@@ -78,31 +78,42 @@ class LanguageModel:
 
     @classmethod
     def from_counts(cls, counts: DataFrame, smoothing: float = 0.5) -> LanguageModel:
-        names = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-        if len(names) > MAX_LANGUAGES:
+        """From a written table of counts. The driver gets one row of BUCKETS floats a language: the model itself."""
+        seen = max(1, counts.select("bucket").distinct().count())
+
+        def estimate(rows: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(BUCKETS)
+            total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+            total += smoothing
+            return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "p": [(total / (total.sum() - smoothing * (BUCKETS - seen))).astype(np.float32).tobytes()]})
+
+        if counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        table = np.zeros((BUCKETS, max(1, len(names))), np.float64)
-        if names:
-            rows = counts.toPandas()  # names x BUCKETS rows at most
-            np.add.at(table, (rows["bucket"].to_numpy(), rows["lang"].map({x: i for i, x in enumerate(names)}).to_numpy()), rows["n"].to_numpy())
-        seen = max(1, int((table.sum(1) > 0).sum()))
-        table += smoothing
-        return cls(names, (table / (table.sum(0) - smoothing * (BUCKETS - seen))).astype(np.float32))
+        rows = sorted(counts.groupBy("lang").applyInPandas(estimate, "lang string, p binary").collect())
+        table = np.array([np.frombuffer(r[1], np.float32) for r in rows]).reshape(len(rows), BUCKETS)
+        return cls([r[0] for r in rows], np.ascontiguousarray(table.T))
 
     def infer(self, text: str | None, iterations: int = 40, penalty: float = 1.0) -> tuple[str, float, dict[str, float]]:
-        """Main language, its score (its proportion times its posterior among single languages) and the proportions."""
-        grams = trigrams(text) if text else ()
+        """Main language, its score (its proportion times its posterior among single languages) and the proportions.
+
+        A text is its different buckets with their counts, so it takes at most
+        BUCKETS rows however long it is.
+        """
+        grams, times = np.unique(trigrams(text), return_counts=True) if text else ((), ())
         if not len(grams) or not self.names:
             return UNKNOWN, 0.0, {}
+        times = times.astype(np.float32)
+        n = float(times.sum(dtype=np.float64))
         likely = self.probabilities[grams]
-        single = np.log(likely).sum(0, dtype=np.float64)
+        single = (np.log(likely) * times[:, None]).sum(0, dtype=np.float64)
         order = np.argsort(-single, kind="stable")
         chosen, best, shares = [int(order[0])], float(single[order[0]]), np.ones(1)
-        cost = penalty * max(1.0, np.log(len(grams))) + 2.0
+        cost = penalty * max(1.0, np.log(n)) + 2.0
         if len(self.names) > 1:
-            full, _ = _mixture(likely, iterations)
-            for k in sorted((int(k) for k in np.flatnonzero(full >= 0.05) if k != chosen[0]), key=lambda k: -full[k]):
-                w, fit = _mixture(likely[:, [*chosen, k]], iterations)
+            full, _ = _mixture(likely, times, iterations)
+            # A language that stands for less than a gram can't pay the penalty.
+            for k in sorted((int(k) for k in np.flatnonzero(full * n >= 1) if k != chosen[0]), key=lambda k: -full[k]):
+                w, fit = _mixture(likely[:, [*chosen, k]], times, iterations)
                 if fit - best > cost:
                     chosen, best, shares = [*chosen, k], fit, w
         post = np.exp(single - single.max())
@@ -113,18 +124,17 @@ class LanguageModel:
         return self.names[k], float(min(1.0, max(0.0, shares[top] * alone))), {self.names[c]: float(s) for c, s in zip(chosen, shares, strict=True)}
 
 
-def _mixture(likely: np.ndarray, iterations: int) -> tuple[np.ndarray, float]:
-    """Proportions by expectation-maximisation, and the log-likelihood."""
-    n, k = likely.shape
+def _mixture(likely: np.ndarray, times: np.ndarray, iterations: int) -> tuple[np.ndarray, float]:
+    """Proportions by expectation-maximisation, and the log-likelihood, of grams found so many times."""
+    k, n = likely.shape[1], times.sum(dtype=np.float64)
     w = np.full(k, 1 / k, np.float32)
     for _ in range(iterations):
-        inverse = 1 / (likely @ w)
-        new = w * (inverse @ likely) / n
+        new = w * ((times / (likely @ w)) @ likely) / np.float32(n)
         moved = float(np.abs(new - w).max())
         w = new
         if moved < 2e-3:
             break
-    return w / w.sum(), float(np.log(likely @ w).sum(dtype=np.float64))
+    return w / w.sum(), float((times * np.log(likely @ w)).sum(dtype=np.float64))
 
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))])
@@ -132,7 +142,10 @@ RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 
 def train_language_model(train: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from every row with a text and a language."""
-    return LanguageModel.from_counts(count_trigrams(train, text, lang).persist())
+    counts = materialize(count_trigrams(train, text, lang), "trigrams")
+    model = LanguageModel.from_counts(counts)
+    release(counts)
+    return model
 
 
 def detect_language(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:
