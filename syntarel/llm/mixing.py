@@ -7,8 +7,10 @@ that they can't hold, a warning gives the error that is left. A cell's sampling
 its tokens, times a factor that is calibrated so that the expected tokens make up
 the wanted part of the corpus, none being taken more than once.
 
-Only DataFrame functions run here. The cells are a small table of sums; of that
-only single numbers reach the driver.
+Only DataFrame functions run here. Topics and tokens are found in one scan of the texts
+and written with the rows. The cells are a table of sums, which a margin's sums are joined
+to, so that neither a margin's value nor all cells need to fit one task; only single
+numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -16,10 +18,9 @@ from __future__ import annotations
 import warnings
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import id_text, materialize, release
 
 MARGINS = ("source", "lang", "topic")
 #: A document's topic is the first whose pattern it holds (name, pattern).
@@ -28,7 +29,7 @@ OTHER = "general"
 #: Without targets, a margin's shares are its token shares to this power, normed.
 TEMPER = 0.7
 #: Sweeps over the three margins at least, and part of the tokens that is kept.
-SWEEPS, KEEP = 10, 0.6
+SWEEPS, KEEP = 15, 0.6
 #: Largest relative error of a margin at which raking stops. It gives up, with a warning, where STEP sweeps
 #: take off less than a thousandth of the error, or after MOST_SWEEPS.
 TOLERANCE, STEP, MOST_SWEEPS = 1e-6, 5, 5000
@@ -59,39 +60,32 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
     shares the rest by its tokens. A margin without targets is tempered. After
     ``sweeps`` sweeps, more follow until all margins hold to TOLERANCE.
     """
-    total = F.sum("tokens").over(W.partitionBy())
-    df = cells.where("tokens > 0").withColumn("weight", F.col("tokens") / total)
-    for margin in MARGINS:
-        share = F.sum("weight").over(W.partitionBy(margin))
-        df = df.withColumn(f"t_{margin}", share)
-    wanted = []
+    some = cells.where("tokens > 0")
+    total = float(some.agg(F.sum("tokens")).first()[0] or 1)
+    df = some.withColumn("weight", F.col("tokens") / F.lit(total))
     for margin in MARGINS:
+        values = materialize(df.groupBy(margin).agg(F.sum("weight").alias("share")), "shares")
         named = (targets or {}).get(margin)
-        values = df.groupBy(margin).agg(F.first(f"t_{margin}").alias("share"))
         if named is None:
-            target = F.pow("share", F.lit(temper))
-            values = values.select(margin, target.alias("raw"))
-            wanted.append(values.withColumn("target", F.col("raw") / F.sum("raw").over(W.partitionBy())).select(margin, F.col("target").alias(f"want_{margin}")))
+            raw = F.pow("share", F.lit(temper))
         else:
             given = F.coalesce(*[F.when(F.col(margin) == k, F.lit(float(v))) for k, v in named.items()], F.lit(None).cast("double"))
             rest = max(0.0, 1.0 - sum(map(float, named.values())))
-            values = values.withColumn("given", given)
-            free = F.sum(F.when(F.col("given").isNull(), F.col("share"))).over(W.partitionBy())
-            raw = F.coalesce("given", F.lit(rest) * F.col("share") / free)
-            wanted.append(values.withColumn("raw", raw).select(margin, (F.col("raw") / F.sum("raw").over(W.partitionBy())).alias(f"want_{margin}")))
-    df = df.drop(*[f"t_{m}" for m in MARGINS])
-    for margin, values in zip(MARGINS, wanted, strict=True):
-        df = df.join(values, margin)
-    # In one partition a sweep takes no shuffle.
-    df, done, before = materialize(df, "cells").coalesce(1), 0, float("inf")
+            free = float(values.where(given.isNull()).agg(F.sum("share")).first()[0] or 1)
+            raw = F.coalesce(given, F.lit(rest) * F.col("share") / F.lit(free))
+        whole = float(values.agg(F.sum(raw)).first()[0] or 1)
+        df = df.join(values.select(margin, (raw / F.lit(whole)).alias(f"want_{margin}")), margin)
+    df = old = materialize(df, "cells")
+    done, before = 0, float("inf")
     while True:
-        step = min(STEP, sweeps - done) if done < sweeps else STEP
-        for _ in range(step):
-            for margin in MARGINS:
-                # A cell that got no weight keeps none.
-                df = df.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * F.col(f"want_{margin}") / F.sum("weight").over(W.partitionBy(margin))).otherwise(0.0))
-        df, done = materialize(df, "raked").coalesce(1), done + step
-        if done < sweeps:
+        for margin in MARGINS:
+            sums = df.groupBy(margin).agg(F.sum("weight").alias("__sum"))
+            # A cell that got no weight keeps none.
+            df = df.join(sums, margin).withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * F.col(f"want_{margin}") / F.col("__sum")).otherwise(0.0)).drop("__sum")
+        new, done = materialize(df, "raked"), done + 1
+        release(old)
+        df = old = new
+        if done < sweeps or (done - sweeps) % STEP:
             continue
         error = margin_error(df)
         if error <= TOLERANCE:
@@ -105,9 +99,11 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
 
 def margin_error(df: DataFrame) -> float:
     """Largest error of a margin's sums of ``weight`` in relation to its targets ``want_...``; 0 without cells."""
-    off = [F.abs(F.sum("weight").over(W.partitionBy(m)) / F.col(f"want_{m}") - 1) for m in MARGINS]
-    worst = df.select(F.greatest(*[F.when(F.col(f"want_{m}") > 0, x).otherwise(0.0) for m, x in zip(MARGINS, off, strict=True)]).alias("off"))
-    return float(worst.agg(F.max("off")).first()[0] or 0.0)
+    worst = 0.0
+    for m in MARGINS:
+        sums = df.groupBy(m).agg(F.sum("weight").alias("has"), F.first(f"want_{m}").alias("want")).where("want > 0")
+        worst = max(worst, float(sums.agg(F.max(F.abs(F.col("has") / F.col("want") - 1))).first()[0] or 0.0))
+    return worst
 
 
 def calibrate(raked: DataFrame, keep: float = KEEP, most_steps: int = 60) -> DataFrame:
@@ -116,9 +112,8 @@ def calibrate(raked: DataFrame, keep: float = KEEP, most_steps: int = 60) -> Dat
     Cells that reach 1 are taken whole and the factor is set anew for the
     others, until no more cells reach it.
     """
-    ratio = F.col("weight") / (F.col("tokens") / F.sum("tokens").over(W.partitionBy()))
-    cells = materialize(raked.withColumn("ratio", ratio), "ratios")
-    total = cells.agg(F.sum("tokens")).first()[0]
+    total = raked.agg(F.sum("tokens")).first()[0]
+    cells = materialize(raked.withColumn("ratio", F.col("weight") / (F.col("tokens") / F.lit(float(total or 1)))), "ratios")
     factor = 0.0
     for _ in range(most_steps if total else 0):
         full = F.col("ratio") * F.lit(factor) >= 1
@@ -135,24 +130,26 @@ def chance(col: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(id_text(col)), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, topics: list[tuple[str, str]] | None = None, into: str = "mixing") -> DataFrame:
-    """Adds struct ``into`` (topic, tokens, rate, taken) to every row.
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, topics: list[tuple[str, str]] | None = None, into: str = "mixing", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (all, if None; doc_id must be one) of every row and struct ``into`` (topic, tokens, rate, taken).
 
     A row is taken if its id's number is below its cell's rate, so rows of one
     id in one cell share their fate and a rerun takes the same. Rows without
     words have rate 1 and are taken: they weigh nothing. Null sources and
     languages are cells of their own. An empty table gives an empty result.
-    A column named ``into`` is replaced.
+    A column named ``into`` is replaced. What is returned is written once with its
+    cells and read from there, so texts are looked at once.
     """
-    own = with_cells(docs, topics)
-    sums = own.select("__source", "__lang", "__topic", tokens_of(F.col("text")).alias("tokens")).groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("tokens").alias("tokens"))
-    rates = calibrate(rake(materialize(sums, "sums"), targets), keep)
-    known = rates.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("rate").alias("__rate"))
-    joined = own.join(known, [f"__{m}" for m in MARGINS], "left")
-    joined = joined.withColumn("__tokens", tokens_of(F.col("text")))
+    names = [c for c in (columns or docs.columns) if c != into]
+    own = with_cells(docs, topics).withColumn("__tokens", tokens_of(F.col("text")))
+    own = materialize(own.select(*names, *[f"__{m}" for m in MARGINS], "__tokens"), "mixing")
+    sums = materialize(own.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("tokens")), "sums")
+    rates = materialize(calibrate(rake(sums, targets), keep).select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("rate").alias("__rate")), "rates")
+    release(sums)
+    joined = own.join(rates, [f"__{m}" for m in MARGINS], "left")
     joined = joined.withColumn("__rate", F.when(F.col("__tokens") > 0, F.coalesce("__rate", F.lit(1.0))).otherwise(1.0))
     fields = F.struct(F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__rate").alias("rate"), (chance() < F.col("__rate")).alias("taken"))
-    return joined.withColumn(into, fields).drop("__source", "__lang", "__topic", "__rate", "__tokens")
+    return joined.select(*names, fields.alias(into))
 
 
 def mixing_sql(table: str = "documents", sweeps: int = SWEEPS, temper: float = TEMPER, keep: float = KEEP, steps: int = 12) -> str:

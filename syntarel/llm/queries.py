@@ -25,7 +25,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(docs, columns=["doc_id", "source", "lang"])
     return mixed.select("doc_id", "source", "lang", "mixing.topic", "mixing.tokens", F.round("mixing.rate", 6).alias("rate"), "mixing.taken")
 
 

@@ -302,8 +302,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", wo
     found = materialize(every.join(again, ["key", "words"]), "repeated")
     release(every, again)
     kinds = materialize(found.groupBy("key", "content", "words").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "a", "b")).alias("at")), "kinds")
-    keys = kinds.groupBy("key", "words").agg(F.count("*").alias("kinds"))
-    counted = kinds.join(keys, ["key", "words"])
+    keys = materialize(kinds.groupBy("key", "words").agg(F.count("*").alias("kinds")), "kinds-of-keys")
+    counted = materialize(kinds.join(keys, ["key", "words"]), "counted")
+    release(kinds, keys)
     wanted = counted.where("kinds > 1").select("at.text_key", F.struct("key", "content", "times", "kinds", "at.a", "at.b", "words").alias("at"))
     # One text of each key that holds a wanted fragment: its pieces come from one row.
     lists = materialize(wanted.groupBy("text_key").agg(F.collect_list("at").alias("ats")), "wanted")
@@ -332,7 +333,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", wo
     release(lists)
     marks, used = _marks(bodies, length, words, 0)
     marks = materialize(marks.unionByName(copies), "marks")
-    release(kinds, bodies, *used)
+    release(counted, bodies, *used)
     spans = found.join(marks, ["key", "content", "words"]).select("text_key", F.struct((F.col("a") + F.col("from")).alias("from"), (F.col("a") + F.col("to")).alias("to"), "words").alias("span"))
     out = materialize(spans.groupBy("text_key").agg(F.collect_set("span").alias("spans")), "spans")
     release(found, marks)
