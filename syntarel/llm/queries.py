@@ -43,7 +43,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.shard(_table(spark, sf_dir, "documents"), new_path(spark, "shards"))
     version = store.version()
-    return store.read(version).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), "shard", F.lit(version).alias("version"))
+    return store.read(version).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.mixing_sql(), "op3_near_dedup": near_dedup.classes_sql(4, 80)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_sharding": "select doc_id, lang, source, n_chars, sha256(text) as text_sha256 from documents",
+    "op2_mixing": mixing.mixing_sql(), "op3_near_dedup": near_dedup.classes_sql(4, 80)}

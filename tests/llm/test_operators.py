@@ -390,11 +390,26 @@ def test_shards_round_trip_and_tiers(spark, odd):
     store._commit(store.runs(), base)
     with pytest.raises(sharding.Conflict):
         store._commit(store.runs(), base)
-    again = sharding.shard(odd, common.new_path(spark, "test-shards"), arrivals=5)
-    assert sorted(map(repr, again.read().drop("shard").collect())) == sorted(map(repr, odd.collect()))
+    clash = odd.withColumn("shard", F.lit("own"))
+    again = sharding.shard(clash, common.new_path(spark, "test-shards"), arrivals=5)
+    assert sorted(map(repr, again.read().collect())) == sorted(map(repr, clash.collect()))
+    assert again.read(shard="file").where("shard = 'own' and file like 'part-%'").count() == odd.count()
     assert sharding.shard(odd.limit(0), common.new_path(spark, "test-shards")).read().count() == 0
 
 
+def test_replaced_runs_stay_for_a_version_and_strays_go(spark):
+    store = sharding.ShardStore(spark, common.new_path(spark, "test-shards"), fan=3, unit=1 << 10)
+    for k in range(3):
+        store.append(frame(spark, [(k, "x")]))
+    before, reader = store.version(), store.read()
+    assert store.compact() == before + 1 and len(store.runs()) == 1
+    assert reader.count() == store.read(before).count() == 3  # the version before can still be read
+    store.append(frame(spark, [(9, "y")]))
+    assert all(not store._fs().exists(store._path(f"{store.root}/{r['path']}")) for r in store.runs(before))
+    lost = store._write(frame(spark, [(5, "never committed")]))
+    assert store.vacuum() == [lost["path"]] and store.read().count() == 4 and store.vacuum() == []
+
+
 # -- language ID ----------------------------------------------------------------------
 
 
