@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, materialize, release
 
 PASSAGE = 512
 SINGLES, PAIRS = 129, 384
 WIDTH = SINGLES + PAIRS + 2
 #: Most labelled documents that the network is fitted on, and most of their passages.
 SAMPLE, SAMPLE_PASSAGES = 3000, 24_000
+#: The score from which label 1 is predicted.
+CUT = 0.3
 
 
 def encode(text: str | None) -> np.ndarray:
@@ -38,10 +40,10 @@ def encode(text: str | None) -> np.ndarray:
         out[:, -2] = size[:, 0] / PASSAGE
         # Repetition: share of eight-byte windows of a passage that it has had before.
         if len(raw) >= 8:
-            eight = np.lib.stride_tricks.sliding_window_view(raw, 8)[::4].copy().view(np.uint64).ravel() ^ (at[: len(raw) - 7 : 4].astype(np.uint64) << np.uint64(40))
+            eight = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view(np.uint64).ravel() ^ (at[: len(raw) - 7].astype(np.uint64) << np.uint64(40))
             _, first = np.unique(eight, return_index=True)
-            total = np.bincount(at[: len(raw) - 7 : 4], minlength=m)
-            fresh = np.bincount(at[: len(raw) - 7 : 4][first], minlength=m)
+            total = np.bincount(at[: len(raw) - 7], minlength=m)
+            fresh = np.bincount(at[: len(raw) - 7][first], minlength=m)
             out[:, -1] = 1 - fresh / np.maximum(1, total)
     return out
 
@@ -93,6 +95,16 @@ class AttentionModel:
                     self.p[k] = (self.p[k] - rate * (1 - epoch / epochs) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
+    def calibrate(self, bags: list[np.ndarray], labels: np.ndarray, cut: float = CUT) -> AttentionModel:
+        """Shift the logits so that ``cut`` lies where both labels are told apart best, each weighing the same (in the middle of equally good places)."""
+        logits = np.concatenate([self.forward(x, np.zeros(1, np.int64))["logit"] for x in bags])
+        order = np.argsort(logits, kind="stable")
+        below = np.concatenate([[0.0], np.cumsum(np.where(labels[order] == 1, -1 / labels.sum(), 1 / (1 - labels).sum()))])
+        edges = np.concatenate([logits[order[:1]], (logits[order[1:]] + logits[order[:-1]]) / 2, logits[order[-1:]]])
+        best = edges[np.flatnonzero(below >= below.max() - 1e-9)]
+        self.p["d"] = self.p["d"] + np.float32(np.log(cut / (1 - cut)) - (best[0] + best[-1]) / 2)
+        return self
+
     def score(self, text: str | None) -> float:
         """Probability of label 1."""
         f = self.forward(encode(text), np.zeros(1, np.int64))
@@ -102,29 +114,32 @@ class AttentionModel:
 def train_quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> AttentionModel | float:
     """Fit on labelled rows of ``docs``; ``labels`` holds doc_id and ``label`` (0 or 1).
 
-    At most ``sample`` documents, the first by a hash of their id, and of these
-    as many as hold SAMPLE_PASSAGES passages. Null labels and ids don't count;
-    a document labelled more than once has its highest label. If only one
-    label, or none, is there, the result is a constant score.
+    At most ``sample`` documents, the first by a hash of their id, and of these in
+    this order all that fit into SAMPLE_PASSAGES passages together; a document that
+    doesn't is passed over. Null labels and ids don't count; a document labelled
+    more than once has its highest label, one with several texts the last in their
+    order. If only one label, or none, is there, the result is a constant score.
     """
     one = labels.select("doc_id", F.col(label).cast("int").alias("__label")).where("doc_id is not null and __label in (0, 1)").groupBy("doc_id").agg(F.max("__label").alias("__label"))
     chosen = one.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    bags_of = F.pandas_udf(_encoded, "binary")
     bound_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "__label", bags_of("text").alias("bag"), (F.length("text") / PASSAGE).alias("__size"))
-    total = F.sum("__size").over(_by_id())
-    got = rows.withColumn("__total", total).where(F.coalesce("__total", F.lit(0)) <= SAMPLE_PASSAGES).orderBy("doc_id").select("__label", "bag").collect()
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("__label").alias("__label"))
+    rows = materialize(rows.withColumn("__size", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).cast("long")), "labelled")
+    fits, total = [], 0
+    sizes = rows.select("doc_id", "__size").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # ``sample`` rows at most
+    for doc_id, size in sizes:
+        if total + size <= SAMPLE_PASSAGES:
+            fits.append(doc_id)
+            total += size
+    if sizes and not fits:
+        raise ValueError(f"every labelled document has more than {SAMPLE_PASSAGES} passages")
+    got = rows.where(F.col("doc_id").isin(fits)).orderBy("doc_id").select("__label", F.pandas_udf(_encoded, "binary")("text")).collect()
+    release(rows)
     y = np.array([r[0] for r in got], np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
     bags = [np.frombuffer(r[1], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in got]
-    return AttentionModel().fit(bags, y)
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return AttentionModel().fit(bags, y).calibrate(bags, y)
 
 
 def _encoded(texts: pd.Series) -> pd.Series:
@@ -134,7 +149,8 @@ def _encoded(texts: pd.Series) -> pd.Series:
 def score_documents(docs: DataFrame, model: AttentionModel | float, text: str = "text", into: str = "score") -> DataFrame:
     """Adds double ``into``: P(label 1) of each whole text, empty and null ones included.
 
-    All rows and other columns stay as they are; equal texts have equal scores.
+    All rows and other columns stay as they are, but for one named as ``into``, which
+    is replaced; equal texts have equal scores.
     """
     if isinstance(model, float):
         return docs.withColumn(into, F.lit(model))

@@ -601,6 +601,35 @@ def test_attention_gradients():
         assert g[at] == pytest.approx((up - down) / 2e-5, rel=2e-3, abs=1e-7)
 
 
+def test_attention_forward_and_calibration():
+    rng = np.random.default_rng(1)
+    model = quality_model.AttentionModel(hidden=4, gate=3)
+    p = model.p
+    bags = [rng.random((n, quality_model.WIDTH)).astype(np.float32) for n in (1, 3, 2, 5)]
+    got = model.forward(np.concatenate(bags), np.array([0, 1, 4, 6]))["logit"]
+    for bag, logit in zip(bags, got, strict=True):
+        embedded = [np.tanh(x @ p["E"] + p["e"]) for x in bag]
+        weights = [np.exp(((np.tanh(z @ p["V"]) / (1 + np.exp(-(z @ p["U"])))) @ p["w"])[0]) for z in embedded]
+        seen = sum(w * z for w, z in zip(weights, embedded, strict=True)) / sum(weights)
+        assert logit == pytest.approx(float((seen @ p["c"])[0] + p["d"][0]), rel=1e-4)
+    labels = (got > np.median(got)).astype(np.float32)
+    model.calibrate(bags, labels)
+    scores = 1 / (1 + np.exp(-np.array([model.forward(b, np.zeros(1, np.int64))["logit"][0] for b in bags])))
+    assert ((scores >= quality_model.CUT) == (labels == 1)).all()
+
+
+def test_classifier_passes_over_what_does_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(quality_model, "SAMPLE_PASSAGES", 100)
+    rows = [(i, "good words. " * 5 if i % 2 else "BAD !! " * 9) for i in range(40)]
+    docs = frame(spark, [*rows, (99, "x" * 10**6), *rows[:3]])
+    labels = frame(spark, [(i, i % 2) for i in [*range(40), 99]], "doc_id long, quality int")
+    model = quality_model.train_quality_model(docs, labels)
+    got = quality_model.score_documents(docs.where("doc_id < 40"), model)
+    assert got.where("(score >= 0.3) = (doc_id % 2 = 1)").count() == 43
+    with pytest.raises(ValueError, match="more than 100"):
+        quality_model.train_quality_model(docs.where("doc_id = 99"), labels)
+
+
 def test_classifier_on_held_out(spark, odd):
     rng = random.Random(8)
     good = [(i, words(rng, rng.randrange(20, 300)) + ".") for i in range(200)]
