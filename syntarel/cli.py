@@ -88,7 +88,9 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "structure":
             rows = render.structure_lines(code.code_units(nodes))
         elif args.command == "calls":
-            rows = render.call_lines(code.call_graph(nodes))
+            for line in render.call_lines(code.call_graph(nodes)):
+                print(line)
+            return 0
         else:
             print("\n".join(render.impact_lines(code.impact(code.code_units(nodes), args.function), args.function)))
             return 0
@@ -104,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
             for r in render.complexity_lines(found).toLocalIterator():
                 print(r["text"])
         elif args.command == "dfg":
-            refs = code.function_refs(nodes, ast_table.var_refs(sources)).where(f"function = '{args.function}'")
+            refs = code.function_refs(nodes).where(f"function = '{args.function}'")
             print(render.dfg_json(args.function, refs, code.dfg_edges(refs)))
         else:
             lines = code.slice_by_blocks(code.cfg_blocks(nodes).where(f"function = '{args.function}'"), args.line, args.direction != "backward")

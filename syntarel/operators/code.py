@@ -1,7 +1,7 @@
-"""Code analyses over ``ast_nodes`` and ``var_refs``, as joins, windows and aggregates.
+"""Code analyses over ``ast_nodes``, as joins, windows and aggregates.
 
-"Inside of" is ``path`` equality and a range of pre-order numbers, so every join
-below has an equality to hash on.
+"Inside of" is a join on the path and on the number of an enclosing function, which
+each node lists, so every join below is an equality.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.rules import CALL_KINDS, CASES, CLASS_KINDS, COUNTED_OPERATORS, DECISIONS, FLOW_FUNCTIONS, FLOW_LANGUAGES, FUNCTION_KINDS, LOOPS, MEMBER_KINDS
+from ..sources.rules import CALL_KINDS, CASES, CLASS_KINDS, COUNTED_OPERATORS, DECISIONS, FLOW_FUNCTIONS, FLOW_LANGUAGES, FUNCTION_KINDS, KEYWORDS, LOOPS, MEMBER_KINDS
 
 PROTOTYPE_NAMES = ["constructor", "toString", "valueOf", "hasOwnProperty", "isPrototypeOf", "propertyIsEnumerable", "toLocaleString"]
 
@@ -69,21 +69,19 @@ def file_calls(nodes: DataFrame) -> DataFrame:
 
 
 def call_graph(nodes: DataFrame) -> DataFrame:
-    """caller, callees: every defined name without callees, and ``__global`` with all calls in order of first sight."""
-    keys = defines(nodes).select(F.col("name").alias("caller")).distinct().withColumn("callees", F.array().cast("array<string>"))
-    first = calls(nodes).groupBy("callee").agg(F.min(F.struct("path", "at")).alias("at"))
-    everything = first.agg(F.array_sort(F.collect_list(F.struct("at", "callee"))).alias("c")).select(F.lit("__global").alias("caller"), F.col("c.callee").alias("callees"))
-    return keys.where("caller <> '__global'").unionByName(everything)
+    """caller, callee, at: every defined name without a callee, and ``__global`` with each callee and the place (path, pre, k) where it is seen first."""
+    first = calls(nodes).groupBy("callee").agg(F.min(F.struct("path", "at.pre", "at.k")).alias("at"))
+    edges = first.select(F.lit("__global").alias("caller"), "callee", "at")
+    keys = defines(nodes).select(F.col("name").alias("caller")).distinct().where("caller <> '__global'")
+    return keys.select("caller", F.lit(None).cast("string").alias("callee"), F.lit(None).cast(edges.schema["at"].dataType).alias("at")).unionByName(edges)
 
 
 def callers(nodes: DataFrame) -> DataFrame:
     """caller, callee pairs: each call with the innermost named definition around it."""
     named = defines(nodes).select("path", F.col("pre").alias("d_pre"), F.col("name").alias("caller"))
-    spans = nodes.select("path", F.col("pre").alias("d_pre"), F.col("last").alias("d_last"))
-    outer = named.join(spans, ["path", "d_pre"])
     fields = _fields(nodes, "function", "name", "method")
-    made = nodes.where(_rule(CALL_KINDS)).select("path", "pre").join(fields, ["path", "pre"]).select("path", "pre", F.coalesce("f_function.text", "f_name.text", "f_method.text").alias("callee")).where("callee is not null")
-    inside = made.join(outer, "path").where("pre > d_pre and pre <= d_last")
+    made = nodes.where(_rule(CALL_KINDS)).select("path", "pre", "within").join(fields, ["path", "pre"]).select("path", "pre", "within", F.coalesce("f_function.text", "f_name.text", "f_method.text").alias("callee")).where("callee is not null")
+    inside = made.select("path", "pre", "callee", F.explode("within").alias("d_pre")).join(named, ["path", "d_pre"])
     return inside.groupBy("path", "pre", "callee").agg(F.max_by("caller", "d_pre").alias("caller")).select("path", "caller", "callee").distinct()
 
 
@@ -102,7 +100,8 @@ def flow_functions(nodes: DataFrame) -> DataFrame:
 def _inside(functions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes of each function's body, the body included."""
     own = functions.select("path", "function", F.col("pre").alias("f_pre"), "b_pre", "b_last")
-    return nodes.join(own, "path").where("pre between b_pre and b_last")
+    scoped = nodes.where("size(within) > 0").withColumn("f_pre", F.explode("within"))
+    return scoped.join(own, ["path", "f_pre"]).where("pre between b_pre and b_last")
 
 
 def complexity(nodes: DataFrame) -> DataFrame:
@@ -150,10 +149,29 @@ def cfg_edges(blocks: DataFrame) -> DataFrame:
     return blocks.select("path", "function", F.col("id").alias("source"), following.alias("target"), F.lit("sequential").alias("type")).where("target is not null")
 
 
-def function_refs(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+def var_refs(nodes: DataFrame) -> DataFrame:
+    """path, fn_pre, seq, name, ref_type, line, col: definitions, updates and uses in every named function with a body, in order (TypeScript and JavaScript).
+
+    Scopes and branches don't count: an assignment defines a name that nothing in the
+    function has defined before it, and updates it otherwise.
+    """
+    some = nodes.where(F.col("language").isin(*FLOW_LANGUAGES) & F.col("kind").isin(*FLOW_FUNCTIONS))
+    functions = some.join(_fields(nodes, "name", "body"), ["path", "pre"]).where("f_name is not null and f_body is not null").select("path", F.col("pre").alias("fn_pre"))
+    told = nodes.where(F.col("role").isNotNull() & ~((F.col("role") == "use") & F.col("text").isin(*KEYWORDS)))
+    seen = told.select("path", "pre", F.col("text").alias("name"), "role", "since", F.col("start_line").alias("line"), F.col("start_col").alias("col"), F.explode("within").alias("fn_pre")).where("fn_pre >= since")
+    events = seen.join(functions, ["path", "fn_pre"], "left_semi")
+    before = W.partitionBy("path", "fn_pre", "name").orderBy("pre").rowsBetween(W.unboundedPreceding, -1)
+    known = F.coalesce(F.max(F.col("role").isin("define", "assign")).over(before), F.lit(False))
+    kinds = F.when(F.col("role") == "augment", F.array(F.lit("use"), F.lit("update"))).otherwise(F.array(F.when(F.col("role") == "use", "use").when((F.col("role") == "assign") & F.col("known"), "update").otherwise("definition")))
+    rows = events.withColumn("known", known).select("path", "fn_pre", "pre", "name", "line", "col", F.posexplode(kinds).alias("k", "ref_type"))
+    seq = F.row_number().over(W.partitionBy("path", "fn_pre").orderBy("pre", "k"))
+    return rows.select("path", "fn_pre", seq.alias("seq"), "name", "ref_type", "line", "col")
+
+
+def function_refs(nodes: DataFrame) -> DataFrame:
     """Variable references of the first function of each name."""
     own = flow_functions(nodes).select("path", "function", F.col("pre").alias("fn_pre"))
-    return refs.join(own, ["path", "fn_pre"]).drop("fn_pre")
+    return var_refs(nodes).join(own, ["path", "fn_pre"]).drop("fn_pre")
 
 
 def dfg_edges(refs: DataFrame) -> DataFrame:
@@ -228,10 +246,10 @@ def with_source(lines: DataFrame, sources: DataFrame) -> DataFrame:
     return lines.join(text, ["path", "line"], "left").withColumn("code", F.coalesce("code", F.lit("")))
 
 
-def index_entries(sources: DataFrame, nodes: DataFrame, refs: DataFrame, around: int = 5) -> DataFrame:
+def index_entries(sources: DataFrame, nodes: DataFrame, around: int = 5) -> DataFrame:
     """id, file, line, type, content of every unit: the lines around it and, for functions, counts of its references and flows."""
     units = code_units(nodes)
-    own = function_refs(nodes, refs)
+    own = function_refs(nodes)
     counts = own.groupBy("path", F.col("function").alias("name")).agg(F.count("*").alias("vars"))
     chains = dfg_edges(own).groupBy("path", F.col("function").alias("name")).agg(F.count("*").alias("chains"))
     lines = sources.select("path", F.split("text", "\n").alias("l"))

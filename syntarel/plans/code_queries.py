@@ -76,7 +76,7 @@ def _nodes(spark: SparkSession) -> DataFrame:
 
 
 def _refs(spark: SparkSession) -> DataFrame:
-    return code.function_refs(_nodes(spark), ast_table.var_refs(fixture_sources(spark)))
+    return code.function_refs(_nodes(spark))
 
 
 def _golden(df: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _entry_text() -> str:
 @query(f"select 'golden.ts:4:tally' as id, '{_entry_text()}' as content")
 def index_content_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = fixture_sources(spark)
-    return code.index_entries(sources, _nodes(spark), ast_table.var_refs(sources)).where("file = 'golden.ts'").select("id", "content")
+    return code.index_entries(sources, _nodes(spark)).where("file = 'golden.ts'").select("id", "content")
 
 
 @query("select count(*)::int as bad from (select 1) where false")

@@ -79,7 +79,7 @@ def build_index(sources: DataFrame, index: VectorIndex, chosen: Provider) -> dic
     one is stored.
     """
     nodes = ast_table.ast_nodes(sources).persist()
-    entries = code.index_entries(sources, nodes, ast_table.var_refs(sources)).withColumn("hash", signed_hex(hash32_long("content"))).persist()
+    entries = code.index_entries(sources, nodes).withColumn("hash", signed_hex(hash32_long("content"))).persist()
     model = chosen.model()
     cache = index.read("cache").where((F.col("model") == model))
     hits, misses = search.with_cache(entries, cache)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +19,11 @@ def complexity_lines(found: DataFrame) -> DataFrame:
     return found.select(F.format_string("%s: complexity %d, blocks %d", "name", "complexity", "block_count").alias("text"))
 
 
-def call_lines(graph: DataFrame) -> DataFrame:
-    """Callers with at least one callee."""
-    return graph.where("size(callees) > 0").select(F.format_string("%s -> %s", "caller", F.array_join("callees", ", ")).alias("text")).orderBy("text")
+def call_lines(graph: DataFrame) -> Iterator[str]:
+    """A line for each caller with callees, in order of first sight; edges arrive one by one."""
+    edges = graph.where("callee is not null").orderBy("caller", "at").toLocalIterator()
+    for caller, rows in groupby(edges, key=lambda r: r["caller"]):
+        yield f"{caller} -> {', '.join(r['callee'] for r in rows)}"
 
 
 def impact_lines(units: DataFrame, target: str) -> list[str]:

@@ -1,8 +1,10 @@
-"""Sources to tables: files, syntax nodes, variable references and imports.
+"""Sources to tables: files, syntax nodes and imports.
 
 ``ast_nodes`` numbers a file's nodes in pre-order (``pre``) and gives the last number
-in each subtree (``last``), so that "inside of" is a range predicate and every
-analysis behind it is relational.
+in each subtree (``last``). ``within`` lists the functions and classes around a
+node, from the outermost, so that "inside of" joins on equality. ``role`` says what an
+identifier does, and ``since`` from which function on it is looked at. Every analysis
+behind the table is relational.
 """
 
 from __future__ import annotations
@@ -15,12 +17,11 @@ from pyspark.sql import functions as F
 
 from .imports import imports_of
 from .outline import outline
-from .references import references_of
-from .rules import FLOW_LANGUAGES, IGNORED, LANGUAGES
+from .references import role_of, way_below
+from .rules import CLASS_KINDS, FLOW_FUNCTIONS, FLOW_LANGUAGES, FUNCTION_KINDS, IGNORED, LANGUAGES
 from .script import Node, parse_script
 
-NODES = "path string, language string, pre int, last int, parent int, depth int, seq int, kind string, field string, text string, start_line int, start_col int, end_line int, end_col int"
-REFERENCES = "path string, fn_pre int, seq int, name string, ref_type string, line int, col int"
+NODES = "path string, language string, pre int, last int, parent int, depth int, seq int, kind string, field string, text string, start_line int, start_col int, end_line int, end_col int, within array<int>, role string, since int"
 IMPORTS = "path string, ord int, module string, names array<string>, isFrom boolean, isDefault boolean, aliases map<string,string>"
 #: Fields whose full text analyses read; other inner nodes have none.
 _TEXT_OF = {"name", "function", "method", "property", "operator", "source"}
@@ -62,14 +63,19 @@ def rows_of(path: str, language: str, text: str, root: Node) -> list[tuple]:
     """A tree's nodes as rows of ``ast_nodes``."""
     lines = [0, *(m.end() for m in re.finditer("\n", text))]
     rows: list[list] = []
-    stack = [(root, -1, 0, 0)]
+    scopes = {"class_declaration", *FLOW_FUNCTIONS, *FUNCTION_KINDS.get(language, ()), *CLASS_KINDS.get(language, ())}
+    looked = language in FLOW_LANGUAGES
+    stack: list[tuple] = [(root, -1, 0, 0, [], "read" if looked else None, 0)]
     while stack:
-        node, parent, depth, seq = stack.pop()
+        node, parent, depth, seq, within, way, since = stack.pop()
         pre = len(rows)
         a, b = bisect.bisect_right(lines, node.start) - 1, bisect.bisect_right(lines, node.end) - 1
         body = text[node.start : node.end] if not node.children or node.name in _TEXT_OF else None
-        rows.append([path, language, pre, pre, parent, depth, seq, node.kind, node.name or None, body, a + 1, node.start - lines[a], b + 1, node.end - lines[b]])
-        stack += [(c, pre, depth + 1, k) for k, c in reversed(list(enumerate(node.children)))]
+        rows.append([path, language, pre, pre, parent, depth, seq, node.kind, node.name or None, body, a + 1, node.start - lines[a], b + 1, node.end - lines[b], within, role_of(way, node), since])
+        if looked and way is None and node.kind in FLOW_FUNCTIONS:
+            since = pre
+        inner = [*within, pre] if node.kind in scopes else within
+        stack += [(c, pre, depth + 1, k, inner, way_below(way, node, c) if looked else None, since) for k, c in reversed(list(enumerate(node.children)))]
     for row in reversed(rows):
         if row[4] >= 0:
             rows[row[4]][3] = max(rows[row[4]][3], row[3])
@@ -99,12 +105,6 @@ def ast_nodes(sources: DataFrame) -> DataFrame:
     return _mapped(sources, lambda p, lang, t: rows_of(p, lang, t, tree_of(t, lang)), NODES)
 
 
-def var_refs(sources: DataFrame) -> DataFrame:
-    """Definitions, updates and uses in every named function, in order of evaluation (TypeScript and JavaScript)."""
-    some = sources.where(F.col("language").isin(*FLOW_LANGUAGES))
-    return _mapped(some, lambda p, lang, t: [(p, *r) for r in references_of(t, tree_of(t, lang))], REFERENCES)
-
-
 def imports(sources: DataFrame) -> DataFrame:
     """Import statements of all sources, in order."""
     return _mapped(sources, lambda p, lang, t: [(p, k, *r) for k, r in enumerate(imports_of(t, lang))], IMPORTS)

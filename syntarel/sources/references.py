@@ -1,124 +1,55 @@
-"""Variable references of functions, in order of evaluation."""
+"""What identifiers do in TypeScript and JavaScript, as a table of rules over kinds and fields.
 
-from __future__ import annotations
+Every node is looked at in some way, and its own way and kind say how its children
+are looked at. An identifier's way is its role; who defines, updates and uses what in
+which function follows from roles, nesting and order, relationally.
+"""
 
-import bisect
-import re
+from __future__ import annotations
 
-from .rules import FLOW_FUNCTIONS, KEYWORDS
+from .rules import FLOW_FUNCTIONS
 from .script import Node
 
-_SKIP = frozenset(KEYWORDS)
-
-
-def _child(node: Node, name: str) -> Node | None:
-    return next((c for c in node.children if c.name == name), None)
-
-
-class _Collector:
-    """Scope-blind and branch-blind: one list of references by name."""
-
-    def __init__(self, text: str, lines: list[int]):
-        self.text, self.lines = text, lines
-        self.out: list[tuple[str, str, int, int]] = []
-        self.known: set[str] = set()
-
-    def add(self, node: Node, kind: str) -> None:
-        row = bisect.bisect_right(self.lines, node.start) - 1
-        self.out.append((self.text[node.start : node.end], kind, row + 1, node.start - self.lines[row]))
-
-    def define(self, node: Node) -> None:
-        self.known.add(self.text[node.start : node.end])
-        self.add(node, "definition")
-
-    def visit(self, node: Node | None, parent: Node | None = None) -> None:
-        if node is None:
-            return
-        handler = getattr(self, f"on_{node.kind}", None)
-        if handler:
-            handler(node)
-            return
-        if node.kind == "identifier":
-            named = parent is not None and node.name == "name" and parent.kind in ("function_declaration", "function_expression")
-            if not named:
-                self.use(node)
-            return
-        for c in node.children:
-            self.visit(c, node)
-
-    def use(self, node: Node) -> None:
-        if self.text[node.start : node.end] not in _SKIP:
-            self.add(node, "use")
-
-    def on_variable_declaration(self, node: Node) -> None:
-        for c in node.children:
-            if c.kind == "variable_declarator":
-                name = _child(c, "name")
-                if name is not None and name.kind == "identifier":
-                    self.define(name)
-                self.visit(_child(c, "value"), c)
-
-    on_lexical_declaration = on_variable_declaration
-
-    def on_assignment_expression(self, node: Node) -> None:
-        left = _child(node, "left")
-        if left is not None:
-            self.assign(left)
-        self.visit(_child(node, "right"), node)
-
-    def assign(self, target: Node) -> None:
-        if target.kind == "identifier":
-            name = self.text[target.start : target.end]
-            if name in self.known:
-                self.add(target, "update")
-            else:
-                self.define(target)
-        elif target.kind in ("array_pattern", "object_pattern"):
-            for c in target.children:
-                self.assign(c)
-        else:
-            self.visit(target)
-
-    def on_augmented_assignment_expression(self, node: Node) -> None:
-        left = _child(node, "left")
-        if left is not None and left.kind == "identifier":
-            self.add(left, "use")
-            self.add(left, "update")
-        self.visit(_child(node, "right"), node)
-
-    def on_formal_parameters(self, node: Node) -> None:
-        for c in node.children:
-            if c.kind in ("required_parameter", "optional_parameter"):
-                pattern = _child(c, "pattern")
-                if pattern is not None:
-                    self.parameter(pattern)
-                self.visit(_child(c, "value"), c)
-
-    def parameter(self, pattern: Node) -> None:
-        if pattern.kind == "identifier":
-            self.define(pattern)
-        elif pattern.kind in ("array_pattern", "object_pattern"):
-            for c in pattern.children:
-                if c.kind in ("identifier", "shorthand_property_identifier_pattern"):
-                    self.define(c)
-                elif c.kind == "pair_pattern":
-                    value = _child(c, "value")
-                    if value is not None and value.kind == "identifier":
-                        self.define(value)
-
-
-def references_of(text: str, root: Node) -> list[tuple[int, int, str, str, int, int]]:
-    """(pre-order number of the function, seq, name, type, line, column) of every named function with a body."""
-    lines = [0, *(m.end() for m in re.finditer("\n", text))]
-    out: list[tuple[int, int, str, str, int, int]] = []
-    stack, pre = [root], 0
-    while stack:
-        node = stack.pop()
-        if node.kind in FLOW_FUNCTIONS and _child(node, "name") and _child(node, "body"):
-            found = _Collector(text, lines)
-            for c in node.children:
-                found.visit(c, node)
-            out += [(pre, k + 1, *r) for k, r in enumerate(found.out)]
-        pre += 1
-        stack += reversed(node.children)
-    return out
+#: (way, kind) of a node: ways of its children, by field and kind (``field:kind``), field, or kind; ``*`` are all others.
+#: Children that no entry fits aren't looked at. Without an entry, all children are read.
+WAYS: dict[tuple[str, str], dict[str, str | None]] = {
+    ("read", "variable_declaration"): {"variable_declarator": "declare"},
+    ("read", "lexical_declaration"): {"variable_declarator": "declare"},
+    ("declare", "variable_declarator"): {"name:identifier": "define", "value": "read"},
+    ("read", "assignment_expression"): {"left": "assign", "right": "read"},
+    ("assign", "array_pattern"): {"*": "assign"},
+    ("assign", "object_pattern"): {"*": "assign"},
+    ("read", "augmented_assignment_expression"): {"left:identifier": "augment", "right": "read"},
+    ("read", "formal_parameters"): {"required_parameter": "parameter", "optional_parameter": "parameter"},
+    ("parameter", "required_parameter"): {"pattern": "bind", "value": "read"},
+    ("parameter", "optional_parameter"): {"pattern": "bind", "value": "read"},
+    ("bind", "array_pattern"): {"identifier": "define", "shorthand_property_identifier_pattern": "define", "pair_pattern": "bind"},
+    ("bind", "object_pattern"): {"identifier": "define", "shorthand_property_identifier_pattern": "define", "pair_pattern": "bind"},
+    ("bind", "pair_pattern"): {"value:identifier": "define"},
+    ("read", "function_declaration"): {"name:identifier": None, "*": "read"},
+    ("read", "function_expression"): {"name:identifier": None, "*": "read"},
+}
+#: Roles of identifiers by the way they are looked at.
+ROLES = {"read": "use", "assign": "assign", "define": "define", "bind": "define", "augment": "augment"}
+
+
+def way_below(way: str | None, node: Node, child: Node) -> str | None:
+    """How ``child`` is looked at; functions are read even where nothing around them is."""
+    if node.kind in FLOW_FUNCTIONS or (way == "assign" and ("assign", node.kind) not in WAYS):
+        way = "read"
+    if way is None:
+        return None
+    rules = WAYS.get((way, node.kind))
+    if rules is None:
+        return "read" if way == "read" else None
+    for name in (f"{child.name}:{child.kind}", child.name, child.kind, "*"):
+        if name in rules:
+            return rules[name]
+    return None
+
+
+def role_of(way: str | None, node: Node) -> str | None:
+    """The role of an identifier that is looked at."""
+    if node.kind == "identifier" or (way == "define" and not node.children):
+        return ROLES.get(way or "")
+    return None
