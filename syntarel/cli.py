@@ -45,7 +45,10 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("-k", type=int, default=10)
         p.add_argument("path", nargs="?", default=".")
         p.add_argument("--provider")
-    sub.add_parser("config").add_argument("path", nargs="?", default=".")
+    p = sub.add_parser("config")
+    p.add_argument("path", nargs="?", default=".")
+    p.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="change a setting; an empty value sets its default")
+    p.add_argument("--edit", action="store_true", help="ask for every setting")
     return top
 
 
@@ -72,6 +75,16 @@ def _one(spark, file: str, language: str | None = None):
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "config":
+        settings = config.load(args.path)
+        try:
+            given = dict(x.split("=", 1) for x in args.set)
+            if args.edit:
+                given |= config.asked(settings)
+            if given:
+                config.save(args.path, config.changed(settings, given))
+        except ValueError as error:
+            print(f"not a setting: {error}", file=sys.stderr)
+            return 1
         print(json.dumps(asdict(config.load(args.path)), indent=2))
         return 0
     if args.command == "slice" and args.line < 1:
@@ -116,7 +129,7 @@ def main(argv: list[str] | None = None) -> int:
         settings.provider = args.provider or settings.provider
         store = index.VectorIndex(spark, "file://" + os.path.abspath(os.path.join(args.path, PROJECT_FOLDER)))
         if args.command == "warm":
-            print(json.dumps(index.build_index(ast_table.read_sources(spark, os.path.abspath(args.path)), store, embeddings.provider(settings))))
+            print(json.dumps(index.build_index(ast_table.read_sources(spark, os.path.abspath(args.path)), store, embeddings.provider(settings), lambda line: print(line, file=sys.stderr))))
         else:
             print(render.search_text(index.search_index(store, args.query, embeddings.provider(settings, for_search=True), args.k)))
     return 0

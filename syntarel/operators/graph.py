@@ -31,8 +31,8 @@ def dependencies(edges: DataFrame, targets: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, scope: str, backward: bool = False, node_type: str = "long") -> DataFrame:
     """(scope, node): all nodes that the scope's seeds lead to, seeds included, against the edges if ``backward``.
 
-    Each scope (a function, a user) is a small graph of its own and is walked in
-    one place. For one large graph use components or a frontier of joins.
+    For scopes that are small by nature, such as the dependence graph of one function:
+    each is walked in one place. Chains of any length go through :func:`along_chains`.
     """
     src, dst = ("dst", "src") if backward else ("src", "dst")
     kind = edges.schema[scope].dataType.simpleString()
@@ -53,3 +53,16 @@ def reachable(edges: DataFrame, seeds: DataFrame, scope: str, backward: bool = F
 
     one = edges.select(scope, "src", "dst").groupBy(scope)
     return one.cogroup(seeds.select(scope, "node").groupBy(scope)).applyInPandas(walk, f"{scope} {kind}, node {node_type}")
+
+
+def along_chains(df: DataFrame, seeds: DataFrame, scope: list[str], kind: str, order: list[str], node: str, backward: bool = False) -> DataFrame:
+    """(scope, node): what seeds (scope, ``kind`` and ``order`` of nodes) lead to along the edges of :func:`last_of_kind_edges`, seeds included, against them if ``backward``.
+
+    The edges of one kind in a scope are a chain, so that what is reached is all
+    nodes of the chain up to its last seed (from its first one on, forward): one
+    bound a chain, and a join that Spark can split where a scope is hot.
+    """
+    at = F.struct(*order)
+    bound = seeds.groupBy(*scope, kind).agg((F.max if backward else F.min)(at).alias("__bound"))
+    reached = df.select(*scope, kind, F.col(node).alias("node"), at.alias("__at")).join(bound, [*scope, kind])
+    return reached.where(F.col("__at") <= F.col("__bound") if backward else F.col("__at") >= F.col("__bound")).select(*scope, "node")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance
@@ -22,6 +24,42 @@ def nearest(vectors: DataFrame, query: list[float] | DataFrame, k: int = 10, id_
     return df.withColumn("distance", l2_distance(F.col(embedding), F.col("__query"))).drop("__query").orderBy("distance", id_column).limit(k)
 
 
+#: Vectors and queries that are compared together.
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 256
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """query_id, ``id_column``, distance: of every query (its own ``id_column`` and ``embedding``) the ``k`` rows with the least L2 distance, ties by id.
+
+    A stated set of queries against all rows, block by block: every pair of blocks is
+    one bounded numpy task that keeps k rows a query; those are merged by query. Null
+    vectors and ids are left out.
+    """
+    def blocked(df: DataFrame, size: int, name: str) -> DataFrame:
+        some = df.where(F.col(id_column).isNotNull() & F.col(embedding).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+        blocks = max(1, -(-some.count() // size))
+        return some.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(name)).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_values"))
+
+    def compare(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, asked = np.asarray(r.rows_ids), np.asarray(r.asked_ids)
+                table, wanted = np.asarray(r.rows_values).reshape(len(ids), -1), np.asarray(r.asked_values).reshape(len(asked), -1)
+                for q, vector in zip(asked, wanted, strict=True):
+                    distance = np.sqrt(((table - vector) ** 2).sum(1))
+                    few = np.argpartition(distance, k - 1)[:k] if len(ids) > k else np.arange(len(ids))
+                    few = np.flatnonzero(distance <= distance[few].max())  # with all ties
+                    first = few[np.lexsort((ids[few], distance[few]))][:k]
+                    yield pd.DataFrame({"query_id": q, id_column: ids[first], "distance": distance[first]})
+
+    pairs = blocked(vectors, VECTOR_BLOCK, "rows").crossJoin(blocked(queries, QUERY_BLOCK, "asked"))
+    found = pairs.mapInPandas(compare, f"query_id long, {id_column} long, distance double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", id_column))
+    return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+
 def with_cache(entries: DataFrame, cache: DataFrame, key: str = "hash") -> tuple[DataFrame, DataFrame]:
     """(hits with the cached embedding, misses) of entries by content hash."""
     known = cache.select(key, F.col("embedding").alias("embedding")).dropDuplicates([key])

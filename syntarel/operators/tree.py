@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def file_tree(paths: DataFrame, path: str = "path") -> DataFrame:
     """path, parent_path, name, depth, is_directory, position, is_last of every file and directory above it.
 
-    Siblings are in order: directories first, then by name.
+    Siblings are in order: directories first, then by name in the order of the root locale (``_x, a, A, b, B``), equal ones by code.
     """
     parts = paths.select(F.filter(F.split(path, "/"), lambda x: x != "").alias("parts")).where("size(parts) > 0").distinct()
     prefixes = parts.select("parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
@@ -18,7 +18,7 @@ def file_tree(paths: DataFrame, path: str = "path") -> DataFrame:
     # A name can be a file in one path and a directory in another: it is a directory.
     nodes = nodes.groupBy("path", "parent_path", "name", "depth").agg(F.max("is_directory").alias("is_directory"))
     siblings = W.partitionBy("parent_path")
-    place = F.row_number().over(siblings.orderBy(F.desc("is_directory"), "name"))
+    place = F.row_number().over(siblings.orderBy(F.desc("is_directory"), F.collate("name", "UNICODE"), "name"))
     return nodes.withColumn("position", place).withColumn("is_last", F.col("position") == F.count("*").over(siblings))
 
 

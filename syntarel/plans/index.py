@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,44 +21,68 @@ CACHE = "hash string, model string, dimensions int, embedding array<float>"
 class VectorIndex:
     """Tables ``vectors`` and ``cache`` under a root, each version a folder that a pointer file names.
 
-    A version is written in whole before the pointer moves, so readers never see
-    half of one.
+    A version is written in whole before its pointer ``<table>.v<number>`` is put in
+    place by a rename that fails if there is one already, so readers see one version or
+    the next, and of two writers one fails. A replaced version stays until the next one.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self._conf)
 
     def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def _current(self, table: str) -> str | None:
-        fs, at = self._fs(), self._path(f"{table}.current")
-        if not fs.exists(at):
-            return None
-        stream = fs.open(at)
+    def _versions(self, table: str) -> dict[int, str]:
+        """Pointer files by version."""
+        fs = self._fs()
+        names = [x.getPath().getName() for x in fs.listStatus(self._path(""))] if fs.exists(self._path("")) else []
+        return {int(n.rpartition(".v")[2]): n for n in names if n.startswith(f"{table}.v") and n.rpartition(".v")[2].isdigit()}
+
+    def _folder(self, pointer: str) -> str:
+        stream = self._fs().open(self._path(pointer))
         try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
+    def version(self, table: str) -> int:
+        """The latest version of a table; 0 before the first build."""
+        return max(self._versions(table), default=0)
+
     def read(self, table: str) -> DataFrame:
         """``vectors`` or ``cache``; empty before the first build."""
-        name, schema = self._current(table), {"vectors": ENTRY, "cache": CACHE}[table]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if name else self.spark.createDataFrame([], schema)
+        versions, schema = self._versions(table), {"vectors": ENTRY, "cache": CACHE}[table]
+        if not versions:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{self._folder(versions[max(versions)])}")
 
     def replace(self, table: str, df: DataFrame) -> None:
-        name, old = f"{table}-{uuid.uuid4().hex}", self._current(table)
-        df.write.parquet(f"{self.root}/{name}")
-        fs = self._fs()
-        stream = fs.create(self._path(f"{table}.current"), True)
-        stream.write(bytearray(name.encode()))
+        """Write the next version; FileExistsError if another writer was faster."""
+        fs, versions = self._fs(), self._versions(table)
+        new, folder = max(versions, default=0) + 1, f"{table}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        part = self._path(f".{folder}")
+        stream = fs.create(part, False)
+        stream.write(bytearray(folder.encode()))
         stream.close()
-        if old:
-            fs.delete(self._path(old), True)
+        renames = self._jvm.org.apache.hadoop.fs.Options.Rename
+        kinds = self.spark.sparkContext._gateway.new_array(renames, 1)
+        kinds[0] = renames.NONE
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf).rename(part, self._path(f"{table}.v{new:08d}"), kinds)
+        except Exception as error:
+            fs.delete(part, False)
+            fs.delete(self._path(folder), True)
+            raise FileExistsError(f"{table} version {new}") from error
+        for number, pointer in versions.items():
+            if number < new - 1:
+                fs.delete(self._path(self._folder(pointer)), True)
+                fs.delete(self._path(pointer), False)
 
     def clear(self) -> None:
         self.replace("vectors", self.spark.createDataFrame([], ENTRY))
@@ -71,23 +97,37 @@ class VectorIndex:
         return search.nearest(self.read("vectors"), query, k, "id")
 
 
-def build_index(sources: DataFrame, index: VectorIndex, chosen: Provider) -> dict[str, int]:
-    """Index every unit of the sources; figures: entries, hits, misses.
+def build_index(sources: DataFrame, index: VectorIndex, chosen: Provider, said: Callable[[str], None] | None = None) -> dict[str, int]:
+    """Index every unit of the sources; figures: entries, hits, misses. ``said`` gets a line with the seconds of each step.
 
     Contents are hashed and looked up in the cache of the same model; only
     misses are embedded, each distinct one once. Of entries with one id the last
     one is stored.
     """
+    began = time.perf_counter()
+
+    def lap(step: str) -> None:
+        nonlocal began
+        now = time.perf_counter()
+        if said:
+            said(f"{step}: {now - began:.2f} s")
+        began = now
+
     nodes = ast_table.ast_nodes(sources).persist()
     entries = code.index_entries(sources, nodes).withColumn("hash", signed_hex(hash32_long("content"))).persist()
     model = chosen.model()
     cache = index.read("cache").where((F.col("model") == model))
     hits, misses = search.with_cache(entries, cache)
     new = misses.groupBy("hash").agg(F.min("content").alias("content")).withColumn("embedding", embedding("content", chosen)).select("hash", F.lit(model).alias("model"), F.size("embedding").alias("dimensions"), "embedding").persist()
-    figures = {"entries": entries.count(), "hits": hits.count(), "misses": misses.count()}
+    figures = {"entries": entries.count()}
+    lap("units")
+    figures |= {"hits": hits.count(), "misses": misses.count()}
+    lap("cache")
     full = hits.select("id", "content", "file", "line", "type", "embedding").unionByName(misses.join(new.select("hash", "embedding"), "hash").select("id", "content", "file", "line", "type", "embedding"))
     index.replace("vectors", full.groupBy("id").agg(*[F.max_by(c, F.struct("file", "line", "type")).alias(c) for c in ("content", "file", "line", "type", "embedding")]))
+    lap("embeddings")
     index.replace("cache", cache.unionByName(new).dropDuplicates(["hash"]))
+    lap("cache written")
     for df in (new, entries, nodes):
         df.unpersist()
     return figures

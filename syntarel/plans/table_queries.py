@@ -30,22 +30,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_QUERY_VECTOR = "(select embedding::double[] from embeddings where vec_id = 0)"
+_NEAREST_SQL = """(select query_id, vec_id, d from (select q.vec_id as query_id, v.vec_id, list_distance(v.embedding::double[], q.embedding::double[]) as d,
+    row_number() over (partition by q.vec_id order by list_distance(v.embedding::double[], q.embedding::double[]), v.vec_id) as place from embeddings v, embeddings q where q.vec_id % 20 = 0) where place <= 10)"""
 
 
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return search.nearest(vectors, vectors.where("vec_id = 0").select("embedding"), 10)
+    return search.nearest_each(vectors, vectors.where("vec_id % 20 = 0"), 10)
 
 
-@query(f"select vec_id, label, round(list_distance(embedding::double[], {_QUERY_VECTOR}), 6) as distance from embeddings order by list_distance(embedding::double[], {_QUERY_VECTOR}), vec_id limit 10")
+@query(f"select query_id, vec_id, round(d, 6) as distance from {_NEAREST_SQL}")
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir).select("vec_id", "label", F.round("distance", 6).alias("distance"))
+    """The ten nearest rows of every row whose id is divisible by 20."""
+    return _nearest(spark, sf_dir).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"select vec_id, round(1 - list_distance(embedding::double[], {_QUERY_VECTOR}), 6) as score from embeddings order by list_distance(embedding::double[], {_QUERY_VECTOR}), vec_id limit 10")
+@query(f"select query_id, vec_id, round(1 - d, 6) as score from {_NEAREST_SQL}")
 def knn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir).select("vec_id", F.round(1 - F.col("distance"), 6).alias("score"))
+    return _nearest(spark, sf_dir).select("query_id", "vec_id", F.round(1 - F.col("distance"), 6).alias("score"))
+
+
+@query("select vec_id, label, round(list_distance(embedding::double[], q), 6) as distance from embeddings, (select embedding::double[] as q from embeddings where vec_id = 0) order by list_distance(embedding::double[], q), vec_id limit 10")
+def knn_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A single search: the ten rows nearest to one query vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.nearest(vectors, vectors.where("vec_id = 0").select("embedding"), 10).select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
 _HASH = "list_reduce(list_prepend(0::bigint, list_transform(string_split({0}, ''), lambda c: unicode(c)::bigint)), lambda a, b: (a * 31 + b) % 4294967296)"
@@ -124,20 +133,22 @@ def _steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return events, graph.last_of_kind_edges(events, ["user_id"], "event_type", ["ts", "event_id"], "event_id")
 
 
+def _along(spark: SparkSession, sf_dir: str, backward: bool) -> DataFrame:
+    """What each user's last (first) event is led to by (leads to) along events of its kind."""
+    events = _steps(spark, sf_dir)[0]
+    one = (F.max if backward else F.min)(F.struct("ts", "event_id", "event_type")).alias("x")
+    seeds = events.groupBy("user_id").agg(one).select("user_id", "x.*")
+    return graph.along_chains(events, seeds, ["user_id"], "event_type", ["ts", "event_id"], "event_id", backward)
+
+
 @query(f"with {_SAME_KIND}, l as (select user_id, arg_max(event_type, (ts, event_id)) as kind from events group by user_id) select e.user_id, event_id as node from e join l using (user_id) where event_type = kind")
 def backward_slice_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What leads to each user's last event along events of its kind."""
-    events, steps = _steps(spark, sf_dir)
-    seeds = events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("node"))
-    return graph.reachable(steps, seeds, "user_id", backward=True)
+    return _along(spark, sf_dir, backward=True)
 
 
 @query(f"with {_SAME_KIND}, l as (select user_id, arg_min(event_type, (ts, event_id)) as kind from events group by user_id) select e.user_id, event_id as node from e join l using (user_id) where event_type = kind")
 def forward_slice_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each user's first event leads to along events of its kind."""
-    events, steps = _steps(spark, sf_dir)
-    seeds = events.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node"))
-    return graph.reachable(steps, seeds, "user_id")
+    return _along(spark, sf_dir, backward=False)
 
 
 @query("select * from (select user_id, event_id as src, lead(event_id) over (partition by user_id order by ts, event_id) as dst from events) where dst is not null")
