@@ -238,7 +238,9 @@ def _verified(ids: DataFrame, families: DataFrame, sizes: DataFrame, width: int,
         linked &= (lone[:, None] != lone[None]) | (ids_[:, None] == ids_[None])
         return pd.DataFrame(_spanning(linked, ids_), columns=["a", "b"])
 
-    rest = own.unionByName(every).groupBy("component", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b")
+    # Dealt by blocks: left to itself, Spark would leave a family in the partition that the join put it in.
+    pairs = own.unionByName(every).repartition("component", "i", "j")
+    rest = pairs.groupBy("component", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b")
     out = materialize(direct.unionByName(rest), "links")
     release(sets, likened, numbers)
     return out

@@ -365,9 +365,11 @@ def _marks(bodies: DataFrame, length: int, words: int | None, step: int) -> tupl
         return marked, []
     parts = materialize(_finer(hot, length, words, FINER[step]), "finer")
     kinds = parts.groupBy("key", "content", "words").agg(F.sum("times").alias("times"), F.first("body").alias("body"))
-    keys = parts.groupBy("key", "words").agg(F.count_distinct("content").alias("kinds"), F.sum("times").alias("all")).where("all > 1").drop("all")
+    kinds = materialize(kinds, "finer-kinds")
+    keys = materialize(kinds.groupBy("key", "words").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").drop("all"), "finer-keys")
     # A key of one fragment is in the index, too: here copies of it come from different fragments.
     finer = materialize(kinds.join(keys, ["key", "words"]).select("key", "content", "words", "times", "kinds", "body"), "finer-bodies")
+    release(kinds, keys)
     below, used = _marks(finer, length, words, step + 1)
     back = parts.drop("body", "times").join(materialize(below, "finer-marks"), ["key", "content", "words"])
     back = back.select(F.col("owner_key").alias("key"), F.col("owner").alias("content"), "words", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
