@@ -15,7 +15,7 @@ from syntarel.llm import language_id, mixing, near_dedup, packing, repeats
 from syntarel.llm.common import materialize
 
 #: A document stays if its main language makes up this much of it.
-LEAST_LANGUAGE = 0.6
+LEAST_LANGUAGE = 0.55
 #: Words of a passage that must not be found twice, however few bytes they take.
 PASSAGE_WORDS = 51
 #: Part of the tokens that mixing keeps.
