@@ -220,12 +220,17 @@ def slice_by_blocks(blocks: DataFrame, line: int, forward: bool = False) -> Data
     return reached.select("path", "function", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
 
 
+def edges_of(edges: DataFrame, variable: str | None) -> DataFrame:
+    """The edges that a slice by a variable follows: all control edges, and the data edges with its name; all without one."""
+    return edges if not variable else edges.where((F.col("dep") == "control") | (F.col("label") == variable))
+
+
 def slice_generic(nodes: DataFrame, edges: DataFrame, line: int, variable: str | None = None, forward: bool = False) -> DataFrame:
     """path, function, line of a slice over any dependence graph, one function at a time."""
     from .graph import reachable
 
     scope = F.concat_ws("\x00", "path", "function").alias("scope")
-    kept = edges if not variable else edges.where((F.col("dep") == "control") | (F.col("label") == variable))
+    kept = edges_of(edges, variable)
     seeds = nodes.where((F.col("start_line") <= line) & (F.col("end_line") >= line)).select(scope, F.col("id").alias("node"))
     steps = kept.select(scope, F.col("source").alias("src"), F.col("target").alias("dst"))
     found = reachable(steps, seeds, "scope", backward=not forward, node_type="int").withColumnRenamed("node", "id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code
 from ..sources import ast_table
-from .table_queries import query
+from .table_queries import query, table
 
 FIXTURES = {
     "golden.ts": """import base, { scale as sc } from "./ops";
@@ -84,12 +84,12 @@ def _golden(df: DataFrame) -> DataFrame:
 
 
 @cache
-def _values(columns: str, *rows: str) -> str:
+def values(columns: str, *rows: str) -> str:
     return f"select * from (values {', '.join(rows)}) as t({columns})"
 
 
 @query(
-    _values(
+    values(
         "path, type, name, line",
         "('golden.ts', 'function', 'tally', 4)",
         "('shapes.js', 'class', 'Shape', 2)",
@@ -109,13 +109,13 @@ def structure_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.code_units(_nodes(spark)).select("path", "type", "name", "line")
 
 
-@query(_values("path, name, line", "('golden.ts', 'tally', 4)", "('shapes.js', 'area', 3)", "('shapes.js', 'grow', 6)", "('tools.py', 'run', 5)", "('main.go', 'Show', 10)", "('main.go', 'main', 11)", "('Lib.java', 'twice', 5)"))
+@query(values("path, name, line", "('golden.ts', 'tally', 4)", "('shapes.js', 'area', 3)", "('shapes.js', 'grow', 6)", "('tools.py', 'run', 5)", "('main.go', 'Show', 10)", "('main.go', 'main', 11)", "('Lib.java', 'twice', 5)"))
 def impact_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.impact(code.code_units(_nodes(spark)), "FETCH").select("path", "name", "line")
 
 
 @query(
-    _values(
+    values(
         "path, ord, module, names, is_from, is_default, aliases",
         "('golden.ts', 0, './ops', 'base,scale', true, true, 'sc=scale')",
         "('golden.ts', 1, 'util-lib', '*', true, false, 'util=*')",
@@ -134,31 +134,31 @@ def imports_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _values(
+    values(
         "path, defines, calls",
         "('golden.ts', 'tally', 'length,sc')",
         "('shapes.js', 'Shape,area,grow', 'size,open')",
         "('tools.py', 'Tool,run,fetch', 'os.path.join,first,other')",
-        "('main.go', 'Box,Show,main', 'fmt.Println,str.ToUpper')",
+        "('main.go', 'Box,Show,main', 'fmt.Println,str.ToUpper,Box{1}.Show')",
         "('Lib.java', 'Lib,twice', 'helper')",
     )
 )
 def calls_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = code.file_calls(_nodes(spark)).where("path <> 'x'")
-    return found.select("path", F.array_join("defines", ",").alias("defines"), F.array_join(F.filter("calls", lambda c: c != "Show"), ",").alias("calls"))
+    found = code.file_calls(_nodes(spark))
+    return found.select("path", F.array_join("defines", ",").alias("defines"), F.array_join("calls", ",").alias("calls"))
 
 
-@query(_values("path, name, complexity, block_count", "('golden.ts', 'tally', 4, 4)", "('shapes.js', 'area', 2, 2)", "('shapes.js', 'grow', 3, 3)", "('tools.py', 'run', 0, 0)", "('tools.py', 'fetch', 0, 0)", "('main.go', 'Show', 0, 0)", "('main.go', 'main', 0, 0)", "('Lib.java', 'twice', 0, 0)"))
+@query(values("path, name, complexity, block_count", "('golden.ts', 'tally', 4, 4)", "('shapes.js', 'area', 2, 2)", "('shapes.js', 'grow', 3, 3)", "('tools.py', 'run', 0, 0)", "('tools.py', 'fetch', 0, 0)", "('main.go', 'Show', 0, 0)", "('main.go', 'main', 0, 0)", "('Lib.java', 'twice', 0, 0)"))
 def complexity_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.unit_complexity(_nodes(spark)).select("path", "name", "complexity", "block_count")
 
 
-@query(_values("id, type, start_line, end_line", "(0, 'entry', 4, 4)", "(1, 'branch', 6, 10)", "(2, 'branch', 7, 9)", "(3, 'body', 4, 12)", "(4, 'exit', 12, 12)"))
+@query(values("id, type, start_line, end_line", "(0, 'entry', 4, 4)", "(1, 'branch', 6, 10)", "(2, 'branch', 7, 9)", "(3, 'body', 4, 12)", "(4, 'exit', 12, 12)"))
 def cfg_blocks_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(code.cfg_blocks(_nodes(spark))).select("id", "type", "start_line", "end_line")
 
 
-@query(_values("source, target, type", "(0, 1, 'sequential')", "(1, 2, 'sequential')", "(2, 3, 'sequential')", "(3, 4, 'sequential')"))
+@query(values("source, target, type", "(0, 1, 'sequential')", "(1, 2, 'sequential')", "(2, 3, 'sequential')", "(3, 4, 'sequential')"))
 def cfg_edges_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(code.cfg_edges(code.cfg_blocks(_nodes(spark)))).select("source", "target", "type")
 
@@ -176,17 +176,17 @@ def _ref_rows() -> list[str]:
     return out
 
 
-@query(_values("seq, name, ref_type, line, col", *_ref_rows()))
+@query(values("seq, name, ref_type, line, col", *_ref_rows()))
 def var_refs_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(_refs(spark)).select("seq", "name", "ref_type", "line", "col")
 
 
-@query(_values("name, def_line, use_line", *[f"('{n}', {a}, {b})" for n, a, b in (("start", 4, 5), ("k", 6, 6), ("rows", 4, 6), ("k", 6, 6), ("rows", 4, 7), ("k", 6, 7), ("start", 4, 7), ("acc", 8, 8), ("rows", 4, 8), ("k", 6, 8), ("acc", 8, 11))]))
+@query(values("name, def_line, use_line", *[f"('{n}', {a}, {b})" for n, a, b in (("start", 4, 5), ("k", 6, 6), ("rows", 4, 6), ("k", 6, 6), ("rows", 4, 7), ("k", 6, 7), ("start", 4, 7), ("acc", 8, 8), ("rows", 4, 8), ("k", 6, 8), ("acc", 8, 11))]))
 def dfg_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(code.dfg_edges(_refs(spark))).select("name", "def_line", "use_line")
 
 
-@query(_values("name, place", "('rows', 1)", "('start', 2)", "('acc', 3)", "('k', 5)", "('sc', 14)"))
+@query(values("name, place", "('rows', 1)", "('start', 2)", "('acc', 3)", "('k', 5)", "('sc', 14)"))
 def variables_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(code.variables(_refs(spark))).select("name", F.col("first").alias("place"))
 
@@ -196,12 +196,12 @@ def _pdg(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return code.pdg_nodes(blocks, refs), code.pdg_edges(blocks, code.dfg_edges(refs))
 
 
-@query(_values("source, target, label", "(0, 1, 'rows')", "(0, 2, 'rows')", "(1, 2, 'k')", "(0, 2, 'start')"))
+@query(values("source, target, label", "(0, 1, 'rows')", "(0, 2, 'rows')", "(1, 2, 'k')", "(0, 2, 'start')"))
 def pdg_data_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(_pdg(spark)[1]).where("dep = 'data'").select("source", "target", "label")
 
 
-@query(_values("bucket, edges", "('control_in', 3)", "('control_out', 3)", "('data_in', 4)", "('data_out', 1)"))
+@query(values("bucket, edges", "('control_in', 3)", "('control_out', 3)", "('data_in', 4)", "('data_out', 1)"))
 def dependencies_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _pdg(spark)
     return _golden(code.line_dependencies(nodes, edges, 7)).select("bucket", F.col("edges").cast("int").alias("edges"))
@@ -212,20 +212,32 @@ def _slice_rows() -> list[str]:
     return [f"({k}, '{lines[k - 1]}')" for k in range(4, 13)]
 
 
-@query(_values("line, code", *_slice_rows()))
+@query(values("line, code", *_slice_rows()))
 def slice_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = code.slice_by_blocks(code.cfg_blocks(_nodes(spark)), 8)
     return _golden(code.with_source(found, fixture_sources(spark))).select("line", "code")
 
 
-@query(_values("line", *[f"({k})" for k in range(4, 13)]))
+@query(values("line", *[f"({k})" for k in range(4, 13)]))
 def slice_generic_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(code.slice_generic(*_pdg(spark), 8, "acc", forward=True)).select("line")
 
 
-@query(_values("caller, callee", "('tally', 'sc')"))
+@query(
+    values(
+        "path, caller, callee",
+        "('golden.ts', 'tally', 'sc')",
+        "('tools.py', 'run', 'os.path.join')",
+        "('tools.py', 'run', 'first')",
+        "('tools.py', 'fetch', 'other')",
+        "('main.go', 'Show', 'fmt.Println')",
+        "('main.go', 'Show', 'str.ToUpper')",
+        "('main.go', 'main', 'Box{1}.Show')",
+        "('Lib.java', 'twice', 'helper')",
+    )
+)
 def callers_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.callers(_nodes(spark)).where("path = 'golden.ts'").where("callee = 'sc'").select("caller", "callee")
+    return code.callers(_nodes(spark))
 
 
 def _entry_text() -> str:
@@ -245,3 +257,46 @@ def nested_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = nodes.select("path", F.col("pre").alias("parent"), F.col("pre").alias("p_pre"), F.col("last").alias("p_last"))
     bad = nodes.join(parents, ["path", "parent"], "left").where("last < pre or (p_pre is not null and (pre <= p_pre or last > p_last))")
     return bad.agg(F.count("*").cast("int").alias("bad"))
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the fixture sources, once for every supplier, below a folder of its own."""
+    folders = table(spark, sf_dir, "supplier").select("s_suppkey")
+    copies = folders.crossJoin(F.broadcast(fixture_sources(spark))).select(F.concat_ws("/", F.col("s_suppkey").cast("string"), "path").alias("path"), "language", "text")
+    return ast_table.ast_nodes(copies.repartition("path"))
+
+
+def _each(statement: str) -> str:
+    return f"select s_suppkey::varchar || '/' || path as path, t.* exclude (path) from supplier, ({statement}) t"
+
+
+@query(_each(values("path, name, complexity, block_count", "('golden.ts', 'tally', 4, 4)", "('shapes.js', 'area', 2, 2)", "('shapes.js', 'grow', 3, 3)", "('tools.py', 'run', 0, 0)", "('tools.py', 'fetch', 0, 0)", "('main.go', 'Show', 0, 0)", "('main.go', 'main', 0, 0)", "('Lib.java', 'twice', 0, 0)")))
+def complexity_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.unit_complexity(_many(spark, sf_dir)).select("path", "name", "complexity", "block_count")
+
+
+@query(
+    _each(
+        values(
+            "path, caller, callee",
+            "('golden.ts', 'tally', 'sc')",
+            "('tools.py', 'run', 'os.path.join')",
+            "('tools.py', 'run', 'first')",
+            "('tools.py', 'fetch', 'other')",
+            "('main.go', 'Show', 'fmt.Println')",
+            "('main.go', 'Show', 'str.ToUpper')",
+            "('main.go', 'main', 'Box{1}.Show')",
+            "('Lib.java', 'twice', 'helper')",
+        )
+    )
+)
+def callers_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.callers(_many(spark, sf_dir))
+
+
+@query(_each(values("path, name, refs, flows", "('golden.ts', 'rows', 4, 3)", "('golden.ts', 'start', 3, 2)", "('golden.ts', 'acc', 4, 2)", "('golden.ts', 'k', 5, 4)", "('golden.ts', 'sc', 1, 0)")))
+def flows_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References and flows of every variable of the typed source."""
+    refs = code.function_refs(_many(spark, sf_dir).where("path like '%golden.ts'"))
+    flows = code.dfg_edges(refs).groupBy("path", "name").agg(F.count("*").cast("int").alias("flows"))
+    return refs.groupBy("path", "name").agg(F.count("*").cast("int").alias("refs")).join(flows, ["path", "name"], "left").fillna(0, ["flows"])

@@ -68,15 +68,15 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIMS = 8
 
 
-def _mock_sql() -> str:
+def mock_sql(digits: int = 6) -> str:
     states = ["s0 as (select p_partkey, abs(case when h >= 2147483648 then h - 4294967296 else h end)::bigint as s0 from (select p_partkey, (" + _HASH.format("p_name || p_partkey::varchar") + ")::bigint as h from part))"]
     for k in range(1, _DIMS + 1):
         states.append(f"s{k} as (select *, (s{k - 1}::double * 1103515245.0::double + 12345.0::double)::bigint & 2147483647 as s{k} from s{k - 1})")
     values = ", ".join(f"s{k} / 2147483647.0::double * 2 - 1" for k in range(1, _DIMS + 1))
-    return f"with {', '.join(states)}, v as (select p_partkey, [{values}]::double[] as v from s{_DIMS}) select p_partkey, (g - 1)::int as dim, round(v[g] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as value from v, range(1, {_DIMS + 1}) as r(g)"
+    return f"with {', '.join(states)}, v as (select p_partkey, [{values}]::double[] as v from s{_DIMS}) select p_partkey, (g - 1)::int as dim, round(v[g] / sqrt(list_sum(list_transform(v, lambda x: x * x))), {digits}) as value from v, range(1, {_DIMS + 1}) as r(g)"
 
 
-@query(_mock_sql())
+@query(mock_sql())
 def mock_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", mock_embedding(F.concat("p_name", F.col("p_partkey").cast("string")), _DIMS).alias("v"))
     return part.select("p_partkey", F.posexplode("v").alias("dim", "value")).withColumn("value", F.round("value", 6))

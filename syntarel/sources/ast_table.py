@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .imports import imports_of
 from .outline import outline
 from .references import role_of, way_below
-from .rules import CLASS_KINDS, FLOW_FUNCTIONS, FLOW_LANGUAGES, FUNCTION_KINDS, IGNORED, LANGUAGES
+from .rules import CLASS_KINDS, FLOW_FUNCTIONS, FLOW_LANGUAGES, FUNCTION_KINDS, IGNORED, IGNORED_IN_TREE, LANGUAGES
 from .script import Node, parse_script
 
 NODES = "path string, language string, pre int, last int, parent int, depth int, seq int, kind string, field string, text string, start_line int, start_col int, end_line int, end_col int, within array<int>, role string, since int"
@@ -34,23 +34,74 @@ def language_of(path: Column, sensitive: bool = False) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), ext)
 
 
+def _below(full: Column, root: str) -> Column:
+    base = re.sub(r"^[a-z]+:/+", "/", root.rstrip("/"))
+    return F.regexp_replace(full, "^.*?" + re.escape(base).replace("\\-", "-") + "/", "")
+
+
+def unlisted_files(spark: SparkSession, root: str, ignored: list[str] = IGNORED) -> list:
+    """File states of what Spark's readers leave out below ``root``: names that begin with an underscore or a dot, such as ``__init__.py``, and all below such folders.
+
+    They are found by patterns, level by level, in the file system's own listing.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
+    out, level = [], root.rstrip("/")
+    while fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/*")):
+        for state in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/[_.]*")) or ():
+            found = fs.listFiles(state.getPath(), True) if state.getPath().getName() not in ignored else None
+            while found is not None and found.hasNext():
+                out.append(found.next())
+        level += "/[!_.]*"
+    return out
+
+
+def _unlisted(spark: SparkSession, root: str, ignored: list[str] = IGNORED) -> DataFrame:
+    """full, modified of :func:`unlisted_files`."""
+    rows = [(x.getPath().toString(), x.getModificationTime()) for x in unlisted_files(spark, root, ignored)]
+    return spark.createDataFrame(rows, "full string, ms long").select("full", F.timestamp_millis("ms").alias("modified"))
+
+
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """path (below ``root``), language, text of every supported file; ignored names are skipped on the way.
 
     Unreadable files fail the scan unless ``spark.sql.files.ignoreMissingFiles``
-    or its like says otherwise.
+    or its like says otherwise. Files that Spark's readers leave out by their names
+    are read one by one through the driver.
     """
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root).select("value", F.col("_metadata.file_path").alias("full"))
-    base = re.sub(r"^[a-z]+:/+", "/", root.rstrip("/"))
-    inside = F.regexp_replace("full", "^.*?" + re.escape(base).replace("\\-", "-") + "/", "")
-    found = files.select(inside.alias("path"), F.col("value").alias("text"))
-    kept = found.where(~F.exists(F.split("path", "/"), lambda x: x.isin(*IGNORED)))
-    return kept.withColumn("language", language_of(F.col("path"), sensitive=True)).where("language is not null").select("path", "language", "text")
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("full"))
+    some = _kept(_unlisted(spark, root), root).select("full").collect()
+    if some:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        rows = []
+        for r in some:
+            target = jvm.org.apache.hadoop.fs.Path(r["full"])
+            stream = target.getFileSystem(conf).open(target)
+            try:
+                rows.append((jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"), r["full"]))
+            finally:
+                stream.close()
+        files = files.unionByName(spark.createDataFrame(rows, "text string, full string"))
+    return _kept(files, root).select("path", "language", "text")
+
+
+def _kept(files: DataFrame, root: str) -> DataFrame:
+    """Adds path and language; supported files below no ignored name."""
+    named = files.withColumn("path", _below(F.col("full"), root)).withColumn("language", language_of(F.col("path"), sensitive=True))
+    return named.where(~F.exists(F.split("path", "/"), lambda x: x.isin(*IGNORED)) & F.col("language").isNotNull())
+
+
+def tree_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (below ``root``) of every file that the tree shows: supported whatever the case of its extension, below no name that it skips; nothing is read but names."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("full"))
+    files = listed.unionByName(_unlisted(spark, root, IGNORED_IN_TREE).select("full")).select(_below(F.col("full"), root).alias("path"))
+    return files.where(~F.exists(F.split("path", "/"), lambda x: x.isin(*IGNORED_IN_TREE)) & language_of(F.col("path")).isNotNull())
 
 
 def changed_files(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
     """path, modified of files below ``root`` that ``known`` (path, modified) lacks in this state; nothing is read but names and times."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"))
+    files = listed.unionByName(_unlisted(spark, root).select(F.col("full").alias("path"), "modified"))
     return files.join(known.select("path", "modified"), ["path", "modified"], "left_anti")
 
 

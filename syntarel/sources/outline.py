@@ -17,6 +17,9 @@ _NOT_CALLS = set("if for while switch return catch when match fn func fun functi
 _CONTROL = set("if for while switch return catch else do".split())
 _CALL = re.compile(r"(?<![\w.:>])([A-Za-z_$][\w]*(?:(?:::|\.|->)[A-Za-z_]\w*)*)\s*!?\(")
 
+#: A call on the value of a bracketed expression, such as ``a().b(``.
+_CHAINED = re.compile(r"(?<=[)\]}])(?:\s*(?:::|\.|->)\s*[A-Za-z_]\w*)+\s*!?\(")
+
 #: By language: (pattern with a group ``name``, kind).
 _DEFINITIONS = {
     "php": [(r"\b(?:abstract\s+|final\s+|readonly\s+)*class\s+(?P<name>\w+)", "class_declaration"), (r"\bfunction\s+&?\s*(?P<name>\w+)\s*\(", "function_declaration")],
@@ -28,6 +31,8 @@ _DEFINITIONS = {
     "kotlin": [(r"\bclass\s+(?P<name>\w+)", "class_declaration"), (r"\bfun\s+(?:<[^>]+>\s*)?(?:[\w<>?]+\.)?(?P<name>\w+)\s*\(", "function_declaration")],
 }
 _CALL_KIND = {"java": "method_invocation"}
+#: Languages whose calls name the method alone.
+_BARE_METHODS = ("java", "php")
 
 
 def blank(text: str, language: str) -> str:
@@ -76,14 +81,37 @@ def _scanned(text: str, language: str) -> list[Node]:
         for x in out:
             if x.kind == "function_declaration" and any(c.start < x.start < c.end for c in classes):
                 x.kind = "method_definition"
-    for m in _CALL.finditer(bare):
-        last = re.split(r"::|\.|->", m[1])[-1]
-        if m[1] in _NOT_CALLS or m.end(1) - len(last) in names or m.start(1) in names:
-            continue
-        out.append(_named(_CALL_KIND.get(language, "call_expression"), m.start(1), m.end(), m.span(1), "function"))
+    for pattern in (_CALL, _CHAINED):
+        for m in pattern.finditer(bare):
+            callee = m[0].rstrip("(! \t\r\n")
+            last = re.split(r"::|\.|->", callee)[-1].strip()
+            start, stop = m.start(), m.start() + len(callee)
+            if callee in _NOT_CALLS or last in _NOT_CALLS or stop - len(last) in names or start in names:
+                continue
+            if pattern is _CHAINED:
+                start = _operand(bare, start)
+            first = stop - len(last) if language in _BARE_METHODS else start
+            out.append(_named(_CALL_KIND.get(language, "call_expression"), start, m.end(), (first, stop), "function"))
     return out
 
 
+def _operand(text: str, at: int) -> int:
+    """Where the operand that ends in a bracket before ``at`` begins: brackets and the names and dots before them."""
+    while at > 0:
+        if text[at - 1] in ")]}":
+            depth = 0
+            for k in range(at - 1, -1, -1):
+                depth += (text[k] in ")]}") - (text[k] in "([{")
+                if not depth:
+                    break
+            at = k
+        elif m := re.search(r"(?:[\w$]|::|\.|->)+$", text[max(0, at - 200) : at]):
+            at -= len(m[0])
+        else:
+            break
+    return at
+
+
 def _closing(text: str, at: int) -> int:
     depth = 0
     for m in re.compile(r"[{}]").finditer(text, at):

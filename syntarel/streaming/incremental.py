@@ -13,7 +13,11 @@ from ..sources import ast_table
 
 
 def source_stream(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    """path, language, text of files as they appear below ``root``."""
+    """path, language, text of files as they appear below ``root``.
+
+    Spark's file streams leave out names that begin with an underscore or a dot;
+    a scan by ``read_sources`` has them.
+    """
     stream = spark.readStream.format("text").schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(root)
     files = stream.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return files.withColumn("language", ast_table.language_of(F.col("path"), sensitive=True)).where("language is not null").select("path", "language", "text")

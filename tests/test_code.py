@@ -240,12 +240,15 @@ def test_json_renderers(spark):
 
 
 def test_scan_and_stream(spark, tmp_path):
-    for name in ("a.ts", "sub/b.py", "node_modules/c.ts", "note.txt", "sub/dist/d.js", "U.TS"):
+    for name in ("a.ts", "sub/b.py", "node_modules/c.ts", "note.txt", "sub/dist/d.js", "U.TS", "sub/__init__.py", "_tests/deep/e.js", ".git/f.py", "sub/.conf/g.py", "_tests/build/h.js"):
         path = tmp_path / "src" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text("function f() {}" if name.endswith("s") else "def f(): pass")
     got = {(r.path, r.language) for r in ast_table.read_sources(spark, str(tmp_path / "src")).collect()}
-    assert got == {("a.ts", "typescript"), ("sub/b.py", "python")}
+    assert got == {("a.ts", "typescript"), ("sub/b.py", "python"), ("sub/__init__.py", "python"), ("_tests/deep/e.js", "javascript"), ("sub/.conf/g.py", "python")}
+    assert "U.TS" in {r.path for r in ast_table.tree_files(spark, str(tmp_path / "src")).collect()}
+    every = ast_table.changed_files(spark, str(tmp_path / "src"), spark.createDataFrame([], "path string, modified timestamp"))
+    assert every.count() == 10 and ast_table.changed_files(spark, str(tmp_path / "src"), every).count() == 0
     query = incremental.index_changes(incremental.source_stream(spark, str(tmp_path / "src")), str(tmp_path / "out"), str(tmp_path / "check"))
     assert query.awaitTermination(120)
     assert {os.path.basename(r.path) for r in spark.read.parquet(str(tmp_path / "out")).collect()} >= {"a.ts", "b.py"}
@@ -259,6 +262,87 @@ def test_settings_round_trip(tmp_path):
     assert config.load(str(tmp_path)) == config.Settings()
 
 
+def test_http_provider(spark):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.answer({})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert self.headers["Authorization"] == "Bearer key" and asked["model"] == "warm"
+            self.answer({"embeddings": [[float(len(t)), 1.0] for t in asked["input"]]})
+
+        def answer(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    Thread(target=server.serve_forever, daemon=True).start()
+    settings = config.EmbeddingSettings(provider="ollama", warm_model="warm", base_url=f"http://127.0.0.1:{server.server_port}", api_key="key")
+    chosen = embeddings.provider(settings)
+    assert isinstance(chosen, embeddings.HttpProvider) and chosen.embed_batch(["abc", ""]) == [[3.0, 1.0], [0.0, 1.0]] and chosen.dimensions() == 2
+    got = spark.createDataFrame([("ab",), ("abcd",)], "t string").select(embeddings.embedding("t", chosen).alias("v")).collect()
+    assert sorted(r.v[0] for r in got) == [2.0, 4.0]
+    server.shutdown()
+
+
+def test_edited_settings(tmp_path, capsys):
+    assert cli.main(["config", str(tmp_path), "--set", "provider=ollama", "--set", "warm_model=m"]) == 0
+    assert json.loads(capsys.readouterr().out)["embeddings"]["warm_model"] == "m"
+    assert cli.main(["config", str(tmp_path), "--set", "warm_model="]) == 0 and config.load(str(tmp_path)).embeddings == config.EmbeddingSettings(provider="ollama")
+    assert cli.main(["config", str(tmp_path), "--set", "provider=none"]) == cli.main(["config", str(tmp_path), "--set", "nothing=1"]) == 1
+    answers = iter(["huggingface", "", "q", "", ""])
+    assert config.asked(config.Settings(), lambda _: next(answers)) == {"provider": "huggingface", "search_model": "q"}
+
+
+def test_index_versions(spark, tmp_path):
+    store = index.VectorIndex(spark, f"file://{tmp_path}/index")
+    row = lambda n: spark.createDataFrame([(str(n), "c", "f", 1, "t", [1.0])], index.ENTRY)
+    for n in range(3):
+        before = store.read("vectors")
+        store.replace("vectors", row(n))
+        assert [r.id for r in before.collect()] == [str(n - 1)] * (n > 0)  # a reader of the version before
+    assert store.version("vectors") == 3 and len(os.listdir(tmp_path / "index")) < 12
+    late = index.VectorIndex(spark, f"file://{tmp_path}/index")
+    late._versions = lambda table: {}  # a writer that has seen no version yet
+    late.replace("other", row(7))
+    with pytest.raises(FileExistsError):
+        late.replace("other", row(8))
+    assert store.version("other") == 1
+
+
+def test_nearest_of_a_query_set(spark, monkeypatch):
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    rows = [(i, [float(i % 9), float(i % 4)]) for i in range(40)] + [(99, None), (None, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in search.nearest_each(vectors, vectors.where("vec_id % 5 = 0"), 4).collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.vec_id))
+    for q in range(0, 40, 5):
+        want = sorted((((a[0] - rows[q][1][0]) ** 2 + (a[1] - rows[q][1][1]) ** 2) ** 0.5, i) for i, a in rows[:40])[:4]
+        assert [(round(d, 9), i) for d, i in sorted(got[q])] == [(round(d, 9), i) for d, i in want]
+    assert set(got) == set(range(0, 40, 5))
+
+
+def test_chains_agree_with_reachability(spark):
+    rows = [(u, k, t) for t in range(40) for u, k in (("a", "x"), ("a", "y"), ("b", "x"))]
+    df = spark.createDataFrame([(u, k, t, 1000 + i) for i, (u, k, t) in enumerate(rows)], "u string, kind string, t long, id long")
+    seeds = df.where("(u = 'a' and kind = 'x' and t in (3, 17)) or (u = 'b' and t = 39)")
+    edges = graph.last_of_kind_edges(df, ["u"], "kind", ["t"], "id")
+    for backward in (False, True):
+        got = graph.along_chains(df, seeds, ["u"], "kind", ["t"], "id", backward)
+        want = graph.reachable(edges, seeds.select("u", F.col("id").alias("node")), "u", backward)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_graph_and_order_operators(spark):
     edges = spark.createDataFrame([("s", 1, 2), ("s", 2, 3), ("s", 3, 1), ("s", 4, 3), ("t", 1, 9)], "g string, src long, dst long")
     seeds = spark.createDataFrame([("s", 2), ("t", 9), ("u", 5)], "g string, node long")
@@ -266,6 +350,8 @@ def test_graph_and_order_operators(spark):
     assert {(r.g, r.node) for r in graph.reachable(edges, seeds, "g", backward=True).collect()} == {("s", 1), ("s", 2), ("s", 3), ("s", 4), ("t", 1), ("t", 9), ("u", 5)}
     ids = spark.createDataFrame([(i * i * 31 - 500,) for i in range(300)], "k long").repartition(5)
     assert [r.ordinal for r in ordering.with_ordinal(ids, "k").orderBy("k").collect()] == list(range(300))
+    wide = spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), *[(i,) for i in range(50)]], "k long")
+    assert [r.ordinal for r in ordering.with_ordinal(wide, "k").orderBy("k").collect()] == list(range(52))
     vectors = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in search.nearest(vectors, [7.4, 0.0], 3).collect()] == [7, 8, 6]
 
