@@ -721,3 +721,80 @@ def test_ranges_of_repeated_keys_are_even(spark, monkeypatch):
     cuts = ordering.splitters(keys, "k", 20_000)
     counts = keys.groupBy(ordering.range_of(F.col("k"), cuts, F.col("h")).alias("r")).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("r").collect()
     assert max(r.n for r in counts) < 12 * 20_000 / len(counts) and all(a.high <= b.low for a, b in zip(counts, counts[1:]))
+
+
+def plain_signature(text):
+    """Order MinHash step by step: units, numbered k-mers, and from 64 places on a circle of hashes the next two in the order of the text."""
+    import xxhash
+
+    def chained(*parts):
+        h = 42
+        for part in parts:
+            h = xxhash.xxh64_intdigest(part, h)
+        return h
+
+    units = [u.encode() for u in re.findall(r"\s*+(?<!\S)\S{1,16}+(?!\S)|\s*+\S|\s++", text, re.A)]
+    seen, kmers = Counter(), []
+    for i in range(len(units)):
+        h = chained(*units[i : i + 3]).to_bytes(8, "little")
+        kmers.append((chained(h, seen[h].to_bytes(4, "little")) >> 28, i))
+        seen[h] += 1
+    kmers.sort()
+    if not kmers:
+        return [0] * 64
+    out = []
+    for m in range(64):
+        first = sum(h < m << 30 for h, _ in kmers)
+        two = sorted((kmers[(first + k) % len(kmers)] for k in range(2)), key=lambda x: x[1])
+        pair = chained(*(h.to_bytes(8, "little") for h, _ in two)) >> 32
+        out.append(pair - (1 << 32) if pair >> 31 else pair)
+    return out
+
+
+def test_signatures_against_plain(spark):
+    rng = random.Random(21)
+    texts = ["", " ", "one", "a b", "a b c d", "x y z " * 7, words(rng, 60), words(rng, 200, 20), "漢字" * 30 + " mixed " + "q" * 40, "tab\tand\nline  two", "é" * 17 + "\u00a0b"]
+    got = [list(r.s) for r in frame(spark, list(enumerate(texts)), parts=1).orderBy("doc_id").select(fingerprint.signature(F.col("text")).alias("s")).collect()]
+    for text, signature in zip(texts, got, strict=True):
+        assert signature == plain_signature(text), repr(text)
+
+
+def plain_language(model, text):
+    """Expectation-maximisation gram by gram, and languages added one by one while the likelihood pays for them."""
+    import math
+
+    grams = language_id.trigrams(text).tolist()
+    p = [[float(model.probabilities[g][k]) for k in range(len(model.names))] for g in grams]
+
+    def fit(chosen):
+        w = [1 / len(chosen)] * len(chosen)
+        for _ in range(300):
+            sums = [0.0] * len(chosen)
+            for row in p:
+                total = sum(a * row[k] for a, k in zip(w, chosen, strict=True))
+                for i, k in enumerate(chosen):
+                    sums[i] += w[i] * row[k] / total
+            w = [s / len(grams) for s in sums]
+        return w, sum(math.log(sum(a * row[k] for a, k in zip(w, chosen, strict=True))) for row in p)
+
+    alone = [sum(math.log(row[k]) for row in p) for k in range(len(model.names))]
+    chosen = [max(range(len(alone)), key=lambda k: alone[k])]
+    best, shares = alone[chosen[0]], [1.0]
+    full, _ = fit(list(range(len(alone))))
+    for k in sorted((k for k in range(len(alone)) if full[k] * len(grams) >= 1 and k != chosen[0]), key=lambda k: -full[k]):
+        w, now = fit([*chosen, k])
+        if now - best > max(1.0, math.log(len(grams))) + 2:
+            chosen, best, shares = [*chosen, k], now, w
+    return {model.names[k]: s for k, s in zip(chosen, shares, strict=True)}
+
+
+def test_language_mixtures_against_plain(spark):
+    rows = language_corpus(random.Random(17), 300)
+    model = language_id.train_language_model(frame(spark, rows, "doc_id long, text string, lang string"))
+    by = {lang: next(r[1] for r in rows if r[2] == lang) for lang in ("aa", "bb", "cc")}
+    texts = [by["aa"], by["cc"], by["aa"] + " " + by["bb"], by["bb"] + " " + by["cc"][:40], by["aa"] + " " + by["bb"] + " " + by["cc"], by["aa"] * 3 + " " + by["cc"][:12], "zzz", by["bb"][:5]]
+    for text in texts:
+        want = plain_language(model, text)
+        name, score, got = model.infer(text)
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=0.03) for k in want), text[:40]
+        assert got[name] == max(got.values()) and 0 <= score <= 1

@@ -59,6 +59,46 @@ def test_passages_of_51_short_words_go(spark):
     assert all(got[i] == rows[i][1] for i in (3, 4))  # 50 words stay
 
 
+def test_stages_against_plain_versions(spark):
+    """Each stage on what the one before has kept, beside a brute-force version or statement of it."""
+    import duckdb
+
+    from syntarel.llm import mixing
+    from tests.llm.test_operators import plain_components, plain_cut_words, plain_sets
+
+    rng = random.Random(31)
+    passage, rows = prose(rng, 90), []
+    for i in range(70):
+        text = prose(rng, rng.randrange(60, 200))
+        if i % 4 == 0:
+            text += " " + passage
+        rows.append((i, text, "aa", f"s{i % 4}", len(text)))
+    rows += [(100 + i, rows[i % 5][1] + " " + prose(rng, i % 3), "aa", "s1", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = docs
+    for name, stage in pipeline.STAGES[:2]:
+        before = kept.collect()
+        kept = stage(spark, spark.createDataFrame(before, SCHEMA), "")
+        got = {r.doc_id for r in kept.collect()}
+        if name == "language_id":
+            assert got == {r.doc_id for r in before}  # all are of the one language there is
+        else:
+            assert got == {i for i, head in plain_components(plain_sets([(r.doc_id, r.text) for r in before], 5)).items() if i == head}
+    before = kept.orderBy("doc_id").collect()
+    cut = {r.doc_id: r for r in STAGES["suffix_dedup"](spark, spark.createDataFrame(before, SCHEMA), "").collect()}
+    left = plain_cut_words([r.text for r in before], 400, pipeline.PASSAGE_WORDS)
+    assert {i: r.text for i, r in cut.items()} == {r.doc_id: x.decode() for r, x in zip(before, left, strict=True) if x.strip()}
+    documents = [tuple(r) for r in cut.values()]  # noqa: F841
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+    con.executemany("insert into documents values (?, ?, ?, ?, ?)", documents)
+    taken = con.sql(f"select doc_id from ({mixing.mixing_sql(keep=pipeline.KEEP)}) where taken").fetchall()
+    mixed = STAGES["mixing"](spark, spark.createDataFrame(documents, SCHEMA), "")
+    assert {r.doc_id for r in mixed.collect()} == {x for x, in taken}
+    pieces = STAGES["packing"](spark, mixed, "").collect()
+    assert {r.doc_id for r in pieces} == {x for x, in taken} and len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
+
+
 def test_odd_rows_and_columns(spark):
     long = " ".join(f"word{i}" for i in range(20_000))
     odd = [(None, None, None, None, None), (1, "", "en", None, 0), (2, " \n", None, "a", 2), (3, long, "en", "a", len(long)), (4, "Tiny text.", "en", "b", 10), (4, "Tiny text.", "en", "b", 10), (None, "no id at all here", "en", "b", 17), (None, "no id at all here", "en", "b", 17), (None, "Tiny text.", "en", "b", 10)]
