@@ -62,6 +62,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/syntarel/{name}-{uuid.uuid4().hex}"
 
 
+#: What :func:`materialize` has written within each open :func:`cleared`.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession):
+    """On leaving, delete all tables that :func:`materialize` has written meanwhile, those that results are read from included."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            delete_path(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
@@ -75,6 +90,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._syntarel_path = path
+    if _written:
+        _written[-1].append(path)
     return out
 
 

@@ -119,6 +119,11 @@ def test_odd_rows_and_columns(spark):
 def test_run_writes_every_stage(spark, rows):
     root = new_path(spark, "tables")
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{root}/documents.parquet")
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_path(spark, "x")).getParent()
+    tables = lambda: {x.getPath().getName() for x in home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(home)}
+    there = tables()
     got = pipeline.run(spark, root)
+    # The last stage's input and the two tables that its result is read from.
+    assert sorted(x.partition("-")[0] for x in tables() - there) == ["lengths", "mixing", "pieces"]
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 30
     assert [name for name, _ in pipeline.STAGES] == ["language_id", "near_dedup", "suffix_dedup", "mixing", "packing"]
