@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syntarel.llm import language_id, mixing, near_dedup, packing, repeats
-from syntarel.llm.common import materialize
+from syntarel.llm.common import cleared, delete_path, materialize, new_path
 
 #: A document stays if its main language makes up this much of it.
 LEAST_LANGUAGE = 0.55
@@ -90,10 +90,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    """All stages over ``documents``, each written and read again; a stage's own tables go once it is written, its input with the next."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, name)
+        with cleared(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
