@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize, release
@@ -130,15 +130,22 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
     return (low + high) / 2
 
 
+def document_of(text: str = "text") -> Column:
+    """A document's key: its doc_id or, without one, a number from 2^62 on that its text decides."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.conv(F.substring(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long") + F.lit(1 << 62))
+
+
 def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """doc_id, n_shingles, component_id, document, first of every row.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their
     shingle sets; component_id is the smallest doc_id that links lead to, the
     document's own included. Null, empty and blank texts have no shingles and
     are linked with nothing. Rows of one doc_id count as one document: it is in
-    the component of each of its texts. Rows without a doc_id are given back
-    with the component of their text, or null. Other columns aren't read.
+    the component of each of its texts. Rows without a doc_id are documents known by
+    their texts (``document`` is :func:`document_of`) and linked like others; their
+    component_id is null where no document of the component has an id. ``first`` is the
+    document that stands for the component. Other columns aren't read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -148,16 +155,18 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
         import xxhash
 
         for batch in batches:
-            sets = [shingles(x, width) for x in batch.column(1).to_pylist()]
+            sets = [shingles(x, width) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "class", "sketch"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                names=["document", "named", "n_shingles", "class", "sketch"],
             )
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = materialize(ids.mapInArrow(measure, "doc_id long, n_shingles long, class binary, sketch binary"), "sketches")
-    classes = measured.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.where("rep is not null"), "classes")
+    ids = docs.select(document_of().alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), F.col("text").cast("string").alias("text"))
+    measured = materialize(ids.mapInArrow(measure, "document long, named boolean, n_shingles long, class binary, sketch binary"), "sketches")
+    nameless = measured.where("not named").limit(1).count() > 0
+    named = F.min(F.when(F.col("named"), F.col("document")))
+    classes = measured.where("class is not null").groupBy("class").agg(F.coalesce(named, F.min("document")).alias("rep"), named.isNotNull().alias("named"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes, "classes")
 
     def bands(sketches: pd.Series) -> pd.Series:
         table = np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, REGISTERS // BAND, BAND).astype(np.uint64)
@@ -185,14 +194,25 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     likely = stars.join(one.toDF("rep", "sa", "na"), "rep").join(one.toDF("center", "sb", "nb"), "center").withColumn("estimate", F.pandas_udf(estimates, "double")("sa", "sb", "na", "nb"))
     families = connected_components(likely.where(F.col("estimate") >= LEAST_ESTIMATE).select(F.col("rep").alias("a"), F.col("center").alias("b")))
     release(stars)
-    links = _verified(ids, families, one.select("rep", "n"), width, percent)
+    texts = ids.where("named").select("doc_id", "text")
+    if nameless:  # copies are one document
+        texts = texts.unionByName(ids.where("not named").groupBy("doc_id").agg(F.first("text").alias("text")))
+    links = _verified(texts, families, one.select("rep", "n"), width, percent)
     found = connected_components(links)
     release(one, links, families)
     # The component of every class, and then one join to the rows.
-    of_class = materialize(classes.select("class", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component")), "class-components")
+    labelled = classes.select("class", "rep", "named").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    of_class = materialize(labelled.select("class", F.coalesce("component", "rep").alias("first"), F.when(F.col("named"), F.col("rep")).alias("rep")), "class-components")
     release(classes, found)
-    rows = measured.select("doc_id", "n_shingles", "class").join(of_class.hint("merge"), "class", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    if nameless:  # the smallest of the ids alone
+        least = materialize(of_class.groupBy("first").agg(F.min("rep").alias("component")), "least")
+        of_class = of_class.join(least.hint("merge"), "first")
+    else:
+        of_class = of_class.withColumn("component", F.col("first"))
+    of_class = materialize(of_class.select("class", "first", "component"), "components")
+    rows = measured.select("document", "named", "n_shingles", "class").join(of_class.hint("merge"), "class", "left")
+    own = F.when(F.col("named"), F.col("document"))
+    return rows.select(own.alias("doc_id"), "n_shingles", F.coalesce("component", own).alias("component_id"), "document", F.coalesce("first", "document").alias("first"))
 
 
 def _verified(ids: DataFrame, families: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:

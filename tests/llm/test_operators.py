@@ -252,6 +252,20 @@ def test_near_classes_on_odd_rows(spark, odd):
     assert near_dedup.near_classes(odd.limit(0)).count() == 0
 
 
+def test_near_classes_of_rows_without_ids(spark):
+    rng = random.Random(14)
+    base = words(rng, 100)
+    near = lambda k: " ".join([*base.split()[:-1], f"x{k}"])
+    other = words(rng, 80)
+    rows = [(None, near(1)), (None, near(1)), ((1 << 62) + (1 << 61), near(2)), (-5, words(rng, 90)), (None, other), (None, other + " more"), (None, ""), (None, None), (7, "")]
+    got = near_dedup.near_classes(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert sorted(str(r.component_id) for r in got) == sorted(map(str, [(1 << 62) + (1 << 61)] * 3 + [-5, None, None, None, None, 7]))
+    groups = Counter(r.first for r in got)
+    assert sorted(groups.values()) == [1, 1, 2, 2, 3]  # null and empty texts are one document, linked with nothing
+    assert all(any(x.document == r.first for x in got) for r in got)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (100, 101)]
     got = {r.id: r.component for r in components.connected_components(frame(spark, edges, "a long, b long")).collect()}

@@ -116,6 +116,14 @@ def test_odd_rows_and_columns(spark):
     assert {r.doc_id for r in STAGES["language_id"](spark, nameless, "").collect()} == {None, 3, 4}
 
 
+def test_near_copies_without_ids_go(spark):
+    rng = random.Random(41)
+    base = prose(rng, 120)
+    rows = [(None, base, "aa", "s", 0), (None, base, "aa", "s", 0), (None, base + " end", "aa", "s", 0), (3, prose(rng, 90), "aa", "s", 0), (8, base + " fin", "aa", "s", 0), (9, "one text", "aa", "s", 0), (9, "another text altogether", "aa", "s", 0)]
+    got = [(r.doc_id, r.text) for r in STAGES["near_dedup"](spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [rows[3][:2], (8, base + " fin"), (9, "one text"), (9, "another text altogether")]))
+
+
 def test_run_writes_every_stage(spark, rows):
     root = new_path(spark, "tables")
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{root}/documents.parquet")
