@@ -36,21 +36,17 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group (five words, 0.8).
+    """Keeps one document of each group (five words, 0.8): the one with the smallest id.
 
     Rows of one id are one document: each of its different texts stays. Rows without
-    an id stay unless their text is that of a row with one, or is repeated.
+    an id are documents known by their texts, near copies included; of a repeated one, one row stays.
     """
     found = materialize(near_dedup.near_classes(docs), "groups")
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    heads = found.where("document = first").select(F.col("document").alias("__document")).distinct()
+    keyed = docs.withColumn("__document", near_dedup.document_of())
+    kept = keyed.join(heads, "__document", "left_semi").select(*docs.columns)
+    if found.groupBy("document").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
-    if found.where("doc_id is null").limit(1).count():
-        # Without an id a row is known by its text.
-        lone = docs.where("doc_id is null").dropDuplicates(["text"])
-        named = docs.where("doc_id is not null").select("text").distinct()
-        kept = kept.unionByName(lone.join(named, "text", "left_anti").select(*docs.columns))
     return kept
 
 
