@@ -62,12 +62,13 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column:
 
 def with_cache(entries: DataFrame, cache: DataFrame, key: str = "hash") -> tuple[DataFrame, DataFrame]:
     """(hits with the cached embedding, misses) of entries by content hash."""
-    known = cache.select(key, F.col("embedding").alias("embedding")).dropDuplicates([key])
+    # Dealt anew after the aggregation, so that Spark can split a hot key's entries in the join.
+    known = cache.select(key, F.col("embedding").alias("embedding")).dropDuplicates([key]).hint("rebalance")
     return entries.join(known, key), entries.join(known, key, "left_anti")
 
 
 def repeat_hits(df: DataFrame, key, order: str) -> DataFrame:
-    """Adds ``hit``: does an earlier row have the same key?"""
-    keyed = df.withColumn("__key", key)
-    first = keyed.groupBy("__key").agg(F.min(order).alias("__first"))
+    """Adds ``hit``: does an earlier row have the same key? Null keys are equal."""
+    keyed = df.withColumn("__key", F.struct(key))
+    first = keyed.groupBy("__key").agg(F.min(order).alias("__first")).hint("rebalance")  # a hot key can then be split in the join
     return keyed.join(first, "__key").withColumn("hit", F.col("__first") < F.col(order)).drop("__key", "__first")
