@@ -107,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_sharding": "select doc_id, lang, source, n_chars, sha256(text) as text_sha256 from documents",
-    "op2_mixing": mixing.mixing_sql(), "op3_near_dedup": near_dedup.classes_sql(4, 80)}
+    "op2_mixing": mixing.mixing_sql(),
+    "op3_near_dedup": near_dedup.classes_sql(4, 80),
+    "op4_suffix_dedup": repeats.repeats_sql(),
+}

@@ -458,3 +458,30 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", into:
     spans = repeated_spans(docs, length, text, words)
     joined = keyed.join(spans.select(F.col("text_key").alias("__text_key"), F.col("spans").alias("__spans")).hint("merge"), "__text_key", "left")
     return joined.withColumn(into, F.pandas_udf(apply, kind).asNondeterministic()(F.col(text).cast("string"), "__spans")).drop("__text_key", "__spans")
+
+
+def repeats_sql(length: int = LENGTH, words: int = 51, table: str = "documents") -> str:
+    """DuckDB statement for :func:`cut_repeats` with ``words``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text. All windows are counted.
+
+    Bytes are pairs of hexadecimal digits. Characters that a cut has split are left out by taking whole UTF-8 sequences only.
+    """
+    word, white = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+    whole = "[0-7][0-9A-F]|[CD][0-9A-F][89AB][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F]){2}|F[0-7](?:[89AB][0-9A-F]){3}|[0-9A-F]{2}"
+
+    def left(spans: str) -> str:
+        at, to = "case when k = 0 then 0 else ends[k] end", "case when k = len(starts) then n else starts[k + 1] end"
+        return f"(select h.r, array_to_string(list_transform(range(0, len(starts) + 1), lambda k: substr(x, 2 * ({at}) + 1, 2 * (({to}) - ({at})))), '') as kept, gone, spans from h join (select r, list(a order by a) as starts, list(b order by a) as ends, sum(b - a) as gone, count(*) as spans from {spans} group by r) using (r))"
+
+    return f"""with h as (select doc_id, text, row_number() over () as r, coalesce(text, '') as t, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from {table}),
+    w as (select r, s, md5(substr(x, 2 * s + 1, {2 * length})) as k from (select r, x, unnest(range(0, n - {length - 1})) as s from h where n >= {length})),
+    i as (select r, s, s - coalesce(lag(s) over (partition by r order by s), -1 - {length}) > {length} as fresh from w where k in (select k from w group by k having count(*) > 1)),
+    spans as (select r, min(s) as a, max(s) + {length} as b from (select r, s, sum(fresh::int) over (partition by r order by s) as island from i) group by r, island),
+    z as (select r, z, idx, sum(strlen(z)) over (partition by r order by idx) as e from (select r, unnest(l) as z, unnest(range(1, len(l) + 1)) as idx from (select r, regexp_extract_all(t, '{word}+|{white}+') as l from h))),
+    l as (select r, list(z order by idx) as l, list((e - strlen(z))::bigint order by idx) as la, list(e::bigint order by idx) as le from z where regexp_matches(z, '^{word}') group by r having count(*) >= {words}),
+    v as (select r, md5(array_to_string(list_slice(l, p, p + {words - 1}), ' ')) as k, la[p] as a, le[p + {words - 1}] as b from (select r, l, la, le, unnest(range(1, len(l) - {words - 2})) as p from l)),
+    u as (select r, a, b from spans union all select r, a, b from v where k in (select k from v group by k having count(*) > 1)),
+    o as (select r, a, b, a > coalesce(max(b) over (partition by r order by a, b rows between unbounded preceding and 1 preceding), -1) as fresh from u),
+    passages as (select r, min(a) as a, max(b) as b from (select r, a, b, sum(fresh::int) over (partition by r order by a, b rows unbounded preceding) as island from o) group by r, island)
+    select doc_id, n::bigint as n_bytes, coalesce(s.gone, 0)::bigint as n_removed, coalesce(s.spans, 0)::bigint as n_spans, sha256(unhex(coalesce(s.kept, x))) as kept_sha256,
+    case when p.kept is null then text else decode(unhex(array_to_string(list_filter(regexp_extract_all(p.kept, '{whole}'), lambda y: length(y) > 2 or y < '8'), ''))) end as text
+    from h left join {left("spans")} s using (r) left join {left("passages")} p using (r)"""

@@ -130,7 +130,7 @@ def test_rake_meets_margins_and_calibrates(spark):
     assert rates.agg(F.sum(F.col("tokens") * F.col("rate"))).first()[0] == pytest.approx(0.6 * sum(c[3] for c in cells), rel=1e-6)
 
 
-def nearly_one_language(seed, main=0.98):
+def nearly_one_language(seed, main=0.9):
     """Cells of sources that are nearly of one language, one of them with a third of all tokens."""
     rng = np.random.default_rng(seed)
     cells = []
