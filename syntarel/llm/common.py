@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,17 +78,18 @@ def cleared(spark: SparkSession):
             delete_path(spark, path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, plain: Sequence[str] = ()) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     Parquet is used rather than ``checkpoint()`` since it is compressed and
     keeps column pruning; a lost executor loses none of it. The write's shuffle
-    files go as soon as it is done, since nothing else reads them.
+    files go as soon as it is done, since nothing else reads them. Columns in
+    ``plain`` hold hashes, which no dictionary makes smaller.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        df.write.parquet(path)
+        df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in plain}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._syntarel_path = path
     if _written:

@@ -28,10 +28,9 @@ the string is the window itself, and a key has one fragment.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +103,8 @@ def fragments(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.nda
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A number (uint64) of each word; fragments() takes them in place of bytes."""
-    return _mix(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(_STEP))
+    """64 bits that stand for each word; fragments() takes them in place of bytes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def word_ends(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,10 +116,11 @@ def word_ends(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _arranged(code: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
     """(the order that sorts the codes, the sorted codes); positions, of ``low`` bits, are sorted along with the codes where they fit."""
     if int(code.max(initial=0)) >> (63 - low):
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code, kind="stable").astype(np.int32)
         return order, code[order]
-    both = np.sort((code << low) | np.arange(len(code)))
-    return both & ((1 << low) - 1), both >> low
+    both = (code << low) | np.arange(len(code))
+    both.sort()
+    return (both & ((1 << low) - 1)).astype(np.int32), both >> low
 
 
 class RunLengthIndex:
@@ -144,7 +144,7 @@ class RunLengthIndex:
         flat = np.frombuffer(b"".join(texts), np.uint8) if isinstance(texts[0], bytes) else np.concatenate(texts)
         symbols[inside] = flat.astype(np.int64) + len(texts)
         alphabet = len(texts) + (256 if flat.dtype == np.uint8 else int(flat.max(initial=0)) + 1)
-        order = self._sorted(symbols, len(texts))
+        order = self._sorted(symbols, np.repeat(self.ends, size + 1) - np.arange(self.n))
         last = symbols[order - 1]  # of the first suffix it is the last separator
         head = np.concatenate([[True], last[1:] != last[:-1]])
         #: Of each run: its symbol, first row, length, and the row that stepping back leads to from its first one.
@@ -160,8 +160,8 @@ class RunLengthIndex:
         self.below = self._common(text, order[ends], np.where(ends + 1 < self.n, order[np.minimum(ends + 1, self.n - 1)], -1))
 
     @staticmethod
-    def _sorted(symbols: np.ndarray, texts: int) -> np.ndarray:
-        """Suffix array by prefix doubling, begun with as many symbols as fit a word; the first ``texts`` symbols are separators.
+    def _sorted(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Suffix array by prefix doubling, begun with as many symbols as fit a word; ``left`` has the symbols up to each position's separator.
 
         Separators count as one symbol at first; suffixes that reach one within the
         first step end there, equal ones in the order of their texts. A rank is the first row
@@ -170,30 +170,41 @@ class RunLengthIndex:
         n = len(symbols)
         dense = np.zeros(int(symbols.max()) + 1, np.int64)
         dense[symbols] = 1
-        dense[:texts] = 0
+        dense[symbols[left == 0]] = 0
         dense = np.cumsum(dense) * (dense > 0)
         bits, low = max(1, int(dense.max()).bit_length()), n.bit_length()
         k = max(1, (62 - low) // bits)
-        plain = np.concatenate([dense[symbols], np.zeros(k, np.int64)])
-        code, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(k):
-            code <<= bits
-            code += plain[j : j + n] * open_
-            open_ &= plain[j : j + n] > 0
-        rank, rows = np.empty(n, np.int64), np.arange(n)
+        # Words of 1, 2, 4 ... symbols make one of k.
+        words = [np.concatenate([dense[symbols], np.zeros(k, np.int64)])]
+        while 2 ** len(words) <= k:
+            words.append((words[-1] << (bits << (len(words) - 1))) | np.append(words[-1][1 << (len(words) - 1) :], np.zeros(1 << (len(words) - 1), np.int64)))
+        code, done = np.zeros(n, np.int64), 0
+        for i in range(len(words) - 1, -1, -1):
+            if k >> i & 1:
+                code = (code << (bits << i)) | words[i][done : done + n]
+                done += 1 << i
+        kept = np.array([((1 << bits * j) - 1) << bits * (k - j) for j in range(k + 1)], np.int64)
+        code &= kept[np.minimum(left, k)]
+        open_ = left >= k
+        # Positions and ranks fit 32 bits, which halves what the gathers below touch.
+        rank, rows = np.empty(n + 1, np.int32), np.arange(n, dtype=np.int32)
+        rank[n] = -1  # past the end
         order, code = _arranged(code, low)
         # Equal codes are in the order of their positions, and so of their texts.
-        head = np.concatenate([[True], code[1:] != code[:-1]]) | ~open_[order]
+        head, at = np.concatenate([[True], code[1:] != code[:-1]]) | ~open_[order], order
         while True:
-            rank[order[rows]] = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
-            rows = rows[~(head & np.append(head[1:], True))]
-            if not len(rows):
-                return order
-            at = order[rows]
-            following = at + k
-            code = (rank[at] << low) + np.where(following < n, rank[np.minimum(following, n - 1)] + 1, 0)
+            # A group's rank is its first row; of those resolved before nothing changes.
+            first = np.flatnonzero(head)
+            own = np.repeat(rows[first], np.diff(np.append(first, len(rows))))
+            rank[at] = own
+            more = np.flatnonzero(~(head & np.append(head[1:], True)))
+            if not len(more):
+                return order.astype(np.int64)
+            rows, at = rows[more], at[more]
+            code = (own[more].astype(np.int64) << low) + (rank[np.minimum(at + np.int32(k), n)] + 1)
             again, code = _arranged(code, low)
-            order[rows] = at[again]
+            at = at[again]
+            order[rows] = at
             head = np.concatenate([[True], code[1:] != code[:-1]])
             k *= 2
 
@@ -275,7 +286,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", wo
 
     def cut(batches):
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
@@ -283,12 +293,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", wo
                 raw = body.encode("utf-8", "surrogatepass")
                 kinds = [(np.frombuffer(raw, np.uint8), raw, length, k, False)]
                 if words is not None and len(split := raw.split()) >= words:
-                    kinds.append((word_hashes(split), split, words, min(WORDS_K, words), True))
+                    kinds.append((hashes := word_hashes(split), hashes.tobytes(), words, min(WORDS_K, words), True))
                 for numbers, units, size, part, of_words in kinds:
                     keys, first, last = fragments(numbers, size, part)
-                    spans = zip(first.tolist(), (last + size).tolist(), strict=True)
+                    step = numbers.itemsize
+                    spans = zip((first * step).tolist(), ((last + size) * step).tolist(), strict=True)
                     out[0].append(keys.view(np.int64))
-                    out[1] += [xxhash.xxh3_128_digest(b" ".join(units[a:b]) if of_words else units[a:b]) for a, b in spans]
+                    out[1] += [xxhash.xxh3_128_digest(units[a:b]) for a, b in spans]
                     out[2] += [name] * len(first)
                     out[3].append(first.astype(np.int32))
                     out[4].append((last + size).astype(np.int32))
@@ -296,10 +307,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", wo
             if out[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(np.concatenate(out[3])), pa.array(np.concatenate(out[4])), pa.array(np.concatenate(out[5]))], names=["key", "content", "text_key", "a", "b", "words"])
 
-    every = materialize(rows.mapInArrow(cut, "key long, content binary, text_key binary, a int, b int, words boolean"), "fragments")
+    every = materialize(rows.mapInArrow(cut, "key long, content binary, text_key binary, a int, b int, words boolean"), "fragments", plain=["key", "content"])
     # What is joined with many rows of a key is written first, so that Spark can split those rows.
     again = materialize(every.groupBy("key", "words").agg(F.count("*").alias("all")).where("all > 1").select("key", "words"), "keys")
-    found = materialize(every.join(again, ["key", "words"]), "repeated")
+    # The hashed keys are single and even, so a task's share of them is small beside its fragments, which needn't be sorted.
+    found = materialize(every.join(again.hint("shuffle_hash"), ["key", "words"]), "repeated")
     release(every, again)
     kinds = materialize(found.groupBy("key", "content", "words").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "a", "b")).alias("at")), "kinds")
     keys = materialize(kinds.groupBy("key", "words").agg(F.count("*").alias("kinds")), "kinds-of-keys")
@@ -381,7 +393,6 @@ def _finer(bodies: DataFrame, length: int, words: int | None, way: float) -> Dat
 
     def cut(batches):
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
             out: list[tuple] = []
@@ -391,8 +402,8 @@ def _finer(bodies: DataFrame, length: int, words: int | None, way: float) -> Dat
                 numbers = word_hashes(units) if of_words else np.frombuffer(body, np.uint8)
                 for finer, first, last in zip(*(x.tolist() for x in fragments(numbers, size, k + round(way * (size - k)))), strict=True):
                     part = b" ".join(units[first : last + size]) if of_words else body[first : last + size]
-                    # A finer key counts within its own one.
                     digest = xxhash.xxh3_128_digest(part)
+                    # A finer key counts within its own one.
                     out.append((xxhash.xxh3_64_intdigest(b"%d %d" % (key, finer)) - (1 << 63), digest, of_words, times, part, key, content, first))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["key", "content", "words", "times", "body", "owner_key", "owner", "at"])
