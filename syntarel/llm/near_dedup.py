@@ -38,7 +38,7 @@ _RATE = 20.0
 #: Candidates with a lower joint estimate are dropped (0.8 is over ten standard errors away).
 LEAST_ESTIMATE = 0.3
 #: Documents and bytes of shingles that a block should hold.
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)

@@ -41,7 +41,7 @@ LENGTH = 400
 K, WORDS_K = 64, 8
 #: Bytes that a shard's index should hold, and different fragments of a key from which it is split by longer strings:
 #: of these parts of the way from K to LENGTH.
-SHARD_BYTES, HOT_KEY = 512 << 10, 512
+SHARD_BYTES, HOT_KEY = 192 << 10, 256
 FINER = (0.4, 0.75, 0.95, 1.0)
 #: Windows looked at together; positions within fit 20 bits.
 _CHUNK = 1 << 19
