@@ -36,7 +36,8 @@ PROJECT = {
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below the shared one, or a local one where all runs in one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not shared and master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='syntarel-')).rstrip('/')}/project-{uuid.uuid4().hex}"
 
