@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code
 from ..sources import ast_table
-from .table_queries import query, table
+from .table_queries import query, scratch, table
 
 FIXTURES = {
     "golden.ts": """import base, { scale as sc } from "./ops";
@@ -260,10 +260,10 @@ def nested_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nodes of the fixture sources, once for every supplier, below a folder of its own."""
+    """The nodes of the fixture sources, once for every supplier, below a folder of its own; parsed once and stored."""
     folders = table(spark, sf_dir, "supplier").select("s_suppkey")
     copies = folders.crossJoin(F.broadcast(fixture_sources(spark))).select(F.concat_ws("/", F.col("s_suppkey").cast("string"), "path").alias("path"), "language", "text")
-    return ast_table.ast_nodes(copies.repartition("path"))
+    return ast_table.stored(ast_table.ast_nodes(copies.repartition("path")), scratch(spark))
 
 
 def _each(statement: str) -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from ..sources import ast_table
 from ..streaming import incremental
 from . import index, render
 from .code_queries import FIXTURES, _golden, _nodes, _pdg, _refs, fixture_sources, values
-from .table_queries import mock_sql, query, table
+from .table_queries import mock_sql, query, scratch, table
 
 #: Texts of a project's files by path.
 PROJECT = {
@@ -33,15 +32,6 @@ PROJECT = {
 }
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared one, or a local one where all runs in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not shared and master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='syntarel-')).rstrip('/')}/project-{uuid.uuid4().hex}"
-
-
 def written(spark: SparkSession, files: dict[str, str] = PROJECT) -> str:
     """The root of a project with these files, written by Spark's own file system."""
     root, jvm = scratch(spark), spark.sparkContext._jvm

@@ -156,6 +156,12 @@ def ast_nodes(sources: DataFrame) -> DataFrame:
     return _mapped(sources, lambda p, lang, t: rows_of(p, lang, t, tree_of(t, lang)), NODES)
 
 
+def stored(nodes: DataFrame, path: str) -> DataFrame:
+    """The nodes written to a new table and read from it: analyses look at them several times, and parsing is what costs."""
+    nodes.write.parquet(path)
+    return nodes.sparkSession.read.schema(nodes.schema).parquet(path)
+
+
 def imports(sources: DataFrame) -> DataFrame:
     """Import statements of all sources, in order."""
     return _mapped(sources, lambda p, lang, t: [(p, k, *r) for k, r in enumerate(imports_of(t, lang))], IMPORTS)
