@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language_id, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, url_filter
+from . import concurrency, conversations, fingerprint, language_id, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, toxicity, url_filter
 from .common import fold, new_path
 
 
@@ -92,6 +92,23 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (fold(5) == 0).alias("held_out"))
+    model = toxicity.train_toxicity_model(docs.where("not held_out"), _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = concurrency.sale_spans(*(_table(spark, sf_dir, x) for x in ("sales", "sale_lines", "clients")), days=0)
+    found = concurrency.open_spans(spans)
+    return found.select(F.col("key").alias("nation_id"), "from_s", "to_s", "n_open", F.col("open_amount").alias("open_cents"), "high_open", "is_peak")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -103,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_order_minhash": op10_order_minhash,
+    "op11_toxicity": op11_toxicity,
+    "op12_peak_concurrency": op12_peak_concurrency,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,4 +130,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.mixing_sql(),
     "op3_near_dedup": near_dedup.classes_sql(4, 80),
     "op4_suffix_dedup": repeats.repeats_sql(),
+    "op12_peak_concurrency": concurrency.open_sales_sql(),
+    "op13_conversation_repair": conversations.repair_sql(),
 }
