@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.rules import CALL_KINDS, CASES, CLASS_KINDS, COUNTED_OPERATORS, DECISIONS, FLOW_FUNCTIONS, FLOW_LANGUAGES, FUNCTION_KINDS, KEYWORDS, LOOPS, MEMBER_KINDS
+from .graph import closure
 
 PROTOTYPE_NAMES = ["constructor", "toString", "valueOf", "hasOwnProperty", "isPrototypeOf", "propertyIsEnumerable", "toLocaleString"]
 
@@ -226,15 +227,12 @@ def edges_of(edges: DataFrame, variable: str | None) -> DataFrame:
 
 
 def slice_generic(nodes: DataFrame, edges: DataFrame, line: int, variable: str | None = None, forward: bool = False) -> DataFrame:
-    """path, function, line of a slice over any dependence graph, one function at a time."""
-    from .graph import reachable
-
-    scope = F.concat_ws("\x00", "path", "function").alias("scope")
+    """path, function, line of a slice over any dependence graph, all functions together."""
     kept = edges_of(edges, variable)
-    seeds = nodes.where((F.col("start_line") <= line) & (F.col("end_line") >= line)).select(scope, F.col("id").alias("node"))
-    steps = kept.select(scope, F.col("source").alias("src"), F.col("target").alias("dst"))
-    found = reachable(steps, seeds, "scope", backward=not forward, node_type="int").withColumnRenamed("node", "id")
-    return nodes.withColumn("scope", scope).join(found, ["scope", "id"]).select("path", "function", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
+    seeds = nodes.where((F.col("start_line") <= line) & (F.col("end_line") >= line)).select("path", "function", F.col("id").alias("node"))
+    steps = kept.select("path", "function", F.col("source").alias("src"), F.col("target").alias("dst"))
+    found = closure(steps, seeds, ["path", "function"], backward=not forward).withColumnRenamed("node", "id")
+    return nodes.join(found, ["path", "function", "id"]).select("path", "function", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
 
 
 def line_dependencies(nodes: DataFrame, edges: DataFrame, line: int) -> DataFrame:

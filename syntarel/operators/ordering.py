@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Ranges at least, and rows of a range on average beyond that.
 LEAST_RANGES, RANGE_ROWS = 4096, 1 << 16
 
@@ -54,18 +56,18 @@ def _part(spread: Column, parts: Column) -> Column:
 
 
 def with_ordinal(df: DataFrame, key: str, into: str = "ordinal") -> DataFrame:
-    """Adds the row's number (from 0) by a unique integer ``key``; null keys come last.
+    """Adds the row's number (from 0) by a unique ``key``; null keys come last.
 
-    Keys are dealt to ranges between sampled keys, so that ranges are even
-    whatever the keys' distribution. Only the ranges' row counts are summed up in
-    one place. Columns named ``__range`` and ``__before`` aren't kept.
+    Spark deals the rows to ranges of the key; they are written so that all that follows
+    sees the same ranges. The ranges' row counts, one row each, are summed up in
+    one place, and rows are numbered inside of their range. ``into`` is replaced.
     """
-    cuts = splitters(df, key, df.count())
-    ranged = df.withColumn("__range", F.coalesce(range_of(F.col(key).cast("long"), cuts), F.lit(len(cuts) + 1)))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.drop(into).repartitionByRange(ranges, F.asc_nulls_last(key)).withColumn("__range", F.spark_partition_id()), "ordinals")
     before = F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
-    offsets = ranged.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    offsets = dealt.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
     inside = F.row_number().over(W.partitionBy("__range").orderBy(F.asc_nulls_last(key))) - 1
-    return ranged.join(offsets, "__range").withColumn(into, F.col("__before") + inside).drop("__range", "__before")
+    return dealt.join(F.broadcast(offsets), "__range").withColumn(into, F.col("__before") + inside).drop("__range", "__before")
 
 
 def batches(df: DataFrame, key: str, size: int, into: str = "batch") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32_long, mock_embedding, signed_hex
 from ..operators import dataflow, graph, ordering, search, tree
+from ..storage import scratch  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,15 +27,6 @@ def query(oracle: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared one, or a local one where all runs in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not shared and master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='syntarel-')).rstrip('/')}/project-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -162,6 +152,23 @@ def forward_slice_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _along(spark, sf_dir, backward=False)
 
 
+_BOTH = f"""{_SAME_KIND}, g as (select src, event_id as dst from e where src is not null union all
+    select * from (select event_id as src, lead(event_id) over (partition by user_id order by ts, event_id) as dst from events where value > 40) where dst is not null)"""
+
+
+@query(
+    f"""with recursive {_BOTH}, r as (select user_id, arg_max(event_id, (ts, event_id)) as node, 0 as round from events group by user_id
+    union select r.user_id, g.src, r.round + 1 from r join g on g.dst = r.node) select user_id, node, min(round)::int as round from r group by user_id, node"""
+)
+def backward_slice_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What leads to each user's last event, by events of one kind and by neighbours among those of some value: a graph of two kinds of edges, in rounds."""
+    events = table(spark, sf_dir, "events")
+    data = graph.last_of_kind_edges(events, ["user_id"], "event_type", ["ts", "event_id"], "event_id").drop("label")
+    control = graph.chain_edges(events.where("value > 40"), ["user_id"], ["ts", "event_id"], "event_id")
+    seeds = events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("node"))
+    return graph.closure(data.unionByName(control), seeds, ["user_id"], backward=True)
+
+
 @query("select * from (select user_id, event_id as src, lead(event_id) over (partition by user_id order by ts, event_id) as dst from events) where dst is not null")
 def cfg_sequence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chain_edges(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_id")
