@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance
+from ..storage import written
 
 
 def nearest(vectors: DataFrame, query: list[float] | DataFrame, k: int = 10, id_column: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -24,40 +25,151 @@ def nearest(vectors: DataFrame, query: list[float] | DataFrame, k: int = 10, id_
     return df.withColumn("distance", l2_distance(F.col(embedding), F.col("__query"))).drop("__query").orderBy("distance", id_column).limit(k)
 
 
-#: Vectors and queries that are compared together.
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 256
+#: Vectors and queries that are compared together; vectors of a cell on average, cells at most, and bands of a cell by distance from its centre.
+VECTOR_BLOCK, QUERY_BLOCK, CELL, MOST_CELLS, BANDS = 8192, 256, 2048, 1024, 4
+#: Numbers in the sample that the cells' centres are fitted on.
+SAMPLE_VALUES = 1 << 21
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def _centres(sample: np.ndarray, number: int, steps: int = 6) -> np.ndarray:
+    """Centres of ``number`` cells of a sample, moved a few times to the means of their vectors."""
+    centres = sample[np.linspace(0, len(sample) - 1, number).astype(int)].copy()
+    for _ in range(steps):
+        own = _distances(sample, centres).argmin(1)
+        sums, size = np.zeros_like(centres), np.bincount(own, minlength=number)
+        np.add.at(sums, own, sample)
+        centres[size > 0] = sums[size > 0] / size[size > 0, None]
+    return centres
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T))
+
+
+def _exact(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.sqrt(((rows - one) ** 2).sum(1))
+
+
+class _Cells:
+    """Centres, and of each (cell, band) the number of vectors and their least and greatest distance from the centre."""
+
+    def __init__(self, centres: np.ndarray, keys: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.centres, self.keys, self.counts, self.low, self.high = centres, keys, counts, low, high
+
+    def bounds(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest distance that a vector of each band can have from a query, by the triangle inequality."""
+        d = _exact(self.centres, query)[self.keys[:, 0]]
+        slack = 1e-6 * (1 + d + self.high)  # above any rounding
+        return np.maximum(0.0, np.maximum(d - self.high, self.low - d)) - slack, d + self.high + slack
+
+    def first(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bands to look at first: the nearest ones that hold k vectors; and which can be needed at all."""
+        least, most = self.bounds(query)
+        by_most = np.argsort(most, kind="stable")
+        enough = np.searchsorted(np.cumsum(self.counts[by_most]), k)
+        limit = most[by_most[min(enough, len(most) - 1)]] if self.counts.sum() >= k else np.inf
+        near = np.argsort(least, kind="stable")
+        some = near[: int(np.searchsorted(np.cumsum(self.counts[near]), k)) + 1]
+        return some, np.flatnonzero(least <= limit)
+
+    def rest(self, query: np.ndarray, k: int, found: float) -> np.ndarray:
+        """The bands that a search which has found k vectors within ``found`` must look at, too."""
+        some, able = self.first(query, k)
+        return np.setdiff1d(able[self.bounds(query)[0][able] <= found], some)
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", embedding: str = "embedding", compared=None) -> DataFrame:
     """query_id, ``id_column``, distance: of every query (its own ``id_column`` and ``embedding``) the ``k`` rows with the least L2 distance, ties by id.
 
-    A stated set of queries against all rows, block by block: every pair of blocks is
-    one bounded numpy task that keeps k rows a query; those are merged by query. Null
-    vectors and ids are left out.
+    Exact, and without looking at every vector. Vectors are dealt to cells by their nearest centre (fitted on
+    a sample of SAMPLE_VALUES numbers) and to bands by their distance from it. A query
+    looks at the nearest bands that hold k vectors, and then at those that can, by the triangle
+    inequality, hold one nearer than the k-th that it has found. Bands lie in blocks
+    of bounded size, so a hot cell is many blocks; a block meets bounded numbers of queries.
+    Only the cells' figures (MOST_CELLS x BANDS rows) and the sample reach the driver. Null
+    vectors and ids are left out. ``compared``, an accumulator, counts the pairs that distances were computed of.
     """
-    def blocked(df: DataFrame, size: int, name: str) -> DataFrame:
-        some = df.where(F.col(id_column).isNotNull() & F.col(embedding).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
-        blocks = max(1, -(-some.count() // size))
-        return some.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(name)).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_values"))
+    spark = vectors.sparkSession
+
+    def clean(df: DataFrame) -> DataFrame:
+        return df.where(F.col(id_column).isNotNull() & F.col(embedding).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+
+    def blocked(dealt: DataFrame, *by) -> DataFrame:
+        return dealt.groupBy(*by).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("values")).drop("part")
 
     def compare(batches):
         import pandas as pd
 
         for batch in batches:
             for r in batch.itertuples(index=False):
-                ids, asked = np.asarray(r.rows_ids), np.asarray(r.asked_ids)
-                table, wanted = np.asarray(r.rows_values).reshape(len(ids), -1), np.asarray(r.asked_values).reshape(len(asked), -1)
-                for q, vector in zip(asked, wanted, strict=True):
-                    distance = np.sqrt(((table - vector) ** 2).sum(1))
-                    few = np.argpartition(distance, k - 1)[:k] if len(ids) > k else np.arange(len(ids))
-                    few = np.flatnonzero(distance <= distance[few].max())  # with all ties
-                    first = few[np.lexsort((ids[few], distance[few]))][:k]
-                    yield pd.DataFrame({"query_id": q, id_column: ids[first], "distance": distance[first]})
-
-    pairs = blocked(vectors, VECTOR_BLOCK, "rows").crossJoin(blocked(queries, QUERY_BLOCK, "asked"))
-    found = pairs.mapInPandas(compare, f"query_id long, {id_column} long, distance double")
+                ids, wanted = np.asarray(r.ids), np.asarray(r.asked)
+                table, vs = np.asarray(r.values).reshape(len(ids), -1), np.asarray(r.vs).reshape(len(wanted), -1)
+                if compared is not None:
+                    compared.add(len(ids) * len(wanted))
+                about = _distances(vs, table)
+                # The products are good to some digits: all that can be among the k are computed anew.
+                bound = (np.partition(about, k - 1, 1)[:, k - 1] if len(ids) > k else about.max(1)) + 1e-5 * (1 + np.abs(table).max() + np.abs(vs).max())
+                for q, vector, near, most in zip(wanted, vs, about, bound, strict=True):
+                    few = np.flatnonzero(near <= most)
+                    distance = _exact(table[few], vector)
+                    first = np.lexsort((ids[few], distance))[:k]
+                    yield pd.DataFrame({"query_id": q, id_column: ids[few[first]], "distance": distance[first]})
+
+    def best(pairs: DataFrame) -> DataFrame:
+        found = pairs.select("ids", "values", "asked", "vs").mapInPandas(compare, f"query_id long, {id_column} long, distance double")
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", id_column))
+        return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+    size = clean(vectors).agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    asked = clean(queries)
+    if size["n"] <= VECTOR_BLOCK:  # a single block
+        together = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // QUERY_BLOCK)))).alias("part")
+        every = blocked(asked, together).select(F.col("ids").alias("asked"), F.col("values").alias("vs"))
+        return best(blocked(clean(vectors)).join(every))
+    most = max(1, SAMPLE_VALUES // size["d"])
+    sample = np.array([r["v"] for r in clean(vectors).sample(min(1.0, 1.2 * most / size["n"]), 5).limit(most).collect()])
+    centres = _centres(sample, max(1, min(MOST_CELLS, len(sample), size["n"] // CELL)))
+    width = float(max(1e-12, _distances(sample, centres).min(1).max()))
+
+    def assign(batches):
+        import pandas as pd
+
+        for batch in batches:
+            if len(batch):
+                table = np.array(batch["v"].tolist())
+                cell = _distances(table, centres).argmin(1)
+                radius = np.sqrt(((table - centres[cell]) ** 2).sum(1))
+                yield pd.DataFrame({"cell": cell, "band": np.minimum(BANDS, radius / width * BANDS).astype(int), "radius": radius, "id": batch["id"], "v": batch["v"]})
+
+    dealt = written(clean(vectors).mapInPandas(assign, "cell int, band int, radius double, id long, v array<double>"), "cells")
+    figures = dealt.groupBy("cell", "band").agg(F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")).orderBy("cell", "band").collect()
+    cells = _Cells(centres, np.array([(r["cell"], r["band"]) for r in figures]), *[np.array([r[c] for r in figures]) for c in ("n", "low", "high")])
+    parts = spark.createDataFrame([(r["cell"], r["band"], -(-r["n"] // VECTOR_BLOCK)) for r in figures], "cell int, band int, parts int")
+    blocks = written(blocked(dealt.join(F.broadcast(parts), ["cell", "band"]), "cell", "band", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")), "blocks")
+
+    def looking(batches):
+        """Which queries look at which band: at first, where nothing is found yet (-1), or then."""
+        import pandas as pd
+
+        for batch in batches:
+            for at in range(0, len(batch), QUERY_BLOCK):
+                some, wanted = batch.iloc[at : at + QUERY_BLOCK], {}
+                for r in some.itertuples(index=False):
+                    query = np.asarray(r.v)
+                    for band in cells.first(query, k)[0] if r.found < 0 else cells.rest(query, k, r.found):
+                        wanted.setdefault(int(band), []).append((r.id, query))
+                yield pd.DataFrame([(*map(int, cells.keys[b]), [i for i, _ in x], np.concatenate([q for _, q in x])) for b, x in wanted.items()], columns=["cell", "band", "asked", "vs"])
+
+    def search(wanted: DataFrame) -> DataFrame:
+        pairs = wanted.select("id", "v", "found").mapInPandas(looking, "cell int, band int, asked array<long>, vs array<double>")
+        return best(blocks.join(pairs, ["cell", "band"]))
+
+    near = written(search(asked.withColumn("found", F.lit(-1.0))), "nearest")
+    # The k-th so far; the first bands hold k vectors, or there are no more.
+    limit = near.groupBy("query_id").agg(F.max("distance").alias("found")).withColumnRenamed("query_id", "id")
+    more = search(asked.join(limit, "id"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", id_column))
-    return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+    return near.unionByName(more).withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
 def with_cache(entries: DataFrame, cache: DataFrame, key: str = "hash") -> tuple[DataFrame, DataFrame]:
