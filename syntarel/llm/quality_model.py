@@ -116,7 +116,8 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, label: str = "qualit
 
     At most ``sample`` documents, the first by a hash of their id, and of these in
     this order all that fit into SAMPLE_PASSAGES passages together; a document that
-    doesn't is passed over. Null labels and ids don't count; a document labelled
+    doesn't is passed over. If none fits, the first of each label are taken with evenly spaced
+    passages of theirs, SAMPLE_PASSAGES for all. Null labels and ids don't count; a document labelled
     more than once has its highest label, one with several texts the last in their
     order. If only one label, or none, is there, the result is a constant score.
     """
@@ -131,9 +132,16 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, label: str = "qualit
         if total + size <= SAMPLE_PASSAGES:
             fits.append(doc_id)
             total += size
-    if sizes and not fits:
-        raise ValueError(f"every labelled document has more than {SAMPLE_PASSAGES} passages")
-    got = rows.where(F.col("doc_id").isin(fits)).orderBy("doc_id").select("__label", F.pandas_udf(_encoded, "binary")("text")).collect()
+    spaced = bool(sizes) and not fits
+    if spaced:
+        by_label = {r["__label"]: r["doc_id"] for r in rows.groupBy("__label").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("doc_id")).collect()}
+        fits = sorted(by_label.values())
+    most = SAMPLE_PASSAGES // max(1, len(fits)) if spaced else None
+
+    def encoded(texts: pd.Series) -> pd.Series:
+        return pd.Series([sampled(encode(x), most).astype(np.float16).tobytes() for x in texts])
+
+    got = rows.where(F.col("doc_id").isin(fits)).orderBy("doc_id").select("__label", F.pandas_udf(encoded, "binary")("text")).collect()
     release(rows)
     y = np.array([r[0] for r in got], np.float32)
     if len(set(y.tolist())) < 2:
@@ -142,8 +150,9 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, label: str = "qualit
     return AttentionModel().fit(bags, y).calibrate(bags, y)
 
 
-def _encoded(texts: pd.Series) -> pd.Series:
-    return pd.Series([encode(x).astype(np.float16).tobytes() for x in texts])
+def sampled(passages: np.ndarray, most: int | None) -> np.ndarray:
+    """``most`` evenly spaced passages, or all."""
+    return passages if most is None or len(passages) <= most else passages[np.linspace(0, len(passages) - 1, most).astype(int)]
 
 
 def score_documents(docs: DataFrame, model: AttentionModel | float, text: str = "text", into: str = "score") -> DataFrame:

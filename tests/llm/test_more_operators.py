@@ -327,3 +327,52 @@ def test_toxicity_on_held_out_and_odd_rows(spark, monkeypatch):
     assert toxicity.train_toxicity_model(docs, labels.where("toxic = 1")) == 1.0
     assert toxicity.train_toxicity_model(docs.limit(0), labels) == 0.5
     assert {r.score for r in toxicity.score_toxicity(odd, 0.5).collect()} == {0.5}
+
+
+# -- languages without a limit, long labelled documents ---------------------
+
+
+def test_three_hundred_languages(spark):
+    """Blocks of languages give what one model of all of them gives."""
+    from syntarel.llm import language_id
+
+    rng = random.Random(7)
+    letters = [rng.sample("abcdefghijklmnopqrstuvwxyzäöüéèñçß", 6) for _ in range(300)]
+    prose = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    rows = [(k, prose(k, 120), f"l{k:03d}") for k in range(300)] + [(1000 + k, prose(k, 60), None) for k in range(0, 300, 7)] + [(2000, prose(3, 60) + " " + prose(290, 60), None), (2001, None, None), (2002, "12 !!", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.train_language_model(docs)
+    assert isinstance(model, language_id.LanguageBlocks) and len(model.names) == 300
+    got = {r.doc_id: r.language for r in language_id.detect_language(docs, model).collect()}
+    parts = list(model.models())
+    whole = language_id.LanguageModel([n for p in parts for n in p.names], np.concatenate([p.probabilities for p in parts], 1))
+    assert len(parts) == 2 and len(got) == len(rows)
+    for i, text, _ in rows:
+        name, score, shares = whole.infer(text)
+        assert got[i].lang_pred == name and got[i].score == pytest.approx(score, abs=2e-2), i
+        assert set(got[i].shares) == set(shares)
+    assert [got[1000 + k].lang_pred for k in range(0, 300, 7)] == [f"l{k:03d}" for k in range(0, 300, 7)]
+    assert got[2001].lang_pred == got[2002].lang_pred == "und"
+
+
+def test_labelled_documents_that_are_all_too_long(spark, monkeypatch):
+    from syntarel.llm import quality_model
+
+    monkeypatch.setattr(quality_model, "SAMPLE_PASSAGES", 40)
+    long = lambda w: " ".join(f"{w}{i % 91}" for i in range(9000))
+    docs = spark.createDataFrame([(1, long("good")), (2, long("BAD !! ")), (3, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality_model.train_quality_model(docs, labels)
+    scores = {r.doc_id: r.score for r in quality_model.score_documents(docs, model).collect()}
+    assert len(scores) == 3 and scores[1] > scores[2]
+    assert quality_model.train_quality_model(docs, labels.where("doc_id = 1")) == 1.0
+    one = np.arange(20).reshape(10, 2)
+    assert quality_model.sampled(one, None).shape == (10, 2) and quality_model.sampled(one, 3)[:, 0].tolist() == [0, 8, 18]
+
+
+def test_one_labelled_document_of_many_megabytes(spark):
+    from syntarel.llm import quality_model
+
+    docs = spark.createDataFrame([(1, "some words here. " * (14_000_000 // 17))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality_model.train_quality_model(docs, labels) == 1.0
