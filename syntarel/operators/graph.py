@@ -54,7 +54,7 @@ def closure(edges: DataFrame, seeds: DataFrame, scope: list[str], backward: bool
         number += 1
         candidates = frontier.join(steps, [*names, "node"]).select(*names, F.col("next").alias("node")).distinct()
         new = candidates.join(reached.read().drop("round"), [*names, "node"], "left_anti")
-        found = reached.append(new.withColumn("round", F.lit(number)))
+        found = reached.append(new.withColumn("round", F.lit(number)), dealt=True)
     return reached.forget().select(*[F.col(n).alias(c) for c, n in zip(scope, names, strict=True)], "node", "round")
 
 
