@@ -243,9 +243,9 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, out = index.VectorIndex(spark, scratch(spark)), []
     for step, provider in (("first", embeddings.MockProvider(16)), ("again", embeddings.MockProvider(16)), ("other model", embeddings.MockProvider(8, "other"))):
         figures = index.build_index(sources, store, provider)
-        out.append((step, figures["entries"], figures["hits"], figures["misses"], store.read("vectors").count(), store.dimensions(), store.version("vectors")))
+        out.append((step, figures["entries"], figures["hits"], figures["misses"], store.count(), store.dimensions(), store.version()))
     store.clear()
-    out.append(("cleared", None, None, None, store.read("vectors").count(), store.dimensions(), store.version("vectors")))
+    out.append(("cleared", None, None, None, store.count(), store.dimensions(), store.version()))
     return spark.createDataFrame(out, "step string, entries int, hits int, misses int, stored int, dimensions int, version int")
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.embeddings import MockProvider
 from ..functions.hashing import hash32_long, mock_embedding, signed_hex
 from ..operators import dataflow, graph, ordering, search, tree
-from ..storage import scratch  # noqa: F401
+from ..storage import scratch
+from . import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,6 +91,20 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.repeat_hits(table(spark, sf_dir, "documents"), F.md5("text"), "doc_id").select("doc_id", "hit")
 
 
+@query("select doc_id, (doc_id % 4)::int as batch, min(doc_id % 4) over (partition by text) < doc_id % 4 as hit, (select count(distinct text) from documents)::int as cached from documents where text is not null")
+def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in four batches; which of each batch are in the cache already, and what it holds in the end."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    store, out = index.VectorIndex(spark, scratch(spark)), []
+    for batch in range(4):
+        arrived = docs.where(F.col("doc_id") % 4 == batch).select("doc_id", F.col("text").alias("content"), F.md5("text").alias("hash"))
+        found, part = index.embedded(arrived, store, MockProvider(8))
+        store.commit(cache=part)
+        out.append(found.select("doc_id", F.lit(batch).alias("batch"), "hit"))
+    cached = sum(x["rows"] for x in store.manifest()["cache"])
+    return reduce(DataFrame.unionByName, out).withColumn("cached", F.lit(cached))
+
+
 @query("select min(doc_id) as first_position, max(doc_id) as doc_id, arg_max(source, doc_id) as source from documents group by text")
 def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("key", F.md5("text"))

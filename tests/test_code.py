@@ -307,15 +307,67 @@ def test_index_versions(spark, tmp_path):
     row = lambda n: spark.createDataFrame([(str(n), "c", "f", 1, "t", [1.0])], index.ENTRY)
     for n in range(3):
         before = store.read("vectors")
-        store.replace("vectors", row(n))
+        store.commit(store.stage("vectors", row(n)))
         assert [r.id for r in before.collect()] == [str(n - 1)] * (n > 0)  # a reader of the version before
-    assert store.version("vectors") == 3 and len(os.listdir(tmp_path / "index")) < 12
-    late = index.VectorIndex(spark, f"file://{tmp_path}/index")
-    late._versions = lambda table: {}  # a writer that has seen no version yet
-    late.replace("other", row(7))
+    assert store.version() == 3 and store.count() == 1 and len(store._versions()) == 2
+    assert len(store.vacuum()) == 1 and store.vacuum() == [] and [r.id for r in store.read("vectors").collect()] == ["2"]
+    late = index.VectorIndex(spark, f"file://{tmp_path}/other")
+    late._versions = dict  # a writer that has seen no version yet
+    late.commit(late.stage("vectors", row(7)))
     with pytest.raises(FileExistsError):
-        late.replace("other", row(8))
-    assert store.version("other") == 1
+        late.commit(late.stage("vectors", row(8)))
+    again = index.VectorIndex(spark, f"file://{tmp_path}/other")
+    assert again.version() == 1 and [r.id for r in again.read("vectors").collect()] == ["7"]
+
+
+def test_a_build_that_fails_in_between_changes_neither_table(spark, tmp_path, monkeypatch):
+    store, mock = index.VectorIndex(spark, f"file://{tmp_path}/index"), embeddings.MockProvider(4)
+    first = sources(spark, a__ts="function one() {}\n")
+    index.build_index(first, store, mock)
+    old = [sorted(map(str, store.read(t).collect())) for t in ("vectors", "cache")]
+    stage = store.stage
+
+    def broken(table, df):
+        if table == "vectors":
+            raise RuntimeError("lost")
+        return stage(table, df)
+
+    monkeypatch.setattr(store, "stage", broken)
+    with pytest.raises(RuntimeError):
+        index.build_index(sources(spark, b__ts="class K {}\n"), store, mock)
+    late = index.VectorIndex(spark, f"file://{tmp_path}/index")
+    assert late.version() == 1 and [sorted(map(str, late.read(t).collect())) for t in ("vectors", "cache")] == old
+    assert len(late.vacuum()) == 1  # the part of the cache that nothing names
+    assert index.build_index(sources(spark, b__ts="class K {}\n"), late, mock) == {"entries": 1, "hits": 0, "misses": 1}
+    assert late.read("cache").count() == 2 and late.count() == 1
+
+
+def test_a_build_writes_its_misses_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "MOST_PARTS", 3)
+    store, mock = index.VectorIndex(spark, f"file://{tmp_path}/index"), embeddings.MockProvider(64)
+    entries = lambda a, b: spark.range(a, b).selectExpr("cast(id as string) id", "concat('text ', id) content").withColumn("hash", F.md5("content"))
+
+    def size(folder):
+        return sum(p.stat().st_size for p in (tmp_path / "index" / folder).rglob("*.parquet"))
+
+    sizes = []
+    for a, b in ((0, 3000), (2700, 3300), (3000, 3600), (0, 3600)):
+        df, part = index.embedded(entries(a, b), store, mock)
+        rows = {r.id: (r.hit, r.embedding) for r in df.collect()}
+        store.commit(cache=part)
+        assert len(rows) == b - a and all(len(v[1]) == 64 for v in rows.values())
+        sizes.append((sum(not h for h, _ in rows.values()), part["rows"], size(part["folder"])))
+    assert [x[:2] for x in sizes] == [(3000, 3000), (300, 300), (300, 300), (0, 0)]
+    assert sizes[1][2] < 0.2 * sizes[0][2] and sizes[3][2] < 0.02 * sizes[0][2]
+    assert rows["5"][1] == pytest.approx(mock.embed_batch(["text 5"])[0], abs=1e-6)
+    # A lookup reads the cache in its buckets: no exchange above its scan.
+    part = store.parts()[0]
+    plan = entries(0, 10).join(part.read().select("hash", "embedding").hint("merge"), "hash")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    part.forget()
+    for a in (4000, 5000, 6000):
+        store.commit(cache=index.embedded(entries(a, a + 10), store, mock)[1])
+    assert len(store.manifest()["cache"]) <= 3 and store.read("cache").count() == 3630 and sum(x["rows"] for x in store.manifest()["cache"]) == 3630
 
 
 def test_nearest_of_a_query_set(spark, monkeypatch):
