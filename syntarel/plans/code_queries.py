@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import code
 from ..sources import ast_table
-from .table_queries import query, scratch, table
+from ..storage import scratch
+from .table_queries import case, query, table
 
 FIXTURES = {
     "golden.ts": """import base, { scale as sc } from "./ops";
@@ -88,7 +89,7 @@ def values(columns: str, *rows: str) -> str:
     return f"select * from (values {', '.join(rows)}) as t({columns})"
 
 
-@query(
+@case(
     values(
         "path, type, name, line",
         "('golden.ts', 'function', 'tally', 4)",
@@ -109,12 +110,12 @@ def structure_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.code_units(_nodes(spark)).select("path", "type", "name", "line")
 
 
-@query(values("path, name, line", "('golden.ts', 'tally', 4)", "('shapes.js', 'area', 3)", "('shapes.js', 'grow', 6)", "('tools.py', 'run', 5)", "('main.go', 'Show', 10)", "('main.go', 'main', 11)", "('Lib.java', 'twice', 5)"))
+@case(values("path, name, line", "('golden.ts', 'tally', 4)", "('shapes.js', 'area', 3)", "('shapes.js', 'grow', 6)", "('tools.py', 'run', 5)", "('main.go', 'Show', 10)", "('main.go', 'main', 11)", "('Lib.java', 'twice', 5)"))
 def impact_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.impact(code.code_units(_nodes(spark)), "FETCH").select("path", "name", "line")
 
 
-@query(
+@case(
     values(
         "path, ord, module, names, is_from, is_default, aliases",
         "('golden.ts', 0, './ops', 'base,scale', true, true, 'sc=scale')",
@@ -133,7 +134,7 @@ def imports_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "ord", "module", F.array_join("names", ",").alias("names"), F.col("isFrom").alias("is_from"), F.col("isDefault").alias("is_default"), pairs.alias("aliases"))
 
 
-@query(
+@case(
     values(
         "path, defines, calls",
         "('golden.ts', 'tally', 'length,sc')",
@@ -148,17 +149,17 @@ def calls_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.array_join("defines", ",").alias("defines"), F.array_join("calls", ",").alias("calls"))
 
 
-@query(values("path, name, complexity, block_count", "('golden.ts', 'tally', 4, 4)", "('shapes.js', 'area', 2, 2)", "('shapes.js', 'grow', 3, 3)", "('tools.py', 'run', 0, 0)", "('tools.py', 'fetch', 0, 0)", "('main.go', 'Show', 0, 0)", "('main.go', 'main', 0, 0)", "('Lib.java', 'twice', 0, 0)"))
+@case(values("path, name, complexity, block_count", "('golden.ts', 'tally', 4, 4)", "('shapes.js', 'area', 2, 2)", "('shapes.js', 'grow', 3, 3)", "('tools.py', 'run', 0, 0)", "('tools.py', 'fetch', 0, 0)", "('main.go', 'Show', 0, 0)", "('main.go', 'main', 0, 0)", "('Lib.java', 'twice', 0, 0)"))
 def complexity_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.unit_complexity(_nodes(spark)).select("path", "name", "complexity", "block_count")
 
 
-@query(values("id, type, start_line, end_line", "(0, 'entry', 4, 4)", "(1, 'branch', 6, 10)", "(2, 'branch', 7, 9)", "(3, 'body', 4, 12)", "(4, 'exit', 12, 12)"))
+@case(values("id, type, start_line, end_line", "(0, 'entry', 4, 4)", "(1, 'branch', 6, 10)", "(2, 'branch', 7, 9)", "(3, 'body', 4, 12)", "(4, 'exit', 12, 12)"))
 def cfg_blocks_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(code.cfg_blocks(_nodes(spark))).select("id", "type", "start_line", "end_line")
 
 
-@query(values("source, target, type", "(0, 1, 'sequential')", "(1, 2, 'sequential')", "(2, 3, 'sequential')", "(3, 4, 'sequential')"))
+@case(values("source, target, type", "(0, 1, 'sequential')", "(1, 2, 'sequential')", "(2, 3, 'sequential')", "(3, 4, 'sequential')"))
 def cfg_edges_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(code.cfg_edges(code.cfg_blocks(_nodes(spark)))).select("source", "target", "type")
 
@@ -176,17 +177,17 @@ def _ref_rows() -> list[str]:
     return out
 
 
-@query(values("seq, name, ref_type, line, col", *_ref_rows()))
+@case(values("seq, name, ref_type, line, col", *_ref_rows()))
 def var_refs_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(_refs(spark)).select("seq", "name", "ref_type", "line", "col")
 
 
-@query(values("name, def_line, use_line", *[f"('{n}', {a}, {b})" for n, a, b in (("start", 4, 5), ("k", 6, 6), ("rows", 4, 6), ("k", 6, 6), ("rows", 4, 7), ("k", 6, 7), ("start", 4, 7), ("acc", 8, 8), ("rows", 4, 8), ("k", 6, 8), ("acc", 8, 11))]))
+@case(values("name, def_line, use_line", *[f"('{n}', {a}, {b})" for n, a, b in (("start", 4, 5), ("k", 6, 6), ("rows", 4, 6), ("k", 6, 6), ("rows", 4, 7), ("k", 6, 7), ("start", 4, 7), ("acc", 8, 8), ("rows", 4, 8), ("k", 6, 8), ("acc", 8, 11))]))
 def dfg_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(code.dfg_edges(_refs(spark))).select("name", "def_line", "use_line")
 
 
-@query(values("name, place", "('rows', 1)", "('start', 2)", "('acc', 3)", "('k', 5)", "('sc', 14)"))
+@case(values("name, place", "('rows', 1)", "('start', 2)", "('acc', 3)", "('k', 5)", "('sc', 14)"))
 def variables_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(code.variables(_refs(spark))).select("name", F.col("first").alias("place"))
 
@@ -196,12 +197,12 @@ def _pdg(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return code.pdg_nodes(blocks, refs), code.pdg_edges(blocks, code.dfg_edges(refs))
 
 
-@query(values("source, target, label", "(0, 1, 'rows')", "(0, 2, 'rows')", "(1, 2, 'k')", "(0, 2, 'start')"))
+@case(values("source, target, label", "(0, 1, 'rows')", "(0, 2, 'rows')", "(1, 2, 'k')", "(0, 2, 'start')"))
 def pdg_data_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(_pdg(spark)[1]).where("dep = 'data'").select("source", "target", "label")
 
 
-@query(values("bucket, edges", "('control_in', 3)", "('control_out', 3)", "('data_in', 4)", "('data_out', 1)"))
+@case(values("bucket, edges", "('control_in', 3)", "('control_out', 3)", "('data_in', 4)", "('data_out', 1)"))
 def dependencies_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _pdg(spark)
     return _golden(code.line_dependencies(nodes, edges, 7)).select("bucket", F.col("edges").cast("int").alias("edges"))
@@ -212,18 +213,18 @@ def _slice_rows() -> list[str]:
     return [f"({k}, '{lines[k - 1]}')" for k in range(4, 13)]
 
 
-@query(values("line, code", *_slice_rows()))
+@case(values("line, code", *_slice_rows()))
 def slice_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = code.slice_by_blocks(code.cfg_blocks(_nodes(spark)), 8)
     return _golden(code.with_source(found, fixture_sources(spark))).select("line", "code")
 
 
-@query(values("line", *[f"({k})" for k in range(4, 13)]))
+@case(values("line", *[f"({k})" for k in range(4, 13)]))
 def slice_generic_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(code.slice_generic(*_pdg(spark), 8, "acc", forward=True)).select("line")
 
 
-@query(
+@case(
     values(
         "path, caller, callee",
         "('golden.ts', 'tally', 'sc')",
@@ -244,13 +245,13 @@ def _entry_text() -> str:
     return "\n".join(FIXTURES["golden.ts"].split("\n")[:9]) + "\n\nvars:17, def-use chains:11"
 
 
-@query(f"select 'golden.ts:4:tally' as id, '{_entry_text()}' as content")
+@case(f"select 'golden.ts:4:tally' as id, '{_entry_text()}' as content")
 def index_content_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = fixture_sources(spark)
     return code.index_entries(sources, _nodes(spark)).where("file = 'golden.ts'").select("id", "content")
 
 
-@query("select count(*)::int as bad from (select 1) where false")
+@case("select count(*)::int as bad from (select 1) where false")
 def nested_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that break the numbering: an end before the start, or a child outside of its parent."""
     nodes = _nodes(spark)
@@ -259,44 +260,76 @@ def nested_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.agg(F.count("*").cast("int").alias("bad"))
 
 
-def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nodes of the fixture sources, once for every supplier, below a folder of its own; parsed once and stored."""
-    folders = table(spark, sf_dir, "supplier").select("s_suppkey")
-    copies = folders.crossJoin(F.broadcast(fixture_sources(spark))).select(F.concat_ws("/", F.col("s_suppkey").cast("string"), "path").alias("path"), "language", "text")
-    return ast_table.stored(ast_table.ast_nodes(copies.repartition("path")), scratch(spark))
+def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of programs that the events tell: 64 neighbours by id make the body of one function, a line each; parsed once and stored.
 
+    Signups and purchases assign, views and clicks call, errors branch.
+    """
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    line = F.when(kind.isin("signup", "purchase"), F.concat(F.lit("  s = made"), number, F.lit("();"))).when(kind == "error", "  if (s > 3) { fail(s); }").otherwise(F.concat(F.lit("  "), kind, F.lit("(s);")))
+    lines = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 64).alias("p"), F.struct("event_id", line.alias("line")).alias("x"))
+    texts = lines.groupBy("p").agg(F.array_join(F.sort_array(F.collect_list("x"))["line"], "\n").alias("body"))
+    name = F.col("p").cast("string")
+    text = F.concat(F.lit("function f"), name, F.lit("(seed: number) {\n  let s = seed;\n"), "body", F.lit("\n}\n"))
+    sources = texts.select(F.concat(F.lit("p"), name, F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), text.alias("text"))
+    return ast_table.stored(ast_table.ast_nodes(sources), scratch(spark))
 
-def _each(statement: str) -> str:
-    return f"select s_suppkey::varchar || '/' || path as path, t.* exclude (path) from supplier, ({statement}) t"
 
+_PROGRAMS = """with e as (select *, event_id // 64 as p, row_number() over (partition by event_id // 64 order by event_id) + 2 as line, event_type in ('signup', 'purchase') as makes from events),
+    u as (select p, event_id, line, event_type from e where not makes union all select p, event_id, line, event_type from e where event_type = 'error')"""
 
-@query(_each(values("path, name, complexity, block_count", "('golden.ts', 'tally', 4, 4)", "('shapes.js', 'area', 2, 2)", "('shapes.js', 'grow', 3, 3)", "('tools.py', 'run', 0, 0)", "('tools.py', 'fetch', 0, 0)", "('main.go', 'Show', 0, 0)", "('main.go', 'main', 0, 0)", "('Lib.java', 'twice', 0, 0)")))
+
+@query(f"{_PROGRAMS} select 'p' || p || '.ts' as path, 'f' || p as name, (1 + count(*) filter (event_type = 'error'))::int as complexity, (2 + count(*) filter (event_type = 'error'))::int as block_count from e group by p")
 def complexity_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.unit_complexity(_many(spark, sf_dir)).select("path", "name", "complexity", "block_count")
-
-
-@query(
-    _each(
-        values(
-            "path, caller, callee",
-            "('golden.ts', 'tally', 'sc')",
-            "('tools.py', 'run', 'os.path.join')",
-            "('tools.py', 'run', 'first')",
-            "('tools.py', 'fetch', 'other')",
-            "('main.go', 'Show', 'fmt.Println')",
-            "('main.go', 'Show', 'str.ToUpper')",
-            "('main.go', 'main', 'Box{1}.Show')",
-            "('Lib.java', 'twice', 'helper')",
-        )
-    )
-)
+    """Complexity and blocks of the functions that events tell."""
+    return code.unit_complexity(_programs(spark, sf_dir)).select("path", "name", "complexity", "block_count")
+
+
+@query(f"{_PROGRAMS} select distinct 'p' || p || '.ts' as path, 'f' || p as caller, case when makes then 'made' || event_id when event_type = 'error' then 'fail' else event_type end as callee from e")
 def callers_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.callers(_many(spark, sf_dir))
+    """Who calls what in them."""
+    return code.callers(_programs(spark, sf_dir))
 
 
-@query(_each(values("path, name, refs, flows", "('golden.ts', 'rows', 4, 3)", "('golden.ts', 'start', 3, 2)", "('golden.ts', 'acc', 4, 2)", "('golden.ts', 'k', 5, 4)", "('golden.ts', 'sc', 1, 0)")))
+@query(f"{_PROGRAMS} select 'p' || u.p || '.ts' as path, u.line::int as use_line, coalesce(max(e.line) filter (e.makes and e.line < u.line), 2)::int as def_line, count(distinct e.event_id) as lines from u join e using (p) group by u.p, u.line, u.event_type union all select distinct 'p' || p || '.ts', 2, 1, null from e")
 def flows_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References and flows of every variable of the typed source."""
-    refs = code.function_refs(_many(spark, sf_dir).where("path like '%golden.ts'"))
-    flows = code.dfg_edges(refs).groupBy("path", "name").agg(F.count("*").cast("int").alias("flows"))
-    return refs.groupBy("path", "name").agg(F.count("*").cast("int").alias("refs")).join(flows, ["path", "name"], "left").fillna(0, ["flows"])
+    """Uses with the definition that reaches them, with the number of lines of their program that events tell; the parameter's without."""
+    nodes = _programs(spark, sf_dir)
+    flows = code.dfg_edges(code.function_refs(nodes)).select("path", "use_line", "def_line").distinct()
+    spans = code.flow_functions(nodes).select("path", (F.col("end_line") - F.col("start_line") - 2).cast("long").alias("lines"))
+    return flows.join(spans, "path").withColumn("lines", F.when(F.col("use_line") > 2, F.col("lines")))
+
+
+@query(f"{_PROGRAMS} select 'p' || p || '.ts' as path, 'f' || p as function, 0 as source, k::int as target, 'control' as dep from (select p, count(*) filter (event_type = 'error') as n from e group by p), range(1, 2) as r(k) union all select 'p' || p || '.ts', 'f' || p, k::int, (k + 1)::int, 'control' from (select p, count(*) filter (event_type = 'error') as n from e group by p) c, range(1, 1000) as r(k) where k <= n + 1")
+def chains_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chains of their blocks: an entry, a branch for every error, a body and an exit."""
+    edges = code.cfg_edges(code.cfg_blocks(_programs(spark, sf_dir)))
+    return edges.select("path", "function", "source", "target", F.lit("control").alias("dep"))
+
+
+@query(f"{_PROGRAMS}, m as (select p, max(line) as top from e group by p) select 'p' || m.p || '.ts' as path, k::int as line from m, range(1, 68) as r(k) where k <= m.top + 1")
+def slices_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slice of each program backwards from its second line: the body's block spans the whole function."""
+    return code.slice_by_blocks(code.cfg_blocks(_programs(spark, sf_dir)), 2).select("path", "line")
+
+
+_SCRIPTS = "select page_id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) as text from pages"
+
+
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the scripts that pages hold."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), 1)).alias("text"))
+    sources = found.select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), "text")
+    return ast_table.stored(ast_table.ast_nodes(sources), scratch(spark))
+
+
+@query(f"with s as ({_SCRIPTS}), c as (select page_id, unnest(regexp_extract_all(text, '([a-z]+)\\(', 1)) as callee from s) select 'page' || page_id || '.js' as path, array_to_string(list_sort(list(distinct callee)), ',') as calls from c group by page_id")
+def page_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scripts in pages call, whatever their strings hold."""
+    return code.file_calls(_scripts(spark, sf_dir)).select("path", F.array_join(F.array_sort("calls"), ",").alias("calls"))
+
+
+@query(f"with s as ({_SCRIPTS}) select 'page' || page_id || '.js' as path, 'string' as kind, regexp_extract(text, '\"[^\"]*\"') as text from s where contains(text, '\"') union all select 'page' || page_id || '.js', 'number', regexp_extract(text, '\\((\\d+)\\)', 1) from s where regexp_matches(text, '\\(\\d+\\)')")
+def page_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings and numbers of the scripts in pages, from the syntax tree."""
+    return _scripts(spark, sf_dir).where(F.col("kind").isin("string", "number")).select("path", "kind", "text")

@@ -16,7 +16,8 @@ from ..sources import ast_table
 from ..streaming import incremental
 from . import index, render
 from .code_queries import FIXTURES, _golden, _nodes, _pdg, _refs, fixture_sources, values
-from .table_queries import mock_sql, query, scratch, table
+from ..storage import scratch
+from .table_queries import case, mock_sql, query, table
 
 #: Texts of a project's files by path.
 PROJECT = {
@@ -53,13 +54,13 @@ def lines(*texts: str) -> str:
     return values("place, text", *[f"({k}, '{t.replace(chr(39), chr(39) * 2)}')" for k, t in enumerate(texts)])
 
 
-@query(values("path, language", "('app/main.ts', 'typescript')", "('app/_util.js', 'javascript')", "('app/Zed.js', 'javascript')", "('app/alpha.py', 'python')", "('lib/vendor/old.js', 'javascript')"))
+@case(values("path, language", "('app/main.ts', 'typescript')", "('app/_util.js', 'javascript')", "('app/Zed.js', 'javascript')", "('app/alpha.py', 'python')", "('lib/vendor/old.js', 'javascript')"))
 def scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan of a folder: ignored names and other extensions (case counts) are left out."""
     return ast_table.read_sources(spark, written(spark)).select("path", "language")
 
 
-@query(
+@case(
     values(
         "path, type, name, line",
         "('app/main.ts', 'function', 'tally', 4)",
@@ -75,27 +76,27 @@ def scan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.code_units(ast_table.ast_nodes(ast_table.read_sources(spark, written(spark)))).select("path", "type", "name", "line")
 
 
-@query(values("caller, callee", "('tally', null)", "('half', null)", "('Zed', null)", "('go', null)", "('alpha', null)", "('old', null)", "('__global', 'length')", "('__global', 'sc')", "('__global', 'half')"))
+@case(values("caller, callee", "('tally', null)", "('half', null)", "('Zed', null)", "('go', null)", "('alpha', null)", "('old', null)", "('__global', 'length')", "('__global', 'sc')", "('__global', 'half')"))
 def scan_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The call graph of all files below a folder; calls have one caller."""
     return code.call_graph(ast_table.ast_nodes(ast_table.read_sources(spark, written(spark)))).select("caller", "callee")
 
 
-@query(lines("├── app/", "│   ├── _util.js", "│   ├── alpha.py", "│   ├── main.ts", "│   └── Zed.js", "└── UPPER.TS"))
+@case(lines("├── app/", "│   ├── _util.js", "│   ├── alpha.py", "│   ├── main.ts", "│   └── Zed.js", "└── UPPER.TS"))
 def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of a folder as text: folders first, names in the order of the root locale, extensions in any case."""
     found = tree.file_tree(ast_table.tree_files(spark, written(spark)))
     return rows(spark, tree.render_tree([r.asDict() for r in found.collect()]).split("\n"))
 
 
-@query(values("name, position", "('_x', 1)", "('a', 2)", "('A', 3)", "('b', 4)", "('B', 5)", "('é', 6)", "('f', 7)"))
+@case(values("name, position", "('_x', 1)", "('a', 2)", "('A', 3)", "('b', 4)", "('B', 5)", "('é', 6)", "('f', 7)"))
 def tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Siblings in the order of the root locale."""
     names = spark.createDataFrame([(x,) for x in ("f", "B", "é", "a", "_x", "b", "A")], "path string")
     return tree.file_tree(names).select("name", "position")
 
 
-@query(values("path", "('app/alpha.py')", "('app/Zed.js')", "('lib/vendor/old.js')", "('notes.txt')", "('UPPER.TS')", "('lib/build/made.ts')", "('node_modules/dep/index.js')", "('app/_util.js')"))
+@case(values("path", "('app/alpha.py')", "('app/Zed.js')", "('lib/vendor/old.js')", "('notes.txt')", "('UPPER.TS')", "('lib/build/made.ts')", "('node_modules/dep/index.js')", "('app/_util.js')"))
 def parse_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a cache by path and time lacks: all but the one that it knows; one known at another time is changed."""
     root = written(spark)
@@ -108,26 +109,26 @@ def parse_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STRUCTURE = ["method area (shapes.js:3)", "method grow (shapes.js:6)"]
 
 
-@query(
+@case(
     lines("class Lib (Lib.java:4)", "function twice (Lib.java:5)", "function tally (golden.ts:4)", "class Box (main.go:8)", "function Show (main.go:10)", "function main (main.go:11)", "class Shape (shapes.js:2)", *_STRUCTURE, "class Tool (tools.py:4)", "function run (tools.py:5)", "function fetch (tools.py:8)")
 )
 def structure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, [r["text"] for r in render.structure_lines(code.code_units(_nodes(spark))).toLocalIterator()])
 
 
-@query(lines("__global -> helper, length, sc, fmt.Println, str.ToUpper, Box{1}.Show, size, open, os.path.join, first, other"))
+@case(lines("__global -> helper, length, sc, fmt.Println, str.ToUpper, Box{1}.Show, size, open, os.path.join, first, other"))
 def calls_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callees in the order of files and places; names without callees are left out."""
     return rows(spark, list(render.call_lines(code.call_graph(_nodes(spark)))))
 
 
-@query(lines("Units that may be affected by e:", "  tally (golden.ts:4)", "  Show (main.go:10)", "  main (main.go:11)", "  grow (shapes.js:6)", "  run (tools.py:5)", "Nothing is affected by tally."))
+@case(lines("Units that may be affected by e:", "  tally (golden.ts:4)", "  Show (main.go:10)", "  main (main.go:11)", "  grow (shapes.js:6)", "  run (tools.py:5)", "Nothing is affected by tally."))
 def impact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = code.code_units(_nodes(spark))
     return rows(spark, render.impact_lines(code.impact(units, "e"), "e") + render.impact_lines(code.impact(units.where("name = 'tally'"), "tally"), "tally"))
 
 
-@query(lines("fetch: complexity 0, blocks 0", "grow: complexity 3, blocks 3", "tally: complexity 4, blocks 4"))
+@case(lines("fetch: complexity 0, blocks 0", "grow: complexity 3, blocks 3", "tally: complexity 4, blocks 4"))
 def complexity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = code.unit_complexity(_nodes(spark)).where("name in ('tally', 'grow', 'fetch')")
     return rows(spark, sorted(r["text"] for r in render.complexity_lines(found).collect()))
@@ -141,7 +142,7 @@ def _as_rows(spark: SparkSession, text: str) -> DataFrame:
 _FLOWS = ",".join(f'{{"defLine":{a},"useLine":{b},"var":"{n}"}}' for n, a, b in (("start", 4, 5), ("k", 6, 6), ("rows", 4, 6), ("k", 6, 6), ("rows", 4, 7), ("k", 6, 7), ("start", 4, 7), ("acc", 8, 8), ("rows", 4, 8), ("k", 6, 8), ("acc", 8, 11)))
 
 
-@query(values("key, value", "('function', '\"tally\"')", "('variables', '[\"rows\",\"start\",\"acc\",\"k\",\"sc\"]')", f"('edges', '[{_FLOWS}]')", "('refs', '17')"))
+@case(values("key, value", "('function', '\"tally\"')", "('variables', '[\"rows\",\"start\",\"acc\",\"k\",\"sc\"]')", f"('edges', '[{_FLOWS}]')", "('refs', '17')"))
 def dfg_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function's references (here their number) and flows as JSON."""
     refs = _golden(_refs(spark))
@@ -149,7 +150,7 @@ def dfg_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_rows(spark, json.dumps(found | {"refs": len(found["refs"])}))
 
 
-@query(values("key, value", "('function', '\"tally\"')", "('targetLine', '8')", "('direction', '\"backward\"')", "('variable', 'null')", "('sliceLines', '[4,5,6,7,8,9,10,11,12]')", "('code', '\"  let acc = start;\"')"))
+@case(values("key, value", "('function', '\"tally\"')", "('targetLine', '8')", "('direction', '\"backward\"')", "('variable', 'null')", "('sliceLines', '[4,5,6,7,8,9,10,11,12]')", "('code', '\"  let acc = start;\"')"))
 def slice_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slice as JSON, with the second of its source lines."""
     found = code.with_source(code.slice_by_blocks(_golden(code.cfg_blocks(_nodes(spark))), 8), fixture_sources(spark))
@@ -157,12 +158,12 @@ def slice_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_rows(spark, json.dumps(text | {"code": text["code"][1]}))
 
 
-@query(values("key, value", "('file', '\"golden.ts\"')", "('imports', '[{\"aliases\":{\"sc\":\"scale\"},\"isDefault\":true,\"isFrom\":true,\"module\":\"./ops\",\"names\":[\"base\",\"scale\"]},{\"aliases\":{\"util\":\"*\"},\"isDefault\":false,\"isFrom\":true,\"module\":\"util-lib\",\"names\":[\"*\"]}]')"))
+@case(values("key, value", "('file', '\"golden.ts\"')", "('imports', '[{\"aliases\":{\"sc\":\"scale\"},\"isDefault\":true,\"isFrom\":true,\"module\":\"./ops\",\"names\":[\"base\",\"scale\"]},{\"aliases\":{\"util\":\"*\"},\"isDefault\":false,\"isFrom\":true,\"module\":\"util-lib\",\"names\":[\"*\"]}]')"))
 def imports_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_rows(spark, render.imports_json("golden.ts", ast_table.imports(fixture_sources(spark).where("path = 'golden.ts'"))))
 
 
-@query(
+@case(
     values(
         "json",
         '(\'{"id":0,"type":"entry","lines":[4,4],"defs":["rows","start"]}\')',
@@ -180,7 +181,7 @@ def pdg_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(render.node_json(nodes)).select("json").unionByName(_golden(render.edge_json(edges)).select("json"))
 
 
-@query(values("seed, line", *[f"('{s}', {k})" for s in ("rows", "zzz") for k in range(4, 13)]))
+@case(values("seed, line", *[f"('{s}', {k})" for s in ("rows", "zzz") for k in range(4, 13)]))
 def slice_variable_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices filtered by a variable: only data edges are filtered, the chain of blocks stays."""
     nodes, edges = _pdg(spark)
@@ -188,7 +189,7 @@ def slice_variable_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-@query(values("dep, label, source, target", "('data', 'k', 1, 2)", *[f"('control', 'sequential', {k}, {k + 1})" for k in range(4)]))
+@case(values("dep, label, source, target", "('data', 'k', 1, 2)", *[f"('control', 'sequential', {k}, {k + 1})" for k in range(4)]))
 def variable_edges_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges that a slice by one variable follows."""
     return _golden(code.edges_of(_pdg(spark)[1], "k")).select("dep", "label", "source", "target")
@@ -204,7 +205,7 @@ OTHERS = {
 }
 
 
-@query(
+@case(
     values(
         "path, ord, module, names, is_from",
         "('a.php', 0, 'A\\B\\C', 'C', true)",
@@ -228,7 +229,7 @@ def imports_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ast_table.imports(sources).select("path", "ord", "module", F.array_join("names", ",").alias("names"), F.col("isFrom").alias("is_from"))
 
 
-@query(
+@case(
     values(
         "step, entries, hits, misses, stored, dimensions, version",
         "('first', 6, 0, 6, 6, 16, 1)",
@@ -249,7 +250,7 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "step string, entries int, hits int, misses int, stored int, dimensions int, version int")
 
 
-@query(lines("1. Zed (app/Zed.js:1) score 1.000", "class Zed { go() { half(4); } }"))
+@case(lines("1. Zed (app/Zed.js:1) score 1.000", "class Zed { go() { half(4); } }"))
 def semantic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best result of a search for a stored text, and no more of its content than there is."""
     store, mock = index.VectorIndex(spark, scratch(spark)), embeddings.MockProvider(16)
@@ -258,7 +259,7 @@ def semantic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, render.search_text(index.search_index(store, content, mock, 1)).rstrip("\n").split("\n"))
 
 
-@query(
+@case(
     values(
         "step, provider, warm_model, search_model, base_url",
         "('default', 'mock', 'nomic-embed-text-v2-moe', 'embeddinggemma', 'http://localhost:11434')",
@@ -287,7 +288,7 @@ def provider_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", F.posexplode("v").alias("dim", "value")).withColumn("value", F.round("value", 4))
 
 
-@query(
+@case(
     values(
         "name, value",
         "('hash of hello world', '1794106052')",
@@ -317,7 +318,7 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in cells])).alias("x")).select("x.*")
 
 
-@query(
+@case(
     values(
         "path, type, name, line",
         "('main.ts', 'function', 'tally', 4)",

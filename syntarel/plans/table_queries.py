@@ -10,12 +10,25 @@ from pyspark.sql import functions as F
 
 from ..functions.embeddings import MockProvider
 from ..functions.hashing import hash32_long, mock_embedding, signed_hex
-from ..operators import dataflow, graph, ordering, search, tree
-from ..storage import scratch
+from ..operators import dataflow, graph, intervals, ordering, search, tree
+from ..sources import markup
+from ..storage import scratch, written
 from . import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Cases of fixed input with hand-derived rows: for tests, not registered.
+FIXTURES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def case(expected: str):
+    """Keep a function of fixed input under its name, with the statement of its rows."""
+
+    def add(f):
+        FIXTURES[f.__name__] = (f, expected)
+        return f
+
+    return add
 
 
 def query(oracle: str | None = None):
@@ -218,6 +231,45 @@ def import_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("module"))
 
 
+_MARKUP = r"""with recursive t as (select page_id, list_filter(regexp_extract_all(regexp_replace(regexp_replace(html, '(<(script|style)[^>]*>)[^<]*("</p>")?[^<]*</(script|style)>', '\1</\4>', 'g'), '<!--.*?-->', '', 'gs'), '</?[a-zA-Z][a-zA-Z0-9]*'), lambda x: true) as tags from pages),
+    w as (select page_id, tags, 0 as i, 0 as n, []::struct(p int, t varchar)[] as stack, null::int as pre, null::varchar as tag, []::int[] as above from t
+      union all select page_id, tags, i + 1, n + (case when closes then 0 else 1 end), case when closes then (case when place > 0 then stack[1:place - 1] else stack end) when name in ('meta', 'br') then stack else list_append(stack, {'p': n, 't': name}) end,
+      case when closes then null else n end, name, list_transform(stack, lambda x: x.p) from (select *, list_aggregate(list_transform(range(1, len(stack) + 1), lambda k: case when stack[k].t = name then k else 0 end), 'max') as place
+        from (select *, tags[i + 1][2] = '/' as closes, lower(ltrim(tags[i + 1], '</')) as name from w where i < len(tags)))),
+    e as (select page_id, pre, tag, above from w where pre is not null), b as (select page_id, unnest(above) as pre, tag from e)"""
+
+
+@query(f"{_MARKUP} select e.page_id, e.pre, e.tag, len(e.above)::int as depth, count(b.tag) as inside, count(*) filter (b.tag = 'a') as links from e left join b on b.page_id = e.page_id and b.pre = e.pre group by all")
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element of every page with its depth and how many elements, and links, lie inside of it: nested sets and an interval join."""
+    nodes = written(markup.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")), "markup")
+    ranges = nodes.where("last > pre").select("page_id", F.col("pre").alias("outer"), (F.col("pre") + 1).alias("low"), F.col("last").alias("high"))
+    pairs = intervals.inside(nodes.select("page_id", "pre", "tag"), ranges, ["page_id"], "pre", "low", "high")
+    counts = pairs.groupBy("page_id", F.col("outer").alias("pre")).agg(F.count("*").alias("inside"), F.count_if(F.col("tag") == "a").alias("links"))
+    return nodes.select("page_id", "pre", "tag", "depth").join(counts, ["page_id", "pre"], "left").fillna(0, ["inside", "links"])
+
+
+@query(f"{_MARKUP} select page_id, tag, count(*) as n, max(len(above))::int as deepest from e where page_id % 3 = 1 and tag in ('p', 'li', 'b') group by page_id, tag")
+def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs, items and bold parts of every third page: the filter goes below the table function."""
+    nodes = markup.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")).where("page_id % 3 = 1 and tag in ('p', 'li', 'b')")
+    return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+
+
+@query(
+    """with r as (select l_partkey, (o_orderdate::date - date '1970-01-01') as a, (l_shipdate::date - date '1970-01-01') as b from lineitem join orders on o_orderkey = l_orderkey where o_orderdate <= l_shipdate and l_shipdate::date - o_orderdate::date < 60),
+    s as (select *, case when a > 1 + max(b) over (partition by l_partkey order by a, b rows between unbounded preceding and 1 preceding) then 1 else 0 end as begins from r),
+    n as (select *, sum(begins) over (partition by l_partkey order by a, b, begins desc rows unbounded preceding) as number from s) select l_partkey, min(a)::bigint as first_day, max(b)::bigint as last_day, count(*) as ranges from n group by l_partkey, number"""
+)
+def part_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which each part is between order and shipment, as unions of the lines' ranges."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate").join(orders, "l_orderkey").where("o_orderdate <= l_shipdate")
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    days = lines.select("l_partkey", day("o_orderdate").alias("first_day"), day("l_shipdate").alias("last_day")).where("last_day - first_day < 60")
+    return intervals.union_ranges(days, ["l_partkey"], "first_day", "last_day")
+
+
 @query(
     """with u as (select distinct list_filter(string_split(regexp_replace(url, '^[^:]*://', ''), '/'), lambda x: x <> '') as parts from pages), d as (select unnest(range(1, len(parts) + 1)) as k, parts from u),
     n as (select array_to_string(list_slice(parts, 1, k), '/') as path, array_to_string(list_slice(parts, 1, k - 1), '/') as parent_path, parts[k] as name, (k - 1)::int as depth, bool_or(k < len(parts)) as is_directory from d group by all)

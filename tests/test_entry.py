@@ -20,12 +20,13 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(table_queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(table_queries.ORACLE_SQL) + sorted(table_queries.FIXTURES))
 def test_equals_statement(spark, tables, name):
     if not os.path.isdir(DATA):
         pytest.skip("no tables here")
-    want = tables.sql(table_queries.ORACLE_SQL[name])
-    got = table_queries.QUERIES[name](spark, DATA)
+    f, statement = table_queries.FIXTURES.get(name) or (table_queries.QUERIES[name], table_queries.ORACLE_SQL[name])
+    want = tables.sql(statement)
+    got = f(spark, DATA)
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     rows = [tuple(r[c] for c in columns) for r in got.collect()]
