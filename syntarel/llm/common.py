@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,18 +64,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/syntarel/{name}-{uuid.uuid4().hex}"
 
 
-#: What :func:`materialize` has written within each open :func:`cleared`.
-_written: list[list[str]] = []
+#: What :func:`materialize` has written within each open :func:`cleared`, of this thread alone.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 @contextmanager
 def cleared(spark: SparkSession):
-    """On leaving, delete all tables that :func:`materialize` has written meanwhile, those that results are read from included."""
-    _written.append([])
+    """On leaving, delete all tables that :func:`materialize` has written meanwhile, those that results are read from included.
+
+    What is given to the function that this yields stays, and is the outer one's to delete.
+    """
+    outer, own = _written.get(), []
+    token = _written.set((*outer, own))
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.remove(df._syntarel_path)
+        if outer:
+            outer[-1].append(df._syntarel_path)
+        return df
+
     try:
-        yield
+        yield keep
     finally:
-        for path in _written.pop():
+        _written.reset(token)
+        for path in own:
             delete_path(spark, path)
 
 
@@ -92,8 +105,8 @@ def materialize(df: DataFrame, name: str, plain: Sequence[str] = ()) -> DataFram
         df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in plain}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._syntarel_path = path
-    if _written:
-        _written[-1].append(path)
+    if _written.get():
+        _written.get()[-1].append(path)
     return out
 
 

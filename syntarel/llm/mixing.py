@@ -20,7 +20,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, release
+from .common import cleared, id_text, materialize, release
 
 MARGINS = ("source", "lang", "topic")
 #: A document's topic is the first whose pattern it holds (name, pattern).
@@ -143,9 +143,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     names = [c for c in (columns or docs.columns) if c != into]
     own = with_cells(docs, topics).withColumn("__tokens", tokens_of(F.col("text")))
     own = materialize(own.select(*names, *[f"__{m}" for m in MARGINS], "__tokens"), "mixing")
-    sums = materialize(own.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("tokens")), "sums")
-    rates = materialize(calibrate(rake(sums, targets), keep).select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("rate").alias("__rate")), "rates")
-    release(sums)
+    with cleared(docs.sparkSession) as stays:
+        sums = materialize(own.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("tokens")), "sums")
+        rates = stays(materialize(calibrate(rake(sums, targets), keep).select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("rate").alias("__rate")), "rates"))
     joined = own.join(rates, [f"__{m}" for m in MARGINS], "left")
     joined = joined.withColumn("__rate", F.when(F.col("__tokens") > 0, F.coalesce("__rate", F.lit(1.0))).otherwise(1.0))
     fields = F.struct(F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__rate").alias("rate"), (chance() < F.col("__rate")).alias("taken"))

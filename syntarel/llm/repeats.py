@@ -383,9 +383,10 @@ def _marks(bodies: DataFrame, length: int, words: int | None, step: int) -> tupl
     finer = materialize(kinds.join(keys, ["key", "words"]).select("key", "content", "words", "times", "kinds", "body"), "finer-bodies")
     release(kinds, keys)
     below, used = _marks(finer, length, words, step + 1)
-    back = parts.drop("body", "times").join(materialize(below, "finer-marks"), ["key", "content", "words"])
+    below = materialize(below, "finer-marks")
+    back = parts.drop("body", "times").join(below, ["key", "content", "words"])
     back = back.select(F.col("owner_key").alias("key"), F.col("owner").alias("content"), "words", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
-    return marked.unionByName(back), [*used, finer, parts]
+    return marked.unionByName(back), [*used, finer, parts, below]
 
 
 def _finer(bodies: DataFrame, length: int, words: int | None, way: float) -> DataFrame:

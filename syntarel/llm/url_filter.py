@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, let, materialize
+from .common import beside, cleared, let, materialize
 
 #: Symbols by code: letters, digits, slash, dot, hyphen; code 39 is any other character and the padding before a URL.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789/.-"
@@ -155,7 +155,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     host, path = host_of(F.col(url)), path_of(F.col(url))
     judged = pages.withColumns({"host": host, "path": path}).withColumn("__rule", longest_rule(rules, F.col("host"), F.col("path")))
     ruled = judged.where("__rule is not null").select(F.col(url).alias("url"), (F.col("__rule.verdict") == "allow").alias("accepted"), (F.crc32(F.col(url)) % 3 == 2).alias("held"))
-    model = train_url_models(ruled.where("not held"))
+    with cleared(pages.sparkSession) as stays:
+        model = stays(train_url_models(ruled.where("not held")))
     threshold = materialize(calibrate(likelihood_ratio(model, ruled.where("held"))), "url-threshold")
     scored = beside(likelihood_ratio(model, judged, url).drop("threshold"), threshold)
     verdict = F.coalesce("__rule.verdict", F.when(F.col("ratio") >= F.col("threshold"), "allow").otherwise("block"))
