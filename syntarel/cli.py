@@ -95,7 +95,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = session()
     if args.command == "tree":
-        print(tree.render_tree([r.asDict() for r in tree.file_tree(_files(spark, args.path)).collect()]))
+        for r in tree.tree_lines(tree.file_tree(_files(spark, args.path))).orderBy("places").toLocalIterator():
+            print(r["line"])
     elif args.command in ("structure", "calls", "impact"):
         nodes = ast_table.ast_nodes(ast_table.read_sources(spark, os.path.abspath(args.path))).persist()
         if args.command == "structure":

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -86,6 +88,9 @@ class HttpProvider:
 class SentenceProvider:
     """A local sentence model, where its library is installed: mean pooling, unit length."""
 
+    #: One batch at a time: the model uses all cores by itself.
+    serial = True
+
     def __init__(self, name: str):
         self._name, self._loaded = name, None
 
@@ -126,11 +131,34 @@ def provider(settings: EmbeddingSettings | None = None, for_search: bool = False
     return MockProvider(DIMENSIONS, settings.warm_model or "mock")
 
 
+#: Batches that are asked for at a time, and seconds before the first of a few more tries.
+AT_ONCE, TRIES, WAIT = 6, 3, 0.5
+
+
+def in_batches(texts: list[str], chosen: Provider, batch: int = 64, at_once: int = AT_ONCE, tries: int = TRIES, wait: float = WAIT) -> list[list[float]]:
+    """Vectors of all texts in order: ``at_once`` batches in flight, each tried again after a pause that doubles."""
+
+    def one(some: list[str]) -> list[list[float]]:
+        for n in range(tries):
+            try:
+                return chosen.embed_batch(some)
+            except Exception:
+                if n + 1 == tries:
+                    raise
+                time.sleep(wait * 2**n)
+        return []
+
+    parts = [texts[k : k + batch] for k in range(0, len(texts), batch)]
+    if getattr(chosen, "serial", False) or len(parts) < 2:
+        return [v for p in parts for v in one(p)]
+    with ThreadPoolExecutor(at_once) as pool:
+        return [v for found in pool.map(one, parts) for v in found]
+
+
 def embedding(text: Column | str, chosen: Provider, batch: int = 64) -> Column:
-    """Vectors (array of float) of a text column, ``batch`` texts a call."""
+    """Vectors (array of float) of a text column, ``batch`` texts a call and AT_ONCE calls at a time a task; a null text counts as empty."""
 
     def run(texts: pd.Series) -> pd.Series:
-        values = [x or "" for x in texts]
-        return pd.Series([v for k in range(0, len(values), batch) for v in chosen.embed_batch(values[k : k + batch])])
+        return pd.Series(in_batches([x or "" for x in texts], chosen, batch))
 
     return F.pandas_udf(run, "array<float>")(text)

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-#: Ranges at least, and rows of a range on average beyond that.
-LEAST_RANGES, RANGE_ROWS = 4096, 1 << 16
+#: Ranges at least, rows of a range on average beyond that, and ranges at most: the cuts between them are part of a plan (1 MB).
+LEAST_RANGES, RANGE_ROWS, MOST_RANGES = 4096, 1 << 16, 1 << 16
 
 
 def splitters(df: DataFrame, key: str, rows: int, seed: int = 17) -> list[int]:
-    """Sampled keys, ascending, repeated if the sample holds a key repeatedly: about LEAST_RANGES, or one in RANGE_ROWS rows if that is more."""
-    wanted = max(LEAST_RANGES, rows / RANGE_ROWS)
+    """Sampled keys, ascending, repeated if the sample holds a key repeatedly: about LEAST_RANGES, or one in RANGE_ROWS rows if that is more, MOST_RANGES at most."""
+    wanted = min(MOST_RANGES, max(LEAST_RANGES, rows / RANGE_ROWS))
     sample = df.select(F.col(key).cast("long").alias("k")).where("k is not null").sample(min(1.0, wanted / max(1, rows)), seed)
     return sorted(r[0] for r in sample.collect())
 

@@ -95,7 +95,7 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column:
         return df.where(F.col(id_column).isNotNull() & F.col(embedding).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
 
     def blocked(dealt: DataFrame, *by) -> DataFrame:
-        return dealt.groupBy(*by).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("values")).drop("part")
+        return dealt.groupBy(*by).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("values")).drop("part").where("size(ids) > 0")
 
     def compare(batches):
         import pandas as pd

@@ -13,6 +13,7 @@ from ..functions.hashing import hash32_long, mock_embedding, signed_hex
 from ..operators import dataflow, graph, intervals, ordering, search, tree
 from ..sources import markup
 from ..storage import scratch, written
+from ..streaming import keyed
 from . import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,14 +271,36 @@ def part_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.union_ranges(days, ["l_partkey"], "first_day", "last_day")
 
 
+_TREE = """u as (select distinct list_filter(string_split(regexp_replace(url, '^[^:]*://', ''), '/'), lambda x: x <> '') as parts from pages), d as (select unnest(range(1, len(parts) + 1)) as k, parts from u),
+    n as (select array_to_string(list_slice(parts, 1, k), '/') as path, array_to_string(list_slice(parts, 1, k - 1), '/') as parent_path, parts[k] as name, (k - 1)::int as depth, bool_or(k < len(parts)) as is_directory from d group by all),
+    f as (select *, row_number() over (partition by parent_path order by is_directory desc, name)::int as position, row_number() over (partition by parent_path order by is_directory desc, name) = count(*) over (partition by parent_path) as is_last from n)"""
+
+
+@query(f"with {_TREE} select * from f")
+def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of all pages' addresses, siblings by code."""
+    return tree.file_tree(table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[^:]*://", "").alias("path")), locale=False)
+
+
 @query(
-    """with u as (select distinct list_filter(string_split(regexp_replace(url, '^[^:]*://', ''), '/'), lambda x: x <> '') as parts from pages), d as (select unnest(range(1, len(parts) + 1)) as k, parts from u),
-    n as (select array_to_string(list_slice(parts, 1, k), '/') as path, array_to_string(list_slice(parts, 1, k - 1), '/') as parent_path, parts[k] as name, (k - 1)::int as depth, bool_or(k < len(parts)) as is_directory from d group by all)
-    select path, parent_path, name, depth, is_directory, row_number() over (partition by parent_path order by is_directory desc, name)::int as position,
-    row_number() over (partition by parent_path order by is_directory desc, name) = count(*) over (partition by parent_path) as is_last from n"""
+    f"""with {_TREE}, a as (select f.path, f.name, f.is_directory, list(g.position order by g.depth) as places, list(g.is_last order by g.depth) as lasts from f join f g on f.path = g.path or starts_with(f.path, g.path || '/') group by all)
+    select (row_number() over (order by places) - 1)::bigint as place, path, array_to_string(list_transform(lasts[1:len(lasts) - 1], lambda x: case when x then '    ' else '│   ' end), '') || case when lasts[-1] then '└── ' else '├── ' end || name || case when is_directory then '/' else '' end as line from a"""
 )
-def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.file_tree(table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[^:]*://", "").alias("path")))
+def tree_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of all pages' addresses as numbered lines."""
+    nodes = written(file_tree(spark, sf_dir), "tree")
+    return ordering.with_ordinal(tree.tree_lines(nodes), "places", "place").select("place", "path", "line")
+
+
+@query("select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value from events group by user_id, event_type")
+def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user and kind, kept as state while events arrive in four batches, out of order."""
+    root = scratch(spark, "events")
+    arrives = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value").withColumn("batch", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    arrives.repartition(4, "batch").sortWithinPartitions("batch").write.partitionBy("batch").parquet(f"{root}/in")
+    stream = spark.readStream.schema(arrives.drop("batch").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/in")
+    keyed.latest_by_key(stream, ["user_id", "event_type"], ["ts", "event_id"], ["event_id", "value"], f"{root}/out", f"{root}/state").awaitTermination()
+    return keyed.current(spark, f"{root}/out", ["user_id", "event_type"])
 
 
 @query(
