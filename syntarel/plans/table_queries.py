@@ -252,8 +252,8 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_MARKUP} select page_id, tag, count(*) as n, max(len(above))::int as deepest from e where page_id % 3 = 1 and tag in ('p', 'li', 'b') group by page_id, tag")
 def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs, items and bold parts of every third page: the filter goes below the table function."""
-    nodes = markup.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")).where("page_id % 3 = 1 and tag in ('p', 'li', 'b')")
+    """Paragraphs, items and bold parts of every third page: the pages are chosen below the table function."""
+    nodes = markup.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html"), where="page_id % 3 = 1").where("tag in ('p', 'li', 'b')")
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 

@@ -52,9 +52,13 @@ class _Markup:
 markup_nodes = udtf(_Markup, returnType=NODES)
 
 
-def page_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
-    """All columns of ``pages`` but ``html``, and pre, last, parent, depth, tag of each element: the table function joined laterally, so filters on the pages' columns go below it."""
+def page_nodes(pages: DataFrame, html: str = "html", where: str | None = None) -> DataFrame:
+    """All columns of ``pages`` but ``html``, and pre, last, parent, depth, tag of each element: the table function joined laterally.
+
+    Spark moves no filter below a Python table function, so one on the pages' own columns
+    is given as ``where`` and applied before it, down to the scan.
+    """
     spark: SparkSession = pages.sparkSession
     spark.udtf.register("syntarel_markup", markup_nodes)
     others = ", ".join(f"p.`{c}`" for c in pages.columns if c != html)
-    return spark.sql(f"select {others}, m.* from {{pages}} p, lateral syntarel_markup(p.`{html}`) m", pages=pages)
+    return spark.sql(f"select {others}, m.* from {{pages}} p, lateral syntarel_markup(p.`{html}`) m", pages=pages.where(where) if where else pages)

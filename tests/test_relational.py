@@ -126,13 +126,15 @@ def test_markup_is_nested_sets():
     assert markup.elements(None) == markup.elements("no tags < at all") == []
 
 
-def test_filters_go_below_the_table_function(spark):
-    pages = spark.createDataFrame([(1, "x", HTML), (2, "y", "<p>"), (3, "z", None)], "page_id long, url string, html string")
+def test_pages_are_chosen_below_the_table_function(spark, tmp_path):
+    spark.createDataFrame([(1, "x", HTML), (2, "y", "<p>"), (3, "z", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
     nodes = markup.page_nodes(pages)
     assert nodes.columns == ["page_id", "url", "pre", "last", "parent", "depth", "tag"] and nodes.count() == 13
-    plan = nodes.where("page_id = 2 and depth = 0")._jdf.queryExecution().optimizedPlan().toString().split("\n")
-    table, of_pages, of_nodes = (next(k for k, x in enumerate(plan) if "Generate" in x), next(k for k, x in enumerate(plan) if "page_id" in x and "= 2" in x), next(k for k, x in enumerate(plan) if "depth" in x and "= 0" in x))
-    assert of_nodes < table < of_pages
+    few = markup.page_nodes(pages.select("page_id", "html"), where="page_id = 2")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in few.collect()] == [(2, 0, 0, -1, 0, "p")]
+    assert plan.index("EvalPythonUDTF") < plan.index("PushedFilters: [IsNotNull(page_id), EqualTo(page_id,2)]") and "ReadSchema: struct<page_id:bigint,html:string>" in plan
 
 
 def test_tree_lines_are_those_of_the_walk(spark):
