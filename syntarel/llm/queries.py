@@ -20,7 +20,7 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "ratio")
+    return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("ratio", 6).alias("ratio"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_sharding": "select doc_id, lang, source, n_chars, sha256(text) as text_sha256 from documents",
+    "op1_url_filter": url_filter.filter_sql(URL_RULES),
     "op2_mixing": mixing.mixing_sql(),
     "op3_near_dedup": near_dedup.classes_sql(4, 80),
     "op4_suffix_dedup": repeats.repeats_sql(),

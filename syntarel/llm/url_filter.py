@@ -161,3 +161,41 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     scored = beside(likelihood_ratio(model, judged, url).drop("threshold"), threshold)
     verdict = F.coalesce("__rule.verdict", F.when(F.col("ratio") >= F.col("threshold"), "allow").otherwise("block"))
     return scored.withColumns({"rule": F.col("__rule.rule"), "verdict": verdict}).drop("__rule")
+
+
+def filter_sql(rules: list[tuple[str, str]], least: int = 4, strength: float = 4.0, bins: int = 400, span: float = 4.0) -> str:
+    """DuckDB statement for :func:`filter_urls` of ``pages``: page_id, host, path, rule, verdict, ratio (6 digits)."""
+    lower = f"translate({{0}}, '{UPPER}', '{LOWER}')"
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, strlen(url)), lambda k: ('0x' || substr(hex(encode(url)), 2 * k + 1, 2))::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)), 4294967295)"
+    cases = []
+    for verdict, rule in sorted(rules, key=lambda x: -len(x[1])):
+        name, slash, rest = rule.partition("/")
+        cases.append((f"when (host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '{slash + rest}') then", rule, verdict))
+    parts = [
+        f"h as (select page_id, url, {lower.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages)",
+        f"j as (select *, case {' '.join(f"{c} '{r}'" for c, r, _ in cases)} end as rule, case {' '.join(f"{c} '{v}'" for c, _, v in cases)} end as told, row_number() over () as id from h)",
+        f"y as (select id, list_transform(list_filter(string_split({lower.format("regexp_replace(coalesce(url, ''), '(?s)^[^/?#]*?://', '')")}, ''), lambda c: c <> ''), lambda c: case when instr('{SYMBOLS}', c) = 0 then {N - 1} else instr('{SYMBOLS}', c) - 1 end) as s from j)",
+        f"z as (select id, [{N - 1}, {N - 1}, {N - 1}] || s as s, len(s) as n from y)",
+        f"g as (select id, k - 3 as i, n, ((s[k - 3] * {N} + s[k - 2]) * {N} + s[k - 1]) * {N} + s[k] as gram from (select id, n, s, unnest(range(4, n + 4)) as k from z))",
+        f"u as (select id, told = 'allow' as accepted, {crc} % 3 = 2 as held from j where rule is not null)",
+        "n as (select gram, count(*) filter (accepted) as a, count(*) filter (not accepted) as r from g join u using (id) where not held group by gram)",
+    ]
+    for k in range(ORDER + 1):
+        own = f"select (gram % {N ** (k + 1)}) // {N} as context, gram % {N} as c, sum(a) as a, sum(r) as r from n group by all"
+        parts += [f"n{k} as ({own})", f"t{k} as (select context, sum(a) as ta, sum(r) as tr from n{k} group by context)"]
+        base = f"1.0 / {N}, 1.0 / {N}" if k == 0 else "q.pa, q.pr"
+        qa, qr = base.split(", ")
+        parent = "" if k == 0 else f"join p{k - 1} q on q.context = t.context % {N ** (k - 1)} and q.c = e.c"
+        parts.append(f"p{k} as (select t.context, e.c, ta + tr as met, (coalesce(x.a, 0) + {strength} * {qa}) / (ta + {strength}) as pa, (coalesce(x.r, 0) + {strength} * {qr}) / (tr + {strength}) as pr from t{k} t cross join (select unnest(range({N})) as c) e left join n{k} x on x.context = t.context and x.c = e.c {parent})")
+        parts.append(f"l{k} as (select context, c, ln(pa / pr)::float::double as ratio from p{k} where met >= {0 if k == 0 else least})")
+    joins = " ".join(f"left join l{k} on l{k}.context = (g.gram % {N ** (k + 1)}) // {N} and l{k}.c = g.gram % {N}" for k in range(ORDER + 1))
+    step = 2 * span / bins
+    parts += [
+        f"o as (select id, sum(coalesce({', '.join(f'l{k}.ratio' for k in range(ORDER, -1, -1))}, 0)) / max(n) as ratio from g {joins} group by id)",
+        "w as (select j.*, coalesce(o.ratio, 0) as ratio from j left join o using (id))",
+        f"b as (select least(greatest(floor((ratio + {span}) / {step}), 0), {bins - 1})::int as bin, count(*) filter (accepted) as a, count(*) filter (not accepted) as r from w join u using (id) where held group by bin)",
+        "s as (select k as bin, coalesce(b.a, 0) as a, coalesce(b.r, 0) as r from range(400) as e(k) left join b on b.bin = k)".replace("400", str(bins)),
+        f"c as (select bin * {step} - {span} as edge, (sum(a) over () - coalesce(sum(a) over (order by bin rows between unbounded preceding and 1 preceding), 0)) / nullif(sum(a) over (), 0) + coalesce(sum(r) over (order by bin rows between unbounded preceding and 1 preceding), 0) / nullif(sum(r) over (), 0) as good from s)",
+        "d as (select coalesce((select edge from c where good >= (select max(good) from c) - 1e-12 order by abs(edge), edge limit 1), 0.0) as threshold)",
+    ]
+    return f"with {', '.join(parts)} select page_id, host, path, rule, coalesce(told, case when ratio >= threshold then 'allow' else 'block' end) as verdict, round(ratio, 6) as ratio from w, d"
