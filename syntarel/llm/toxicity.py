@@ -26,8 +26,8 @@ STEMS = (5, 7)
 GAPS = ((1,), (1, 1), (2,), (3,))
 #: Most labelled documents that the weights are fitted on, and most features of these together (4 bytes each reach the driver).
 SAMPLE, SAMPLE_FEATURES = 6000, 12_000_000
-#: The score from which label 1 is predicted.
-CUT = 0.5
+#: The score from which label 1 is predicted, and how much more a share of clean documents above it counts than one of toxic ones below.
+CUT, CLEAN = 0.5, 3.0
 
 _WORD = re.compile(r"\w+")
 #: Odd 64-bit multipliers.
@@ -125,10 +125,10 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: fl
 
 
 def calibrate(model: SparseModel, bags: list[np.ndarray], labels: np.ndarray) -> SparseModel:
-    """Move the intercept so that CUT lies where the labels part best, both weighing the same (in the middle of equally good places)."""
+    """Move the intercept so that CUT lies where the labels part best, shares of clean documents weighing CLEAN times those of toxic ones (in the middle of equally good places)."""
     logits = np.array([model.logit(x) for x in bags])
     order = np.argsort(logits, kind="stable")
-    below = np.concatenate([[0.0], np.cumsum(np.where(labels[order] == 1, -1 / labels.sum(), 1 / (1 - labels).sum()))])
+    below = np.concatenate([[0.0], np.cumsum(np.where(labels[order] == 1, -1 / labels.sum(), CLEAN / (1 - labels).sum()))])
     edges = np.concatenate([logits[order[:1]], (logits[order[1:]] + logits[order[:-1]]) / 2, logits[order[-1:]]])
     best = edges[np.flatnonzero(below >= below.max() - 1e-9)]
     return SparseModel(model.buckets, model.weights, model.intercept + float(np.log(CUT / (1 - CUT)) - (best[0] + best[-1]) / 2))
