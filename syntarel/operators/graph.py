@@ -9,16 +9,33 @@ from pyspark.sql import functions as F
 from ..storage import Buckets, scratch, written
 
 
+def _neighbours(df: DataFrame, keys: list[str], order: list[str], node: str) -> DataFrame:
+    """(keys, src, dst): each node and the next one of its keys by ``order``.
+
+    A segmented scan: rows are dealt to ranges of (keys, order), so a hot key lies in many.
+    Neighbours within a range are a window; the last node of a key in a range goes on to
+    its first one in the next range that has any, one row a key and range. Null keys are one key.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names, places = [f"k{k}" for k in range(len(keys))], [f"o{k}" for k in range(len(order))]
+    plain = df.select(*[F.col(c).alias(n) for c, n in zip([*keys, *order], [*names, *places], strict=True)], F.col(node).alias("src"))
+    dealt = written(plain.repartitionByRange(parts, *names, *places).withColumn("part", F.spark_partition_id()), "neighbours")
+    inside = W.partitionBy("part", *names).orderBy(*places)
+    near = dealt.select(*names, "src", F.lead("src").over(inside).alias("dst")).where("dst is not null")
+    place = F.struct(*places)
+    ends = dealt.groupBy("part", *names).agg(F.min_by("src", place).alias("head"), F.max_by("src", place).alias("src"))
+    far = ends.select(*names, "src", F.lead("head").over(W.partitionBy(*names).orderBy("part")).alias("dst")).where("dst is not null")
+    return near.unionByName(far).select(*[F.col(n).alias(c) for c, n in zip(keys, names, strict=True)], "src", "dst")
+
+
 def chain_edges(df: DataFrame, scope: list[str], order: list[str], node: str) -> DataFrame:
-    """(scope, src, dst): each node and the next one by ``order``."""
-    following = F.lead(node).over(W.partitionBy(*scope).orderBy(*order))
-    return df.select(*scope, F.col(node).alias("src"), following.alias("dst")).where("dst is not null")
+    """(scope, src, dst): each node and the next one by ``order``, which is unique in a scope."""
+    return _neighbours(df, scope, order, node)
 
 
 def last_of_kind_edges(df: DataFrame, scope: list[str], kind: str, order: list[str], node: str) -> DataFrame:
     """(scope, src, dst, label): each node and the one of its kind before it."""
-    earlier = F.lag(node).over(W.partitionBy(*scope, kind).orderBy(*order))
-    return df.select(*scope, earlier.alias("src"), F.col(node).alias("dst"), F.col(kind).alias("label")).where("src is not null")
+    return _neighbours(df, [*scope, kind], order, node).select(*scope, "src", "dst", F.col(kind).alias("label"))
 
 
 def dependencies(edges: DataFrame, targets: DataFrame) -> DataFrame:

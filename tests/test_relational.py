@@ -61,6 +61,20 @@ def test_reaching_definitions_of_a_hot_scope(spark, monkeypatch):
     assert max(counts) < 2 * sum(counts) / len(counts) and len(counts) >= 3
 
 
+def test_chains_of_a_hot_scope(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a"] * 9 + ["b", None]), rng.choice("xyz"), t // 3, t, 10_000 - t) for t in range(2000)]
+    df = spark.createDataFrame(rows, "u string, kind string, at long, t long, id long").repartition(5)
+    for keys, got in ((1, graph.chain_edges(df, ["u"], ["at", "t"], "id")), (2, graph.last_of_kind_edges(df, ["u"], "kind", ["at", "t"], "id"))):
+        want, last = [], {}
+        for r in rows:
+            if r[:keys] in last:
+                want.append((r[0], last[r[:keys]], r[4], *([r[1]] if keys == 2 else [])))
+            last[r[:keys]] = r[4]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert graph.chain_edges(df.limit(0), ["u"], ["t"], "id").count() == 0
+
+
 def test_ordinals_of_nulls_and_texts(spark):
     df = spark.createDataFrame([(f"k{i % 97:02d}{i}",) for i in range(300)] + [(None,)], "k string").withColumn("ordinal", F.lit("old"))
     got = [r.ordinal for r in ordering.with_ordinal(df, "k").orderBy(F.asc_nulls_last("k")).collect()]
