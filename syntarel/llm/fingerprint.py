@@ -96,7 +96,8 @@ def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] |
     follow each other by a hash of ``columns`` and by their values, and those without
     an id come last; an id with many rows, or null, gets several ranges.
     ``derived`` names further columns that are made of ``columns`` alone: they
-    are added before the shuffle, and anew for the few rows that follow a range.
+    are added before the shuffle, and anew for the few rows that follow a range. ``__range`` and
+    ``__hash`` aren't kept, and ``__key``, ``__last``, ``__to``, ``__from`` and names that begin with ``__next_`` or ``__head_`` mustn't be columns' names.
     """
     derived = derived or {}
     every = [*columns, *derived]

@@ -137,7 +137,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     id in one cell share their fate and a rerun takes the same. Rows without
     words have rate 1 and are taken: they weigh nothing. Null sources and
     languages are cells of their own. An empty table gives an empty result.
-    A column named ``into`` is replaced. What is returned is written once with its
+    A column named ``into`` is replaced; ``__source``, ``__lang``, ``__topic``, ``__tokens`` and ``__rate`` mustn't be columns' names. What is returned is written once with its
     cells and read from there, so texts are looked at once.
     """
     names = [c for c in (columns or docs.columns) if c != into]

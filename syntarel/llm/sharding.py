@@ -36,7 +36,7 @@ class Conflict(RuntimeError):
 
 
 class ShardStore:
-    """A table of immutable shards under ``root``, on any file system that Spark writes to."""
+    """A table of immutable shards under ``root``, on a file system whose rename is atomic and fails if the target is there: HDFS and local disks, not plain object stores."""
 
     def __init__(self, spark: SparkSession, root: str, target: int = TARGET, fan: int = FAN, unit: int = UNIT):
         self.spark, self.root, self.target, self.fan, self.unit = spark, root.rstrip("/"), target, fan, unit
