@@ -43,13 +43,13 @@ K, WORDS_K = 64, 8
 #: of these parts of the way from K to LENGTH.
 SHARD_BYTES, HOT_KEY = 192 << 10, 256
 FINER = (0.4, 0.75, 0.95, 1.0)
-#: Windows looked at together; positions within fit 20 bits.
-_CHUNK = 1 << 19
+#: Windows looked at together, few enough for a core's cache; positions within fit 20 bits.
+_CHUNK = 1 << 17
+#: Bytes of a word from which on a library's hash stands for it.
+_LONG_WORD = 64
 
 _RNG = np.random.default_rng(77003)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
-#: The six ASCII white spaces, between words.
-_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _UP: np.ndarray = np.ones(1, np.uint64)
 _DOWN: np.ndarray = np.ones(1, np.uint64)
@@ -79,40 +79,89 @@ def string_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return _mix((total[k:] - total[:-k]) * down[: len(raw) - k + 1])
 
 
+def fragments_of(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, key, first window, last window) of the runs of windows with the same least string, in each of some sequences.
+
+    They follow each other in ``numbers``, with their first and last positions (not
+    included) in ``starts`` and ``ends``. Short ones are gone through together; a long one
+    is cut at multiples of _CHUNK from its start, so that equal ones are cut alike.
+    """
+    out: list[tuple] = []
+    low = np.uint64((1 << 20) - 1)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _CHUNK, "right")))
+        for begin in range(int(starts[at]), max(int(starts[at]) + 1, int(ends[to - 1]) - length + 1), _CHUNK):
+            part = numbers[begin : min(begin + _CHUNK + length - 1, int(ends[to - 1]))]
+            n, w = len(part) - length + 1, length - k + 1
+            if n < 1:
+                continue
+            hashes = string_hashes(part, k)
+            least, step = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), 1
+            while 2 * step <= w:
+                least, step = np.minimum(least[:-step], least[step:]), 2 * step
+            where = (np.minimum(least[:n], least[w - step : w - step + n]) & low).astype(np.int32)
+            change = where[1:] != where[:-1]
+            own = np.concatenate([starts[at:to], ends[at:to] - length + 1]) - begin
+            change[own[(own > 0) & (own < n)] - 1] = True
+            first = np.concatenate([[0], np.flatnonzero(change) + 1])
+            last = np.append(first[1:], n) - 1
+            of = np.searchsorted(starts, first + begin, "right") - 1
+            inside = first + begin + length <= ends[of]
+            of, first, last = of[inside], first[inside], last[inside]
+            out.append((of, hashes[where[first]], first + begin - starts[of], last + begin - starts[of]))
+        at = to
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def fragments(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, last window) of the runs of windows with the same least string."""
-    keys, firsts, lasts = [], [], []
-    for at in range(0, len(raw) - length + 1, _CHUNK):
-        part = raw[at : at + _CHUNK + length - 1]
-        hashes = string_hashes(part, k)
-        w = length - k + 1
-        n = len(hashes) - w + 1
-        low = np.uint64((1 << 20) - 1)
-        v = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-        blocks = np.concatenate([v, np.full(-len(v) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-        after = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()[:n]
-        before = np.minimum.accumulate(blocks, 1).ravel()[w - 1 : w - 1 + n]
-        where = (np.minimum(after, before) & low).astype(np.int64)
-        start = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
-        keys.append(hashes[where[start]])
-        firsts.append(start + at)
-        lasts.append(np.concatenate([start[1:], [n]]) - 1 + at)
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64 bits that stand for each word; fragments() takes them in place of bytes."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    """(key, first window, last window) of one sequence's runs of windows with the same least string."""
+    return fragments_of(raw, np.zeros(1, np.int64), np.full(1, len(raw), np.int64), length, k)[1:]
+
+
+def _white(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are one of the six ASCII white spaces, between words."""
+    return (raw == 32) | (raw - np.uint8(9) < 5)
 
 
 def word_ends(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(from, to) in bytes of each word, as bytes.split() has them."""
-    inside = np.concatenate([[False], ~_WHITE[raw], [False]])
+    inside = np.concatenate([[False], ~_white(raw), [False]])
     return np.flatnonzero(~inside[:-1] & inside[1:]), np.flatnonzero(inside[:-1] & ~inside[1:])
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits that stand for each word, given by its bytes' (from, to); fragments() takes them in place of bytes."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    up = _powers(_LONG_WORD)[0]
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _CHUNK, "right")))
+        first = starts[at:to] - starts[at]
+        part = raw[starts[at] : min(ends[to - 1], starts[at] + _CHUNK)]
+        place = np.arange(len(part), dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(np.append(first, len(part))))
+        values = _BYTE[part] * up[place & (_LONG_WORD - 1)]
+        values[_white(part)] = 0
+        out[at:to] = np.add.reduceat(values, first)
+        at = to
+    out = _mix(out)
+    for i in np.flatnonzero(ends - starts > _LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out
+
+
+def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Hash and first byte of each word, the words joined by blanks, and where each begins and ends there."""
+    starts, ends = word_ends(raw)
+    white = _white(raw)
+    kept = ~white
+    kept[1:] |= kept[:-1]  # the byte after a word
+    joined = np.where(white, np.uint8(32), raw)[kept].tobytes()
+    to = np.cumsum(ends - starts + 1) - 1
+    return word_hashes(raw, starts, ends), starts, joined, to - (ends - starts), to
+
+
 def _arranged(code: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
     """(the order that sorts the codes, the sorted codes); positions, of ``low`` bits, are sorted along with the codes where they fit."""
     if int(code.max(initial=0)) >> (63 - low):
@@ -239,18 +288,18 @@ class RunLengthIndex:
         """
         best = np.zeros(self.n, np.int64)
         run_of = np.repeat(np.arange(len(self.rows), dtype=np.int32), self.lengths)  # while streaming
-        text = np.flatnonzero(self.ends > self.starts)
+        left = self.ends - self.starts
+        text = np.argsort(-left, kind="stable")  # the long ones first: those that are through are cut off behind
         row, at = text.copy(), self.ends[text]
         above, below = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-        while len(text):
+        ways, lasts = self.back - self.rows, self.rows + self.lengths - 1
+        going = len(text) - np.searchsorted(left[text][::-1], np.arange(1, int(left.max(initial=0)) + 1))
+        for n in going.tolist():
+            row, at, above, below = row[:n], at[:n], above[:n], below[:n]
             run = run_of[row]
-            inner = row - self.rows[run]
-            row, at = self.back[run] + inner, at - 1
-            above = np.where(inner == 0, self.above[run], above + 1)
-            below = np.where(inner == self.lengths[run] - 1, self.below[run], below + 1)
+            above, below = np.where(row == self.rows[run], self.above[run], above + 1), np.where(row == lasts[run], self.below[run], below + 1)
+            row, at = row + ways[run], at - 1
             best[at] = np.maximum(above, below)
-            if (done := at == self.starts[text]).any():
-                text, row, at, above, below = (x[~done] for x in (text, row, at, above, below))
         for k in np.flatnonzero(self.times > 1):
             best[self.starts[k] : self.ends[k]] = np.arange(self.ends[k] - self.starts[k], 0, -1)
         return best
@@ -288,24 +337,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", wo
         import pyarrow as pa
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = body.encode("utf-8", "surrogatepass")
-                kinds = [(np.frombuffer(raw, np.uint8), raw, length, k, False)]
-                if words is not None and len(split := raw.split()) >= words:
-                    kinds.append((hashes := word_hashes(split), hashes.tobytes(), words, min(WORDS_K, words), True))
-                for numbers, units, size, part, of_words in kinds:
-                    keys, first, last = fragments(numbers, size, part)
-                    step = numbers.itemsize
-                    spans = zip((first * step).tolist(), ((last + size) * step).tolist(), strict=True)
-                    out[0].append(keys.view(np.int64))
-                    out[1] += [xxhash.xxh3_128_digest(units[a:b]) for a, b in spans]
-                    out[2] += [name] * len(first)
-                    out[3].append(first.astype(np.int32))
-                    out[4].append((last + size).astype(np.int32))
-                    out[5].append(np.full(len(first), of_words))
-            if out[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(np.concatenate(out[3])), pa.array(np.concatenate(out[4])), pa.array(np.concatenate(out[5]))], names=["key", "content", "text_key", "a", "b", "words"])
+            texts = [x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+            raw = b" ".join(texts)  # a blank parts texts for words; strings of bytes that meet it are none
+            ends = np.cumsum(np.array([len(x) + 1 for x in texts], np.int64)) - 1
+            starts = ends - np.array([len(x) for x in texts], np.int64)
+            flat = np.frombuffer(raw, np.uint8)
+            kinds = [(fragments_of(flat, starts, ends, length, k), raw, starts, None, length, False)]
+            if words is not None:
+                hashes, begin, joined, a, b = words_of(flat)
+                own = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
+                kinds.append((fragments_of(hashes, *own, words, min(WORDS_K, words)), joined, own[0], (a, b), words, True))
+            for (of, keys, first, last), units, begin, places, size, of_words in kinds:
+                if not len(of):
+                    continue
+                a, b = begin[of] + first, begin[of] + last + size
+                if places is not None:
+                    a, b = places[0][a], places[1][b - 1]
+                content = pa.array([xxhash.xxh3_128_digest(units[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+                columns = [pa.array(keys.view(np.int64)), content, batch.column(0).take(pa.array(of)), pa.array(first.astype(np.int32)), pa.array((last + size).astype(np.int32)), pa.array(np.full(len(of), of_words))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "content", "text_key", "a", "b", "words"])
 
     every = materialize(rows.mapInArrow(cut, "key long, content binary, text_key binary, a int, b int, words boolean"), "fragments", plain=["key", "content"])
     # What is joined with many rows of a key is written first, so that Spark can split those rows.
@@ -400,7 +450,8 @@ def _finer(bodies: DataFrame, length: int, words: int | None, way: float) -> Dat
             for key, content, times, body, of_words in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 units = body.split() if of_words else body
                 size, k = (words, min(WORDS_K, words)) if of_words else (length, min(K, length))
-                numbers = word_hashes(units) if of_words else np.frombuffer(body, np.uint8)
+                raw = np.frombuffer(body, np.uint8)
+                numbers = word_hashes(raw, *word_ends(raw)) if of_words else raw
                 for finer, first, last in zip(*(x.tolist() for x in fragments(numbers, size, k + round(way * (size - k)))), strict=True):
                     part = b" ".join(units[first : last + size]) if of_words else body[first : last + size]
                     digest = xxhash.xxh3_128_digest(part)
