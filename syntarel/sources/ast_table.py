@@ -15,6 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files as listing
 from .imports import imports_of
 from .outline import outline
 from .references import role_of, way_below
@@ -65,10 +66,14 @@ def _unlisted(spark: SparkSession, root: str, ignored: list[str] = IGNORED) -> D
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """path (below ``root``), language, text of every supported file; ignored names are skipped on the way.
 
-    Unreadable files fail the scan unless ``spark.sql.files.ignoreMissingFiles``
-    or its like says otherwise. Files that Spark's readers leave out by their names
+    Files are listed and read in tasks. Unreadable ones fail the scan unless
+    ``spark.sql.files.ignoreMissingFiles`` or its like says otherwise. Where only Spark
+    opens the file system, its readers are used, and files that these leave out by their names
     are read one by one through the driver.
     """
+    if at := listing.address(spark, root):
+        found = listing.listed(spark, at, IGNORED).withColumn("language", language_of(F.col("path"), sensitive=True)).where("language is not null")
+        return listing.contents(found.select("path", "language", "bytes"), at).select("path", "language", "text")
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("full"))
     some = _kept(_unlisted(spark, root), root).select("full").collect()
     if some:
@@ -93,6 +98,8 @@ def _kept(files: DataFrame, root: str) -> DataFrame:
 
 def tree_files(spark: SparkSession, root: str) -> DataFrame:
     """path (below ``root``) of every file that the tree shows: supported whatever the case of its extension, below no name that it skips; nothing is read but names."""
+    if at := listing.address(spark, root):
+        return listing.listed(spark, at, IGNORED_IN_TREE).where(language_of(F.col("path")).isNotNull()).select("path")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("full"))
     files = listed.unionByName(_unlisted(spark, root, IGNORED_IN_TREE).select("full")).select(_below(F.col("full"), root).alias("path"))
     return files.where(~F.exists(F.split("path", "/"), lambda x: x.isin(*IGNORED_IN_TREE)) & language_of(F.col("path")).isNotNull())
@@ -100,6 +107,9 @@ def tree_files(spark: SparkSession, root: str) -> DataFrame:
 
 def changed_files(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
     """path, modified of files below ``root`` that ``known`` (path, modified) lacks in this state; nothing is read but names and times."""
+    if at := listing.address(spark, root):
+        now = listing.listed(spark, at, [x for x in IGNORED if x[0] in "_."]).select(F.concat(F.lit(at + "/"), "path").alias("path"), "modified")
+        return now.join(known.select("path", "modified"), ["path", "modified"], "left_anti")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"))
     files = listed.unionByName(_unlisted(spark, root).select(F.col("full").alias("path"), "modified"))
     return files.join(known.select("path", "modified"), ["path", "modified"], "left_anti")

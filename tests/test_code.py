@@ -11,7 +11,7 @@ from syntarel.functions import embeddings
 from syntarel.functions.hashing import hash32, hash32_of, mock_embedding, signed_hex
 from syntarel.operators import code, graph, ordering, search, tree
 from syntarel.plans import index, render
-from syntarel.sources import ast_table, outline
+from syntarel.sources import ast_table, files, outline
 from syntarel.sources.imports import imports_of
 from syntarel.sources.script import parse_script
 from syntarel.streaming import incremental
@@ -254,6 +254,50 @@ def test_scan_and_stream(spark, tmp_path):
     assert {os.path.basename(r.path) for r in spark.read.parquet(str(tmp_path / "out")).collect()} >= {"a.ts", "b.py"}
 
 
+def test_listing_in_tasks(spark, tmp_path, monkeypatch):
+    """Rounds by level give what Spark's readers and the driver give together, and names that need escapes; a file is its own scan."""
+    root = tmp_path / "a b%20c"
+    plain = {f"{'x/' * (k % 5)}f{k}.ts": f"let v{k} = {k};" for k in range(40)} | {"_h/.i/j.py": "x = 1", "empty.js": "", "x/long.go": "package a // é\n" * 9000}
+    for name, text in plain.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / "bare").mkdir()
+    at = files.address(spark, str(root))
+    found = files.listed(spark, at)
+    assert {r.path: r.bytes for r in found.collect()} == {k: len(v.encode()) for k, v in plain.items()}
+    assert {r.path: r.text for r in files.contents(found.select("bytes", "path"), at).collect()} == plain
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    assert files.contents(found, at).rdd.getNumPartitions() == 3
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert files.listed(spark, at + "/bare").count() == 0
+    assert {r.text for r in ast_table.read_sources(spark, str(root / "f0.ts")).collect()} == {"let v0 = 0;"}
+    with pytest.raises(Exception, match="NotFound|No such|does not exist|Cannot list"):
+        files.listed(spark, at + "/none")
+
+    (root / "gone.ts").write_text("let g = 1;")
+    (root / "bytes.js").write_bytes(b"f('\xff')")
+    (root / "two words.ts").write_text("let w = 2;")
+    late = files.listed(spark, at)
+    (root / "gone.ts").unlink()
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        files.contents(late, at).collect()
+    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
+    texts = {r.path: r.text for r in files.contents(late, at).collect()}
+    spark.conf.unset("spark.sql.files.ignoreMissingFiles")
+    assert texts == plain | {"bytes.js": "f('\ufffd')", "two words.ts": "let w = 2;"}
+
+    (root / "bytes.js").unlink()
+    (root / "two words.ts").unlink()
+    (root / "empty.js").unlink()  # Spark's readers have no row for it
+    easy = tmp_path / "easy"
+    root.rename(easy)
+    ways = []
+    for known in (files.SCHEMES, {}):
+        monkeypatch.setattr(files, "SCHEMES", known)
+        ways.append((sorted(map(tuple, ast_table.read_sources(spark, str(easy)).collect())), sorted(r.path for r in ast_table.tree_files(spark, str(easy)).collect())))
+    assert ways[0] == ways[1] and len(ways[0][0]) == len(plain) - 1
+
+
 def test_settings_round_trip(tmp_path):
     assert config.load(str(tmp_path)) == config.Settings()
     config.save(str(tmp_path), config.Settings(config.EmbeddingSettings(provider="huggingface")))
