@@ -37,7 +37,8 @@ def listed(spark: SparkSession, at: str, skip: Iterable[str] = ()) -> DataFrame:
     """path (below the address ``at``), folder, bytes, modified of all files, those below a name in ``skip`` left out.
 
     One call lists a folder's own entries. Times are cut to milliseconds. An empty
-    folder has no rows; one that is missing is an error.
+    folder has no rows; one that is missing is an error. Hidden ``.crc`` files, the
+    checksums of local file systems, count as none.
     """
     skipped = set(skip)
 
@@ -50,7 +51,7 @@ def listed(spark: SparkSession, at: str, skip: Iterable[str] = ()) -> DataFrame:
         for batch in batches:
             for above in batch.column(0).to_pylist():
                 found = system.get_file_info(fs.FileSelector(f"{base}/{above}".rstrip("/") or "/"))
-                rows = [(f"{above}/{x.base_name}".lstrip("/"), x.type == fs.FileType.Directory, x.size or 0, (x.mtime_ns or 0) // 1_000_000 * 1000) for x in found if x.base_name not in skipped]
+                rows = [(f"{above}/{x.base_name}".lstrip("/"), x.type == fs.FileType.Directory, x.size or 0, (x.mtime_ns or 0) // 1_000_000 * 1000) for x in found if not (x.base_name in skipped or (x.base_name[0] == "." and x.base_name.endswith(".crc")))]
                 for i in range(0, len(rows), _BATCH_ROWS):
                     arrays = [pa.array(c, t) for c, t in zip(zip(*rows[i : i + _BATCH_ROWS], strict=True), columns, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, names=["path", "folder", "bytes", "modified"])

@@ -262,6 +262,7 @@ def test_listing_in_tasks(spark, tmp_path, monkeypatch):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
     (root / "bare").mkdir()
+    (root / ".f0.ts.crc").write_text("sum")
     at = files.address(spark, str(root))
     found = files.listed(spark, at)
     assert {r.path: r.bytes for r in found.collect()} == {k: len(v.encode()) for k, v in plain.items()}
