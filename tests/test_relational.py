@@ -107,6 +107,61 @@ def test_nearest_by_cells(spark, monkeypatch):
     assert search.nearest_each(few.limit(0), few, 5).count() == 0
 
 
+def test_nearest_copies_few_rows(spark, monkeypatch):
+    """In random directions no cell can be left out; a query is then copied to the blocks of vectors, however many cells they have."""
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 500)
+    monkeypatch.setattr(search, "CELL", 20)
+    v = np.random.default_rng(4).standard_normal((2000, 32))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    asked = vectors.where("vec_id % 5 = 0")
+    before, threshold = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = search.nearest_each(vectors, asked, 3).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # A copy of the vectors for each block of queries, and one of the queries, a fifth as many, for each of four blocks of vectors.
+    assert shuffled() - before < 10 * v.nbytes
+    want = {(q, int(i)) for q in range(0, 2000, 5) for i in ((v - v[q]) ** 2).sum(1).argsort()[:3]}
+    assert {(r.query_id, r.vec_id) for r in got} == want and len(got) == 1200
+
+
+def test_nearest_of_odd_vectors(spark, monkeypatch):
+    """Numbers that aren't finite come last, by id; many copies, repeated ids, far and tiny and huge numbers, groups in rounds."""
+    rng = np.random.default_rng(5)
+    small = rng.standard_normal((300, 6))
+    odd = small.copy()
+    odd[7], odd[20, 2], odd[33, 1], odd[40, 0] = np.nan, np.nan, np.inf, 1e200
+    many = np.repeat(rng.standard_normal((4, 6)), [250, 30, 10, 10], 0) + 1e7
+    mixed = np.concatenate([small[:75] * 1e-30, small[75:150] * 1e-3 + 1e9, small[150:225] * 1e14, small[225:]])
+    for block, rows, k in ((60, odd, 4), (60, odd[[7, 20, 40, 8]], 6), (10_000, odd, 4), (60, many, 12), (60, mixed, 4), (60, many.astype(np.float32), 4)):
+        monkeypatch.setattr(search, "VECTOR_BLOCK", block)
+        monkeypatch.setattr(search, "CELL", 15)
+        monkeypatch.setattr(search, "QUERY_BLOCK", 1)
+        monkeypatch.setattr(search, "ROUND", 2)
+        ids = [i if i % 50 else 1 for i in range(len(rows))]
+        kind = "float" if rows.dtype == np.float32 else "double"
+        vectors = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, rows, strict=True)], f"vec_id long, embedding array<{kind}>").repartition(3)
+        got = {}
+        for r in search.nearest_each(vectors, vectors.where("vec_id % 2 = 1" if len(rows) > 4 else "true"), k).collect():
+            got.setdefault(r.query_id, []).append((np.isnan(r.distance), r.distance if r.distance == r.distance else 0.0, r.vec_id))
+        want = {}
+        for i, q in zip(ids, rows.astype(float), strict=True):
+            if i % 2 == 1 or len(rows) == 4:
+                with np.errstate(all="ignore"):
+                    d = np.sqrt(np.cumsum((rows.astype(float) - q) ** 2, 1)[:, -1])
+                want.setdefault(i, []).extend((np.isnan(x), x if x == x else 0.0, j) for x, j in zip(d.tolist(), ids, strict=True))
+        assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x)[:k] for q, x in want.items()}
+
+
 def test_inside_and_unions_of_ranges(spark):
     rng = random.Random(6)
     ranges = [(rng.choice([0, 0, 0, 0, 1, None]), a := rng.randrange(-500, 3000), a + rng.choice([0, 3, 40, -2])) for _ in range(900)] + [(0, None, 5), (0, 5, None), (0, 10, 10), (0, 10, 10)]
